@@ -91,3 +91,13 @@ def sql_path_id(signature: str, turns: str) -> str:
     return ("left(sha256('{\"signature\": ' || " + sql_json_quote_ascii(signature) +
             " || ', \"turns\": [' || array_to_string(list_transform(" + turns + ", lambda t_: " + q +
             "), ', ') || ']}'), 16)")
+
+
+def sql_json_quote(x: str) -> str:
+    """Oracle JSON quoting with ``ensure_ascii`` semantics (BMP text)."""
+    return ("('\"' || array_to_string(list_transform(string_split(" + x + ", ''), lambda c_: CASE "
+            "WHEN c_ = '\"' THEN '\\\"' WHEN c_ = '\\' THEN '\\\\' "
+            "WHEN unicode(c_) BETWEEN 32 AND 126 THEN c_ "
+            "WHEN c_ = chr(10) THEN '\\n' WHEN c_ = chr(13) THEN '\\r' WHEN c_ = chr(9) THEN '\\t' "
+            "WHEN c_ = chr(8) THEN '\\b' WHEN c_ = chr(12) THEN '\\f' "
+            "ELSE printf('\\u%04x', unicode(c_)) END), '') || '\"')")

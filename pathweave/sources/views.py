@@ -306,19 +306,52 @@ RESPONSE_PREFIXES = ["Yes. ", "\n no, ", "Nope: ", '"yes" ', "NO!", ""]
 
 
 def responses_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns as recorded replies, with call metadata derived from the row."""
     c = read(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
     prefix = F.element_at(F.array(*[F.lit(p) for p in RESPONSE_PREFIXES]), (F.col("conv_id") % 6 + 1).cast("int"))
-    return c.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("turn_index"),
-                    F.concat(prefix, F.col("text")).alias("content"))
+    return c.select(
+        F.col("conv_id").alias("run_id"), F.col("turn").alias("turn_index"),
+        F.concat(prefix, F.col("text")).alias("content"),
+        F.greatest(F.lit(1), F.floor(F.length("text") / 4)).cast("int").alias("total_tokens"),
+        (F.length("text") + 20).cast("int").alias("latency_ms"),
+        F.when(F.col("conv_id") % 3 == 0, "prov-a").when(F.col("conv_id") % 3 == 1, "prov-b")
+        .otherwise(F.lit(None).cast("string")).alias("provider_used"),
+        F.concat(F.lit("model-a-"), (F.col("turn") % 2).cast("string")).alias("model_version"),
+    )
 
 
 RESPONSES_V_SQL = """responses_v AS (
   SELECT conv_id AS run_id, turn AS turn_index,
     ['Yes. ', chr(10) || ' no, ', 'Nope: ', '"yes" ', 'NO!', ''][CAST(conv_id % 6 + 1 AS INTEGER)] || text
-      AS content
+      AS content,
+    CAST(greatest(1, floor(length(text) / 4)) AS INTEGER) AS total_tokens,
+    CAST(length(text) + 20 AS INTEGER) AS latency_ms,
+    CASE conv_id % 3 WHEN 0 THEN 'prov-a' WHEN 1 THEN 'prov-b' ELSE NULL END AS provider_used,
+    'model-a-' || CAST(turn % 2 AS VARCHAR) AS model_version
   FROM conversations WHERE role = 'assistant')"""
 
 
+def status_log_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as an append-only run-status log (one update per event)."""
+    e = read(spark, sf_dir, "events")
+    return e.select(
+        F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"),
+        F.when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "failed")
+        .when(F.col("event_type") == "signup", "refused").otherwise("running").alias("status"),
+        F.when(F.col("event_type") == "purchase", (F.col("value") >= 50).cast("int")).alias("verdict"),
+        F.floor(F.col("value") * 10).cast("int").alias("total_tokens"),
+    )
+
+
+STATUS_LOG_V_SQL = """status_log_v AS (
+  SELECT user_id AS run_id, ts,
+    CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'refused'
+      ELSE 'running' END AS status,
+    CASE WHEN event_type = 'purchase' THEN CAST(value >= 50 AS INTEGER) END AS verdict,
+    CAST(floor(value * 10) AS INTEGER) AS total_tokens
+  FROM events)"""
+
+
 def labelled_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     lab = read(spark, sf_dir, "labels").select("doc_id", "quality")

@@ -64,12 +64,16 @@ def cyclic_scenarios(components: DataFrame, key: str = "scenario_id",
                      max_components: int = MAX_COMPONENTS) -> DataFrame:
     """DQ5: dependency cycles (self-loops included), by Kahn peeling inside the row.
 
+    Repeated ids in one scenario are merged first (their dependencies united).
+
     Each round places every node whose in-scenario dependencies are placed;
     after n rounds the unplaced nodes lie on or behind a cycle.  Undefined
     dependencies are ignored here (DQ4 reports them).  Scenarios larger than
     ``max_components`` are not gathered (DQ6 reports them).
     """
-    g = gather_graphs(components, key, max_components=max_components)
+    merged = components.groupBy(key, "cid").agg(
+        F.array_distinct(F.flatten(F.collect_set(F.coalesce("deps", F.array().cast("array<string>"))))).alias("deps"))
+    g = gather_graphs(merged.withColumn("text", F.lit("")), key, max_components=max_components)
     ids = F.transform("nodes", lambda x: x["cid"])
     nodes = F.transform("nodes", lambda x: F.struct(
         x["cid"].alias("cid"), F.filter(x["deps"], lambda d: F.array_contains(ids, d)).alias("deps")))

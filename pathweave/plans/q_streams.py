@@ -1 +1,73 @@
-"""placeholder"""
+"""Registered streaming queries (ST1-ST4), each run to completion over the events file."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.ledger import count_by_status
+from ..sources.views import STATUS_LOG_V_SQL, read, with_ctes
+from ..streaming import runs as S
+from .catalog import register, rounded
+
+_TS_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+_TS_SQL = "%Y-%m-%d %H:%M:%S.%f"
+
+
+def _events(spark, d, max_files=None):
+    schema = read(spark, d, "events").schema
+    return S.as_event_time(S.file_stream(spark, d, schema, glob="events.parquet", max_files_per_trigger=max_files))
+
+
+@register("st1_idempotent_ingest", f"""
+SELECT event_id, strftime(ts, '{_TS_SQL}') AS ts, user_id, event_type, value FROM events""")
+def st1_idempotent_ingest(spark, d):
+    out = S.run_available_now(S.idempotent_ingest(_events(spark, d)), "st1")
+    return out.select("event_id", F.date_format("ts", _TS_FMT).alias("ts"), "user_id", "event_type", "value")
+
+
+def _status_stream(spark, d):
+    e = _events(spark, d)
+    status = (F.when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "failed")
+              .when(F.col("event_type") == "signup", "refused").otherwise("running"))
+    return e.select(F.col("user_id").alias("run_id"), "ts", status.alias("status"))
+
+
+@register("st2_live_status_counts", with_ctes(STATUS_LOG_V_SQL, """cur AS (SELECT run_id, max_by(status, ts) AS status
+  FROM status_log_v GROUP BY 1)""", body="SELECT status, count(*) AS n FROM cur GROUP BY 1"))
+def st2_live_status_counts(spark, d):
+    return count_by_status(S.live_status(_status_stream(spark, d), "st2"))
+
+
+@register("st3_daily_rates", f"""
+SELECT strftime(date_trunc('day', ts), '{_TS_SQL}') AS window_start, event_type, count(*) AS n,
+  round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2""")
+def st3_daily_rates(spark, d):
+    agg = S.windowed_rates(_events(spark, d), ["event_type"])
+    out = S.run_available_now(agg, "st3", mode="complete")
+    return rounded(out.select(F.date_format("window.start", _TS_FMT).alias("window_start"), "event_type", "n",
+                              "mean_value"))
+
+
+@register("st3_sliding_rates", f"""
+SELECT strftime(ws, '{_TS_SQL}') AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value
+FROM (SELECT date_trunc('day', ts) AS ws, event_type, value FROM events
+      UNION ALL SELECT date_trunc('day', ts) - INTERVAL 1 DAY, event_type, value FROM events) t GROUP BY 1, 2""")
+def st3_sliding_rates(spark, d):
+    agg = S.windowed_rates(_events(spark, d), ["event_type"], size="2 days", slide="1 day")
+    out = S.run_available_now(agg, "st3s", mode="complete")
+    return rounded(out.select(F.date_format("window.start", _TS_FMT).alias("window_start"), "event_type", "n",
+                              "mean_value"))
+
+
+@register("st4_provider_drift", f"""
+SELECT strftime(date_trunc('day', ts), '{_TS_SQL}') AS window_start, 'prov-' || CAST(user_id % 3 AS VARCHAR) AS provider,
+  'v' || CAST(CAST(json_extract(props, '$.k') AS BIGINT) % 4 AS VARCHAR) AS version, count(*) AS n,
+  'v' || CAST(CAST(json_extract(props, '$.k') AS BIGINT) % 4 AS VARCHAR) = 'v0' AS pinned
+FROM events GROUP BY 1, 2, 3""")
+def st4_provider_drift(spark, d):
+    e = _events(spark, d).select(
+        "ts", F.concat(F.lit("prov-"), (F.col("user_id") % 3).cast("string")).alias("provider"),
+        F.concat(F.lit("v"), (F.get_json_object("props", "$.k").cast("long") % 4).cast("string")).alias("version"))
+    out = S.run_available_now(S.provider_drift(e), "st4", mode="complete")
+    return out.select(F.date_format("window.start", _TS_FMT).alias("window_start"), "provider", "version", "n",
+                      (F.col("version") == "v0").alias("pinned"))

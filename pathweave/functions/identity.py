@@ -45,16 +45,15 @@ def json_quote(col: Column) -> Column:
     return F.concat(F.lit('"'), F.when(col.rlike(_PRINTABLE), simple).otherwise(slow), F.lit('"'))
 
 
-def path_id(signature: Column, turns: Column) -> Column:
+def path_id(signature: Column, turns: Column, quoted_turns: Column | None = None) -> Column:
     """First 16 hex chars of SHA-256 over ``{"signature": s, "turns": [...]}``.
 
     Same canonical text as ``json.dumps({...}, sort_keys=True)``: keys sorted,
-    ``", "`` and ``": "`` separators.
+    ``", "`` and ``": "`` separators.  ``quoted_turns`` is the already quoted,
+    comma-joined turn list when the caller built it without a lambda.
     """
-    doc = F.concat(
-        F.lit('{"signature": '), json_quote(signature),
-        F.lit(', "turns": ['), F.array_join(F.transform(turns, json_quote), ", "), F.lit("]}"),
-    )
+    body = quoted_turns if quoted_turns is not None else F.array_join(F.transform(turns, json_quote), ", ")
+    doc = F.concat(F.lit('{"signature": '), json_quote(signature), F.lit(', "turns": ['), body, F.lit("]}"))
     return F.substring(F.sha2(doc, 256), 1, 16)
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import path_id
+from ..functions.identity import json_quote, path_id
 from ..functions.text import (FILLER_TURN_PREFIX, FIRST_TURN_PREFIX, GROUP_TURN_PREFIX,
                               NEXT_TURN_PREFIX, FillerPlan, approx_tokens, py_strip)
 
@@ -56,7 +56,7 @@ def _placeable(nodes: Column, placed: Column) -> Column:
 
 
 def all_orderings(nodes: Column) -> Column:
-    """Every dependency-respecting ordering, in backtracking (lexicographic) order."""
+    """P1 as one array expression (lambda form, used for small inputs and tests)."""
     start = F.array(F.array().cast("array<string>"))
     return F.aggregate(
         F.sequence(F.lit(1), F.size(nodes)), start,
@@ -64,13 +64,6 @@ def all_orderings(nodes: Column) -> Column:
             acc, lambda p: F.transform(_placeable(nodes, p), lambda c: F.concat(p, F.array(c))))))
 
 
-def first_ordering(nodes: Column) -> Column:
-    """Lexicographically first ordering (greedy smallest placeable); short if stuck."""
-    return F.aggregate(
-        F.sequence(F.lit(1), F.size(nodes)), F.array().cast("array<string>"),
-        lambda p, _i: F.concat(p, F.slice(_placeable(nodes, p), 1, 1)))
-
-
 def _text_map(nodes: Column) -> Column:
     return F.map_from_arrays(F.transform(nodes, lambda x: x["cid"]), F.transform(nodes, lambda x: x["text"]))
 
@@ -88,55 +81,115 @@ def group_turn(placed: Column, text_map: Column) -> Column:
                     F.array_join(F.transform(placed, lambda c: F.element_at(text_map, c)), " "))
 
 
-def cumulative_signature(placed: Column) -> Column:
-    """``[C1][C1,C2]...[F]``."""
-    parts = F.transform(F.sequence(F.lit(1), F.size(placed)),
-                        lambda i: F.concat(F.lit("["), F.array_join(F.slice(placed, 1, i), ","), F.lit("]")))
-    return F.concat(F.when(F.size(placed) > 0, F.array_join(parts, "")).otherwise(F.lit("")), F.lit("[F]"))
+# --- bitmask form: per-scenario masks, then unrolled, lambda-free expansions ----------------
+#
+# Node i (0-based, in sorted id order) has dependency mask dm[i] (bit j = depends on
+# node j; a dependency outside the scenario sets bit 30, never satisfiable).  With at
+# most ``width`` nodes every per-node test below is written out once per position, so
+# the expansions are plain expressions that whole-stage codegen compiles.
 
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
 
-def closed_subset_masks(nodes: Column, min_size: int = 2) -> Column:
-    """Bitmasks of dependency-closed proper subsets with at least ``min_size`` members."""
-    ids = F.transform(nodes, lambda x: x["cid"])
-    dep_masks = F.transform(nodes, lambda x: F.aggregate(
+
+def _has_bit(mask: Column, i) -> Column:
+    sh = F.shiftright(mask, i) if isinstance(i, int) else F.call_function("shiftright", mask, i.cast("int"))
+    return sh.bitwiseAND(F.lit(1).cast("long"))
+
+
+def with_masks(graphs: DataFrame) -> DataFrame:
+    """Add ``ids``, ``tm`` (id -> stripped text), ``dm`` (dependency masks) and ``n``."""
+    ids = F.transform("nodes", lambda x: x["cid"])
+    dm = F.transform("nodes", lambda x: F.aggregate(
         x["deps"], F.lit(0).cast("long"),
         lambda m, d: m.bitwiseOR(F.when(F.array_contains(ids, d), _bit(F.array_position(ids, d) - 1))
                                  .otherwise(F.lit(_MISSING_BIT).cast("long")))))
-    n = F.size(nodes)
-    full = _bit(n) - 1
-    candidates = F.sequence(F.lit(1).cast("long"), full - 1)
-    return F.filter(candidates, lambda m: (F.bit_count(m) >= min_size) & F.forall(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: (_has_bit(m, i) == 0) | (F.element_at(dep_masks, i + 1).bitwiseAND(F.bitwise_not(m)) == 0)))
+    return graphs.select("scenario_id", "nodes", ids.alias("ids"), _text_map(F.col("nodes")).alias("tm"),
+                         dm.alias("dm"), F.size("nodes").alias("n"))
 
 
-def _bit(i: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+def _ready(i: int, mask: Column, allowed: Column | None = None) -> Column:
+    """Node i is unplaced, allowed, and all its dependencies are in ``mask``."""
+    dep = F.get(F.col("dm"), i)
+    cond = (F.lit(i) < F.col("n")) & (_has_bit(mask, i) == 0) & (dep.bitwiseAND(F.bitwise_not(mask)) == 0)
+    if allowed is not None:
+        cond = cond & (_has_bit(allowed, i) == 1)
+    return cond
 
 
-def _has_bit(mask: Column, i: Column) -> Column:
-    return F.call_function("shiftright", mask, i.cast("int")).bitwiseAND(F.lit(1).cast("long"))
+def first_ordering(nodes: Column) -> Column:
+    """Lexicographically first ordering (smallest placeable node each step); short if stuck."""
+    return F.aggregate(
+        F.sequence(F.lit(1), F.size(nodes)), F.array().cast("array<string>"),
+        lambda p, _i: F.concat(p, F.slice(_placeable(nodes, p), 1, 1)))
 
 
-def _members(nodes: Column, mask: Column) -> Column:
-    return F.filter(nodes, lambda x, i: _has_bit(mask, i) == 1)
+def closed_subsets(g: DataFrame, min_size: int = 2, width: int = 5) -> DataFrame:
+    """One row per dependency-closed proper subset (``mask``) of at least ``min_size`` nodes."""
+    full = _bit(F.col("n")) - 1
+    x = g.withColumn("mask", F.explode(F.sequence(F.lit(1).cast("long"), full - 1)))
+    m = F.col("mask")
+    closed = F.lit(True)
+    for i in range(width):
+        dep = F.get(F.col("dm"), i)
+        closed = closed & ((F.lit(i) >= F.col("n")) | (_has_bit(m, i) == 0)
+                           | (dep.bitwiseAND(F.bitwise_not(m)) == 0))
+    return x.filter((F.bit_count(m) >= min_size) & closed)
 
 
-def _finish(df: DataFrame, path_type: str, signature: Column, turns: Column, used: Column) -> DataFrame:
-    return df.select(
-        "scenario_id", F.lit(path_type).alias("path_type"), signature.alias("path_signature"),
-        turns.alias("turns"), used.alias("components_used"),
-    ).select("scenario_id", "path_type", "path_signature",
-             path_id(F.col("path_signature"), F.col("turns")).alias("perm_id"),
-             F.size("turns").cast("int").alias("n_turns"), "components_used", "turns")
+def closed_subset_masks(nodes: Column, min_size: int = 2) -> Column:
+    """P2 as one array expression (lambda form)."""
+    ids = F.transform(nodes, lambda x: x["cid"])
+    dep_masks = F.transform(nodes, lambda x: F.aggregate(
+        x["deps"], F.lit(0).cast("long"),
+        lambda m, d: m.bitwiseOR(F.when(F.array_contains(ids, d), _bit(F.array_position(ids, d) - 1))
+                                 .otherwise(F.lit(_MISSING_BIT).cast("long")))))
+    n = F.size(nodes)
+    candidates = F.sequence(F.lit(1).cast("long"), _bit(n) - 2)
+    return F.filter(candidates, lambda m: (F.bit_count(m) >= min_size) & F.forall(
+        F.sequence(F.lit(0), n - 1),
+        lambda i: (_has_bit(m, i) == 0) | (F.element_at(dep_masks, i + 1).bitwiseAND(F.bitwise_not(m)) == 0)))
 
 
-def sequential_paths(graphs: DataFrame) -> DataFrame:
+def _finish(df: DataFrame, path_type: str, signature: Column, turns: Column, used: Column,
+            quoted_turns: Column | None = None) -> DataFrame:
+    """Common path columns.  ``quoted_turns`` (the JSON text of the turn list,
+    without brackets) may be given when it was built without a lambda."""
+    out = df.select("scenario_id", F.lit(path_type).alias("path_type"), signature.alias("path_signature"),
+                    turns.alias("turns"), used.alias("components_used"),
+                    *([quoted_turns.alias("_qt")] if quoted_turns is not None else []))
+    pid = path_id(F.col("path_signature"), F.col("turns"),
+                  F.col("_qt") if quoted_turns is not None else None)
+    return out.select("scenario_id", "path_type", "path_signature", pid.alias("perm_id"),
+                      F.size("turns").cast("int").alias("n_turns"), "components_used", "turns")
+
+
+def sequential_columns(placed: Column, text_map: Column, width: int = 5):
+    """P6/P8 for one ordering as plain expressions: (signature, turns, quoted turn list)."""
+    n = F.size(placed)
+    turn, quoted, sig = [], [], []
+    for i in range(1, width + 1):
+        t = F.concat(F.lit(FIRST_TURN_PREFIX if i == 1 else NEXT_TURN_PREFIX),
+                     F.element_at(text_map, F.get(placed, i - 1)))
+        turn.append(F.when(n >= i, t))
+        quoted.append(F.when(n >= i, json_quote(t)))
+        sig.append(F.when(n >= i, F.concat(F.lit("["), F.array_join(F.slice(placed, 1, i), ","), F.lit("]"))))
+    signature = F.concat(F.concat_ws("", *sig), F.lit("[F]"))
+    turns = F.slice(F.array(*turn), 1, n)
+    return signature, turns, F.concat_ws(", ", *quoted)
+
+
+def _group_text(placed: Column, text_map: Column, width: int = 5) -> Column:
+    parts = [F.element_at(text_map, F.get(placed, i)) for i in range(width)]
+    return F.concat(F.lit(GROUP_TURN_PREFIX), F.concat_ws(" ", *parts))
+
+
+def sequential_paths(graphs: DataFrame, width: int = 5) -> DataFrame:
     """One path per ordering; cumulative signature, turns add one component each."""
     g = graphs.select("scenario_id", _text_map(F.col("nodes")).alias("tm"),
                       F.explode(all_orderings(F.col("nodes"))).alias("placed"))
-    return _finish(g, "sequential", cumulative_signature(F.col("placed")),
-                   turn_texts(F.col("placed"), F.col("tm")), F.col("placed"))
+    sig, turns, quoted = sequential_columns(F.col("placed"), F.col("tm"), width)
+    return _finish(g, "sequential", sig, turns, F.col("placed"), quoted)
 
 
 def skipped_paths(graphs: DataFrame) -> DataFrame:
@@ -147,35 +200,39 @@ def skipped_paths(graphs: DataFrame) -> DataFrame:
                    F.array(F.concat(F.lit(FIRST_TURN_PREFIX), F.col("r.text"))), placed)
 
 
-def alt_grouping_paths(graphs: DataFrame, min_size: int = 2) -> DataFrame:
+def alt_grouping_paths(graphs: DataFrame, min_size: int = 2, width: int = 5) -> DataFrame:
     """P10: one grouped turn per closed subset, members in their first valid order."""
-    g = graphs.select("scenario_id", "nodes", _text_map(F.col("nodes")).alias("tm"),
-                      F.explode(closed_subset_masks(F.col("nodes"), min_size)).alias("mask"))
-    g = g.withColumn("placed", first_ordering(_members(F.col("nodes"), F.col("mask"))))
+    g = closed_subsets(with_masks(graphs), min_size, width)
+    members = F.filter("nodes", lambda x, i: _has_bit(F.col("mask"), i) == 1)
+    g = g.withColumn("placed", first_ordering(members))
     g = g.filter(F.size("placed") == F.bit_count("mask"))  # a cycle inside the subset: no path
     sig = F.concat(F.lit("["), F.array_join("placed", ","), F.lit("][F]"))
-    return _finish(g, "alt_grouping", sig, F.array(group_turn(F.col("placed"), F.col("tm"))), F.col("placed"))
+    turn = _group_text(F.col("placed"), F.col("tm"), width)
+    return _finish(g, "alt_grouping", sig, F.array(turn), F.col("placed"), json_quote(turn))
 
 
 def direct_paths(graphs: DataFrame) -> DataFrame:
     """The control with no context turns."""
     empty = F.array().cast("array<string>")
-    return _finish(graphs, "direct", F.lit("[F]"), empty, empty)
+    return _finish(graphs, "direct", F.lit("[F]"), empty, empty, F.lit(""))
 
 
-def length_matched_paths(graphs: DataFrame, filler: FillerPlan | None = None) -> DataFrame:
+def length_matched_paths(graphs: DataFrame, filler: FillerPlan | None = None, width: int = 5) -> DataFrame:
     """One filler turn sized to the token total of the first ordering.
 
-    Only scenarios that have an ordering get one (greedy order must place all).
+    Only scenarios that have an ordering get one (the greedy order must place all).
     """
     plan = filler or FillerPlan()
     g = graphs.select("scenario_id", "nodes", first_ordering(F.col("nodes")).alias("placed"),
                       _text_map(F.col("nodes")).alias("tm"))
     g = g.filter(F.size("placed") == F.size("nodes"))
+    # The target is its own column: the filler expression reads it several times.
     target = F.aggregate(turn_texts(F.col("placed"), F.col("tm")), F.lit(0).cast("long"),
                          lambda acc, t: acc + approx_tokens(t))
-    turn = F.concat(F.lit(FILLER_TURN_PREFIX), plan.text(target))
-    return _finish(g, "length_matched", F.lit("[FILLER][F]"), F.array(turn), F.array().cast("array<string>"))
+    g = g.withColumn("target", target)
+    turn = F.concat(F.lit(FILLER_TURN_PREFIX), plan.text(F.col("target")))
+    return _finish(g, "length_matched", F.lit("[FILLER][F]"), F.array(turn), F.array().cast("array<string>"),
+                   json_quote(turn))
 
 
 _BUILDERS = {

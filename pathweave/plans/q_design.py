@@ -13,6 +13,7 @@ from ..sources import corpus as C
 from ..sources import views as V
 from ..sources.views import COMPONENTS_V_SQL, DESIGN_SCENARIOS_V_SQL, RUNS_V_SQL, SCENARIOS_V_SQL, WORDINGS_V_SQL
 from .catalog import register, rounded
+from .generate import build_design
 
 MODEL, PROVIDER, TEMPERATURE = "model-a", "provider-a", 0.7
 PILOT_SCENARIO = "2"
@@ -116,11 +117,9 @@ def p1_all_orderings(spark, d):
 SELECT scenario_id, mask, array_to_string(members, ',') AS members, CAST(len(members) AS INTEGER) AS size
 FROM closed"""))
 def p2_closed_subsets(spark, d):
-    g = _graphs(spark, d)
-    x = g.select("scenario_id", "nodes", F.explode(P.closed_subset_masks(F.col("nodes"))).alias("mask"))
-    members = F.transform(P._members(F.col("nodes"), F.col("mask")), lambda n: n["cid"])
-    return x.select("scenario_id", "mask", F.array_join(members, ",").alias("members"),
-                    F.size(members).cast("int").alias("size"))
+    x = P.closed_subsets(P.with_masks(_graphs(spark, d)))
+    members = F.concat_ws(",", *[F.when(P._has_bit(F.col("mask"), i) == 1, F.get(F.col("ids"), i)) for i in range(5)])
+    return x.select("scenario_id", "mask", members.alias("members"), F.bit_count("mask").cast("int").alias("size"))
 
 
 @register("p3_roots", with_recursive(COMPONENTS_V_SQL, NODES_SQL, body="""
@@ -228,9 +227,10 @@ def p15_path_census(spark, d):
 # --- M: manifest --------------------------------------------------------------------------
 
 def _design(spark, d):
+    """Design tables with the path table materialised once (checkpoint)."""
     comps = V.components_v(spark, d)
-    paths = P.generate_paths(P.gather_graphs(comps))
-    return comps, paths, V.wordings_v(spark, d, comps)
+    design = build_design(comps, V.wordings_v(spark, d, comps), V.design_scenarios_v(spark, d, comps))
+    return comps, design.paths, design.wordings
 
 
 def _manifest(spark, d, replicates=1):

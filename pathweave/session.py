@@ -35,18 +35,21 @@ def get_session(master: str | None = None, app: str = "pathweave", **conf: str)
     return spark
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder there; only when it is unset (local tests)
-    do we create one of our own.
+    do we create one of our own for this application.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="pathweave-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        app = spark.sparkContext.applicationId
+        configured = _OWN_DIRS.get(app)
+        if configured is None:
+            configured = _OWN_DIRS[app] = tempfile.mkdtemp(prefix="pathweave-ckpt-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured

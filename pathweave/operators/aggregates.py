@@ -211,6 +211,7 @@ def outcome_distribution(df: DataFrame, unit_cols: list[str], outcome_col: str =
     """Counts of yes / no / refused per experimental unit."""
     o = F.col(outcome_col)
     return df.groupBy(*unit_cols).agg(
-        F.sum((o == 1).cast("long")).alias("n_yes"), F.sum((o == 0).cast("long")).alias("n_no"),
-        F.sum((F.col(status_col) == "refused").cast("long")).alias("n_refused"),
+        F.sum(F.when(o == 1, 1).otherwise(0)).cast("long").alias("n_yes"),
+        F.sum(F.when(o == 0, 1).otherwise(0)).cast("long").alias("n_no"),
+        F.sum(F.when(F.col(status_col) == "refused", 1).otherwise(0)).cast("long").alias("n_refused"),
         F.count(F.lit(1)).alias("n"))

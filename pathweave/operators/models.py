@@ -90,7 +90,7 @@ def logistic_fixed_effects(df: DataFrame, arm_col: str = "path_type", factor_col
     values) rows whatever the run count.
     """
     arms = arm_levels or PATH_LEVELS
-    cells = binomial_cells(df, [stratum_col, arm_col, factor_col], outcome_col)
+    cells = binomial_cells(df, [stratum_col, arm_col, factor_col], outcome_col).persist()
     factors = factor_values(cells, factor_col)
     strata = factor_values(cells, stratum_col, max_values=4000)
     a_terms = _dummies(arm_col, arms, arm_col)
@@ -198,18 +198,18 @@ def _group_terms(stats, theta):
 
 
 def _objective_partials(p: int, points: list[tuple[float, float, float]]):
-    """mapInPandas body: per batch of groups, summed REML pieces for each candidate point."""
+    """mapInPandas body: per batch of strata, summed REML pieces for each candidate point."""
     def run(it):
         for pdf in it:
             if pdf.empty:
                 continue
             stats = _unpack(pdf, p)
-            rows = []
+            ks, vs = [], []
             for k, theta in enumerate(points):
                 A, c, s, ld, _ = _group_terms(stats, theta)
-                rows.append([k, *A.sum(0).ravel().tolist(), *c.sum(0).tolist(), float(s.sum()), float(ld.sum()),
-                             float(stats[6].sum())])
-            yield pd.DataFrame(rows, columns=["k"] + [f"v{i}" for i in range(p * p + p + 3)])
+                ks.append(k)
+                vs.append(np.concatenate([A.sum(0).ravel(), c.sum(0), [s.sum(), ld.sum(), stats[6].sum()]]))
+            yield pd.DataFrame({"k": ks, "v": vs})
     return run
 
 
@@ -220,12 +220,12 @@ def _evaluate(stats_df: DataFrame, p: int, points, reml: bool = True):
     what reaches the driver is (tasks x points) p x p sums, never strata.
     """
     width = p * p + p + 3
-    schema = "k long, " + ", ".join(f"v{i} double" for i in range(width))
-    parts = stats_df.mapInPandas(_objective_partials(p, points), schema).collect()
+    parts = stats_df.mapInPandas(_objective_partials(p, points), "k long, v array<double>").collect()
     acc = {}
     for r in parts:
-        v = np.array([r[f"v{i}"] for i in range(width)])
-        acc[r["k"]] = acc.get(r["k"], 0) + v
+        v = np.asarray(r[1], dtype=float)
+        acc[r[0]] = acc.get(r[0], 0) + v
+    assert all(len(v) == width for v in acc.values())
     out = {}
     for k, v in acc.items():
         A = v[: p * p].reshape(p, p)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import json_quote, path_id
+from ..session import cut_lineage
 from ..functions.text import (FILLER_TURN_PREFIX, FIRST_TURN_PREFIX, GROUP_TURN_PREFIX,
                               NEXT_TURN_PREFIX, FillerPlan, approx_tokens, py_strip)
 
@@ -244,12 +245,19 @@ _BUILDERS = {
 }
 
 
-def generate_paths(graphs: DataFrame, path_types: list[str] | None = None, sort: bool = False) -> DataFrame:
+def generate_paths(graphs: DataFrame, path_types: list[str] | None = None, sort: bool = False,
+                   materialise: bool = True) -> DataFrame:
     """All requested path types as one DataFrame (union of narrow expansions)."""
     types = path_types or PATH_TYPES
     unknown = set(types) - set(_BUILDERS)
     if unknown:
         raise ValueError(f"unknown path types: {sorted(unknown)}")
+    if len(types) > 1 and materialise:
+        # Every path type reads the gathered graphs; each branch prunes different
+        # columns, so Spark cannot reuse one exchange for all of them.  Cut the
+        # lineage once (reliable checkpoint in the shared folder) instead of
+        # re-reading and re-shuffling the components per path type.
+        graphs = cut_lineage(graphs)
     out = None
     for t in types:
         part = _BUILDERS[t](graphs)

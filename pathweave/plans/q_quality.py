@@ -111,7 +111,18 @@ def dq12_violation_report(spark, d):
     return Q.violation_report(docs, comps, words)
 
 
-@register("dq12_violation_counts", None)
+def _dq12_counts_sql():
+    from .catalog import ORACLES
+    rules = ["dq1_enum_membership", "dq2_setup_blank", "dq3_no_wording", "dq4_dangling_dependency",
+             "dq5_dependency_cycles", "dq6_component_count", "dq7_duplicate_ids"]
+    parts = []
+    for i, name in enumerate(rules):
+        sql = ORACLES[name]
+        parts.append(f"SELECT rule, count(*) AS n FROM ({sql}) q{i} GROUP BY rule")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("dq12_violation_counts", _dq12_counts_sql())
 def dq12_violation_counts(spark, d):
     docs, comps, words = _raw(spark, d)
     return Q.violation_report(docs, comps, words).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
@@ -204,7 +215,13 @@ def io2_load_errors(spark, d):
     return C.load_errors(C.parse_documents(C.render_yaml(nested)))
 
 
-@register("io5_runs_table")
+@register("io5_runs_table", with_ctes(RUNS_V_SQL, body="""
+SELECT CAST(run_id AS VARCHAR) AS run_id, scenario_id, path_type, CAST(NULL AS VARCHAR) AS path_signature,
+  CAST(NULL AS VARCHAR) AS perm_id, terminal_wording_id, CAST(NULL AS VARCHAR) AS model,
+  CAST(NULL AS VARCHAR) AS model_version, provider_requested, provider_used, CAST(NULL AS DOUBLE) AS temperature,
+  CAST(NULL AS INTEGER) AS seed, CAST(NULL AS INTEGER) AS replicate_idx, CAST(verdict AS INTEGER) AS verdict,
+  coalesce(status, 'pending') AS status, CAST(NULL AS INTEGER) AS n_turns, CAST(total_tokens AS INTEGER) AS total_tokens,
+  CAST(NULL AS INTEGER) AS latency_ms, CAST(NULL AS TIMESTAMP) AS "timestamp" FROM runs_v"""))
 def io5_runs_table(spark, d):
     return C.conform(V.runs_v(spark, d).withColumn("run_id", F.col("run_id").cast("string")), C.RUNS_SCHEMA)
 

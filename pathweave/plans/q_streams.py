@@ -14,6 +14,8 @@ _TS_SQL = "%Y-%m-%d %H:%M:%S.%f"
 
 
 def _events(spark, d, max_files=None):
+    # Event-time windows are epoch-aligned; day windows mean UTC days.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = read(spark, d, "events").schema
     return S.as_event_time(S.file_stream(spark, d, schema, glob="events.parquet", max_files_per_trigger=max_files))
 

@@ -6,6 +6,8 @@ processes and identical in DuckDB (``sha256``).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,18 +33,29 @@ def _escape_char(c: Column) -> Column:
             .otherwise(pair))
 
 
-def json_quote(col: Column) -> Column:
-    """A JSON string literal exactly as Python's ``json.dumps`` writes it.
+def json_escape(col: Column) -> Column:
+    """The body of a JSON string literal exactly as Python's ``json.dumps`` writes it.
 
     ASCII-only output (``ensure_ascii``): quote and backslash escaped, the five
     short control escapes, other control and non-ASCII characters as
     lower-case ``\\uXXXX`` (surrogate pairs above the BMP).  Plain printable
     ASCII takes a two-``replace`` fast path; the per-character transform only
-    runs on strings that need it.
+    runs on strings that need it.  Escaping is per character, so the escape
+    of a concatenation is the concatenation of the escapes.
     """
     simple = F.replace(F.replace(col, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     slow = F.array_join(F.transform(F.split(col, ""), _escape_char), "")
-    return F.concat(F.lit('"'), F.when(col.rlike(_PRINTABLE), simple).otherwise(slow), F.lit('"'))
+    return F.when(col.rlike(_PRINTABLE), simple).otherwise(slow)
+
+
+def json_quote(col: Column) -> Column:
+    """A JSON string literal (``json.dumps`` of one string)."""
+    return F.concat(F.lit('"'), json_escape(col), F.lit('"'))
+
+
+def py_json_escape(s: str) -> str:
+    """Driver-side escape of a literal (same rules)."""
+    return json.dumps(s)[1:-1]
 
 
 def path_id(signature: Column, turns: Column, quoted_turns: Column | None = None) -> Column:

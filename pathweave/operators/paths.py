@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import json_quote, path_id
+from ..functions.identity import json_escape, json_quote, path_id, py_json_escape
 from ..session import cut_lineage
 from ..functions.text import (FILLER_TURN_PREFIX, FIRST_TURN_PREFIX, GROUP_TURN_PREFIX,
                               NEXT_TURN_PREFIX, FillerPlan, approx_tokens, py_strip)
@@ -99,14 +99,16 @@ def _has_bit(mask: Column, i) -> Column:
 
 
 def with_masks(graphs: DataFrame) -> DataFrame:
-    """Add ``ids``, ``tm`` (id -> stripped text), ``dm`` (dependency masks) and ``n``."""
+    """Add ``ids``, ``tm`` (id -> stripped text), ``qm`` (id -> JSON-escaped text, once per
+    scenario), ``dm`` (dependency masks) and ``n``."""
     ids = F.transform("nodes", lambda x: x["cid"])
     dm = F.transform("nodes", lambda x: F.aggregate(
         x["deps"], F.lit(0).cast("long"),
         lambda m, d: m.bitwiseOR(F.when(F.array_contains(ids, d), _bit(F.array_position(ids, d) - 1))
                                  .otherwise(F.lit(_MISSING_BIT).cast("long")))))
+    qm = F.map_from_arrays(ids, F.transform("nodes", lambda x: json_escape(x["text"])))
     return graphs.select("scenario_id", "nodes", ids.alias("ids"), _text_map(F.col("nodes")).alias("tm"),
-                         dm.alias("dm"), F.size("nodes").alias("n"))
+                         qm.alias("qm"), dm.alias("dm"), F.size("nodes").alias("n"))
 
 
 def _ready(i: int, mask: Column, allowed: Column | None = None) -> Column:
@@ -125,6 +127,33 @@ def first_ordering(nodes: Column) -> Column:
         lambda p, _i: F.concat(p, F.slice(_placeable(nodes, p), 1, 1)))
 
 
+def shape_orderings(g: DataFrame, max_shapes: int = 200_000) -> DataFrame:
+    """P1 once per distinct DAG shape, joined back to every scenario of that shape.
+
+    An ordering depends only on the shape ``(n, dm)`` (node count and
+    dependency masks over sorted ids), and there are at most 29,281 labelled
+    DAGs on five nodes, so the expansion runs once per shape actually present,
+    not once per scenario.  The shape table is broadcast only after its row
+    count is proven below ``max_shapes`` (a hot shape then costs nothing);
+    otherwise it is a shuffle join.  Output: ``g`` columns + ``order``
+    (node indices).
+    """
+    from .frames import bounded_broadcast
+    shapes = g.select("n", "dm").distinct()
+    pseudo = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(
+        i.cast("string").alias("cid"),
+        F.transform(F.filter(F.sequence(F.lit(0), F.lit(30)), lambda j: _has_bit(F.get(F.col("dm"), i), j) == 1),
+                    lambda j: j.cast("string")).alias("deps")))
+    table = shapes.select("n", "dm", F.explode(all_orderings(pseudo)).alias("o")).select(
+        "n", "dm", F.transform("o", lambda x: x.cast("int")).alias("order"))
+    return g.join(bounded_broadcast(table, max_shapes * 10), ["n", "dm"])
+
+
+def ids_of(order: Column) -> Column:
+    """Node indices -> component ids."""
+    return F.transform(order, lambda i: F.get(F.col("ids"), i))
+
+
 def closed_subsets(g: DataFrame, min_size: int = 2, width: int = 5) -> DataFrame:
     """One row per dependency-closed proper subset (``mask``) of at least ``min_size`` nodes."""
     full = _bit(F.col("n")) - 1
@@ -165,15 +194,24 @@ def _finish(df: DataFrame, path_type: str, signature: Column, turns: Column, use
                       F.size("turns").cast("int").alias("n_turns"), "components_used", "turns")
 
 
-def sequential_columns(placed: Column, text_map: Column, width: int = 5):
-    """P6/P8 for one ordering as plain expressions: (signature, turns, quoted turn list)."""
+def sequential_columns(placed: Column, text_map: Column, width: int = 5, quoted_map: Column | None = None):
+    """P6/P8 for one ordering as plain expressions: (signature, turns, quoted turn list).
+
+    With ``quoted_map`` (id -> escaped text) the JSON turn list is assembled
+    from pre-escaped pieces, with no per-path regex.
+    """
     n = F.size(placed)
     turn, quoted, sig = [], [], []
     for i in range(1, width + 1):
-        t = F.concat(F.lit(FIRST_TURN_PREFIX if i == 1 else NEXT_TURN_PREFIX),
-                     F.element_at(text_map, F.get(placed, i - 1)))
+        prefix = FIRST_TURN_PREFIX if i == 1 else NEXT_TURN_PREFIX
+        c = F.get(placed, i - 1)
+        t = F.concat(F.lit(prefix), F.element_at(text_map, c))
         turn.append(F.when(n >= i, t))
-        quoted.append(F.when(n >= i, json_quote(t)))
+        if quoted_map is not None:
+            q = F.concat(F.lit('"' + py_json_escape(prefix)), F.element_at(quoted_map, c), F.lit('"'))
+        else:
+            q = json_quote(t)
+        quoted.append(F.when(n >= i, q))
         sig.append(F.when(n >= i, F.concat(F.lit("["), F.array_join(F.slice(placed, 1, i), ","), F.lit("]"))))
     signature = F.concat(F.concat_ws("", *sig), F.lit("[F]"))
     turns = F.slice(F.array(*turn), 1, n)
@@ -185,11 +223,15 @@ def _group_text(placed: Column, text_map: Column, width: int = 5) -> Column:
     return F.concat(F.lit(GROUP_TURN_PREFIX), F.concat_ws(" ", *parts))
 
 
+def _group_quoted(placed: Column, quoted_map: Column, width: int = 5) -> Column:
+    parts = [F.element_at(quoted_map, F.get(placed, i)) for i in range(width)]
+    return F.concat(F.lit('"' + py_json_escape(GROUP_TURN_PREFIX)), F.concat_ws(" ", *parts), F.lit('"'))
+
+
 def sequential_paths(graphs: DataFrame, width: int = 5) -> DataFrame:
     """One path per ordering; cumulative signature, turns add one component each."""
-    g = graphs.select("scenario_id", _text_map(F.col("nodes")).alias("tm"),
-                      F.explode(all_orderings(F.col("nodes"))).alias("placed"))
-    sig, turns, quoted = sequential_columns(F.col("placed"), F.col("tm"), width)
+    g = shape_orderings(with_masks(graphs)).withColumn("placed", ids_of(F.col("order")))
+    sig, turns, quoted = sequential_columns(F.col("placed"), F.col("tm"), width, F.col("qm"))
     return _finish(g, "sequential", sig, turns, F.col("placed"), quoted)
 
 
@@ -197,8 +239,9 @@ def skipped_paths(graphs: DataFrame) -> DataFrame:
     """P9 (with P3 roots): ``[Ci][F]`` for each component without dependencies."""
     g = graphs.select("scenario_id", F.explode(F.filter("nodes", lambda x: F.size(x["deps"]) == 0)).alias("r"))
     placed = F.array(F.col("r.cid"))
+    quoted = F.concat(F.lit('"' + py_json_escape(FIRST_TURN_PREFIX)), json_escape(F.col("r.text")), F.lit('"'))
     return _finish(g, "skipped", F.concat(F.lit("["), F.col("r.cid"), F.lit("][F]")),
-                   F.array(F.concat(F.lit(FIRST_TURN_PREFIX), F.col("r.text"))), placed)
+                   F.array(F.concat(F.lit(FIRST_TURN_PREFIX), F.col("r.text"))), placed, quoted)
 
 
 def alt_grouping_paths(graphs: DataFrame, min_size: int = 2, width: int = 5) -> DataFrame:
@@ -209,7 +252,8 @@ def alt_grouping_paths(graphs: DataFrame, min_size: int = 2, width: int = 5) ->
     g = g.filter(F.size("placed") == F.bit_count("mask"))  # a cycle inside the subset: no path
     sig = F.concat(F.lit("["), F.array_join("placed", ","), F.lit("][F]"))
     turn = _group_text(F.col("placed"), F.col("tm"), width)
-    return _finish(g, "alt_grouping", sig, F.array(turn), F.col("placed"), json_quote(turn))
+    return _finish(g, "alt_grouping", sig, F.array(turn), F.col("placed"),
+                   _group_quoted(F.col("placed"), F.col("qm"), width))
 
 
 def direct_paths(graphs: DataFrame) -> DataFrame:
@@ -227,13 +271,15 @@ def length_matched_paths(graphs: DataFrame, filler: FillerPlan | None = None, wi
     g = graphs.select("scenario_id", "nodes", first_ordering(F.col("nodes")).alias("placed"),
                       _text_map(F.col("nodes")).alias("tm"))
     g = g.filter(F.size("placed") == F.size("nodes"))
-    # The target is its own column: the filler expression reads it several times.
+    # The target is its own column: the filler expressions read it several times.
     target = F.aggregate(turn_texts(F.col("placed"), F.col("tm")), F.lit(0).cast("long"),
                          lambda acc, t: acc + approx_tokens(t))
     g = g.withColumn("target", target)
     turn = F.concat(F.lit(FILLER_TURN_PREFIX), plan.text(F.col("target")))
+    quoted = F.concat(F.lit('"' + py_json_escape(FILLER_TURN_PREFIX)), plan.text(F.col("target"), escaped=True),
+                      F.lit('"'))
     return _finish(g, "length_matched", F.lit("[FILLER][F]"), F.array(turn), F.array().cast("array<string>"),
-                   json_quote(turn))
+                   quoted)
 
 
 _BUILDERS = {

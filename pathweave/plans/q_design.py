@@ -108,9 +108,8 @@ def _out(paths):
 @register("p1_all_orderings", with_recursive(COMPONENTS_V_SQL, NODES_SQL, TMAP_SQL, WALK_SQL, ORD_SQL, body="""
 SELECT scenario_id, array_to_string(placed, ',') AS ordering FROM ord"""))
 def p1_all_orderings(spark, d):
-    g = _graphs(spark, d)
-    return g.select("scenario_id", F.explode(P.all_orderings(F.col("nodes"))).alias("o")).select(
-        "scenario_id", F.array_join("o", ",").alias("ordering"))
+    g = P.shape_orderings(P.with_masks(_graphs(spark, d)))
+    return g.select("scenario_id", F.array_join(P.ids_of(F.col("order")), ",").alias("ordering"))
 
 
 @register("p2_closed_subsets", with_recursive(COMPONENTS_V_SQL, NODES_SQL, TMAP_SQL, *CLOSED_SQL, body="""

@@ -145,3 +145,10 @@ def test_oversized_scenarios_are_not_gathered(spark):
     rows = [("big", f"C{i}", "t", []) for i in range(1, 8)] + CHAIN
     g = P.gather_graphs(spark.createDataFrame(rows, SCHEMA))
     assert sorted(r.scenario_id for r in g.collect()) == ["chain"]
+
+
+def test_path_ids_with_escapes_and_unicode(spark):
+    rows = [("u", "C1", ' café "quoted" ', []), ("u", "C2", "back\\slash\nline", ["C1"]),
+            ("u", "C3", "emoji 😀 ü", [])]
+    for p in _paths(spark, rows):
+        assert p["perm_id"] == _py_id(p["path_signature"], p["turns"]), p["path_type"]

@@ -225,10 +225,11 @@ def p15_path_census(spark, d):
 
 # --- M: manifest --------------------------------------------------------------------------
 
-def _design(spark, d):
-    """Design tables with the path table materialised once (checkpoint)."""
+def _design(spark, d, materialise=False):
+    """Design tables; the path table is materialised once when a query reads it twice."""
     comps = V.components_v(spark, d)
-    design = build_design(comps, V.wordings_v(spark, d, comps), V.design_scenarios_v(spark, d, comps))
+    design = build_design(comps, V.wordings_v(spark, d, comps), V.design_scenarios_v(spark, d, comps),
+                          materialise=materialise)
     return comps, design.paths, design.wordings
 
 
@@ -311,7 +312,7 @@ SELECT CASE WHEN w2.wording_id IS NULL THEN 'unknown wording' END AS resolve_err
 FROM man LEFT JOIN w2 ON man.scenario_id = w2.scenario_id AND man.terminal_wording_id = w2.wording_id
 GROUP BY 1, 2, 3"""))
 def m9_resolve_manifest(spark, d):
-    comps, paths, words = _design(spark, d)
+    comps, paths, words = _design(spark, d, materialise=True)
     man = M.build_manifest(paths, words, 1, MODEL, PROVIDER, TEMPERATURE)
     revised = words.filter(F.col("wording_id") != "W3")
     scen = V.design_scenarios_v(spark, d, comps)

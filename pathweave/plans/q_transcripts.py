@@ -29,7 +29,7 @@ _STRICT_SQL = r"""CASE regexp_replace(regexp_extract(lower(regexp_replace(conten
 
 def _resolved(spark, d):
     from .q_design import _design
-    comps, paths, words = _design(spark, d)
+    comps, paths, words = _design(spark, d, materialise=True)
     scen = V.design_scenarios_v(spark, d, comps)
     man = M.build_manifest(paths, words, 1, MODEL, PROVIDER, TEMPERATURE)
     r = M.resolve_manifest(man, scen, paths, words)
@@ -241,7 +241,7 @@ def l1_upsert_scenarios(spark, d):
 SELECT path_type, count(*) AS n_new FROM man WHERE replicate_idx = 1 GROUP BY 1"""))
 def l2_insert_or_ignore_manifest(spark, d):
     from .q_design import _design
-    _, paths, words = _design(spark, d)
+    _, paths, words = _design(spark, d, materialise=True)
     existing = M.build_manifest(paths, words, 1, MODEL, PROVIDER, TEMPERATURE)
     incoming = M.build_manifest(paths, words, 2, MODEL, PROVIDER, TEMPERATURE)
     new = L.insert_or_ignore(existing, incoming, "run_id")

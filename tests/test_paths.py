@@ -123,12 +123,16 @@ def test_random_dags_against_brute_force(spark):
     got_o = {}
     for r in g.select("scenario_id", F.explode(P.all_orderings(F.col("nodes"))).alias("o")).collect():
         got_o.setdefault(r.scenario_id, []).append(",".join(r.o))
+    got_shape = {}
+    for r in P.shape_orderings(P.with_masks(g)).select("scenario_id", P.ids_of(F.col("order")).alias("o")).collect():
+        got_shape.setdefault(r.scenario_id, []).append(",".join(r.o))
     m = P.closed_subsets(P.with_masks(g))
     got_s = {}
     for r in m.select("scenario_id", "mask", "ids").collect():
         got_s.setdefault(r.scenario_id, []).append(",".join(c for i, c in enumerate(r.ids) if r.mask >> i & 1))
     for sid, (orders, subsets) in truth.items():
         assert sorted(got_o.get(sid, [])) == orders, sid
+        assert sorted(got_shape.get(sid, [])) == orders, sid
         assert sorted(got_s.get(sid, [])) == subsets, sid
 
 

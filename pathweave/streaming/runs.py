@@ -106,30 +106,46 @@ def run_available_now(df: DataFrame, name: str, mode: str = "append", base: str
 
 
 def live_status(stream: DataFrame, name: str, run_col: str = "run_id", ts: str = "ts",
-                payload: tuple[str, ...] = ("status",)) -> DataFrame:
+                payload: tuple[str, ...] = ("status",), buckets: int = 64, root: str | None = None) -> DataFrame:
     """ST2: keep a ledger of each run's latest status current as events stream in.
 
-    The stateful aggregation emits changed runs (update mode); ``foreachBatch``
-    merges them into the previous ledger version with ``latest_per_key`` and
-    writes version ``v<batch>``.  The newest version is the current ledger.
+    The stateful aggregation emits only changed runs (update mode).  The
+    ledger is hash-bucketed on the run id; ``foreachBatch`` rewrites only the
+    buckets a micro-batch touches (merge with ``latest_per_key``) into a folder
+    for that batch, and a small bucket -> folder map (``buckets`` rows, kept
+    in the ledger folder) names each bucket's current version.  A batch costs
+    the size of the buckets it touches, not of the whole ledger; a replayed
+    batch overwrites its own folder, and a restart resumes from the map.
     """
     spark = stream.sparkSession
-    root = table_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
+    base = root or table_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
     state = latest_status(stream.withWatermark(ts, "3650 days"), run_col, ts, payload)
-    versions: list[str] = []
+    map_path = os.path.join(base, "current")
+    current: dict[int, str] = {}
+    try:
+        current = {r.bucket: r.path for r in spark.read.json(map_path).collect()}
+    except Exception:  # first start: no map yet
+        current = {}
+    bucket = F.pmod(F.hash(F.col(run_col)), F.lit(buckets))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        merged = batch
-        if versions:
-            merged = latest_per_key(spark.read.parquet(versions[-1]).unionByName(batch), [run_col], ts)
-        path = os.path.join(root, "ledger", f"v{batch_id:09d}")
-        merged.write.mode("overwrite").parquet(path)
-        versions.append(path)
+        b = batch.withColumn("_b", bucket)
+        touched = sorted(r._b for r in b.select("_b").distinct().collect())  # at most ``buckets``
+        old = [current[k] for k in touched if k in current]
+        merged = b.drop("_b")
+        if old:
+            merged = latest_per_key(spark.read.parquet(*old).unionByName(merged), [run_col], ts)
+        out = os.path.join(base, "ledger", f"v{batch_id:09d}")
+        merged.withColumn("_b", bucket).write.mode("overwrite").partitionBy("_b").parquet(out)
+        for k in touched:
+            current[k] = os.path.join(out, f"_b={k}")
+        spark.createDataFrame(sorted(current.items()), "bucket int, path string").coalesce(1) \
+            .write.mode("overwrite").json(map_path)
 
     q = (state.writeStream.outputMode("update").foreachBatch(merge)
-         .option("checkpointLocation", os.path.join(root, "_checkpoint"))
+         .option("checkpointLocation", os.path.join(base, "_checkpoint"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    if not versions:
+    if not current:
         return _empty_like(spark, state)
-    return spark.read.parquet(versions[-1])
+    return spark.read.parquet(*current.values())

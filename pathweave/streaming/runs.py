@@ -122,10 +122,11 @@ def live_status(stream: DataFrame, name: str, run_col: str = "run_id", ts: str =
     state = latest_status(stream.withWatermark(ts, "3650 days"), run_col, ts, payload)
     map_path = os.path.join(base, "current")
     current: dict[int, str] = {}
-    try:
-        current = {r.bucket: r.path for r in spark.read.json(map_path).collect()}
-    except Exception:  # first start: no map yet
-        current = {}
+    if root is not None:  # resuming an existing ledger: read its bucket map (if any)
+        try:
+            current = {r.bucket: r.path for r in spark.read.json(map_path).collect()}
+        except Exception:  # no batch committed yet
+            current = {}
     bucket = F.pmod(F.hash(F.col(run_col)), F.lit(buckets))
 
     def merge(batch: DataFrame, batch_id: int) -> None:

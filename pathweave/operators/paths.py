@@ -127,15 +127,15 @@ def first_ordering(nodes: Column) -> Column:
         lambda p, _i: F.concat(p, F.slice(_placeable(nodes, p), 1, 1)))
 
 
-def shape_orderings(g: DataFrame, max_shapes: int = 200_000) -> DataFrame:
+def shape_orderings(g: DataFrame, max_rows: int = 500_000) -> DataFrame:
     """P1 once per distinct DAG shape, joined back to every scenario of that shape.
 
     An ordering depends only on the shape ``(n, dm)`` (node count and
     dependency masks over sorted ids), and there are at most 29,281 labelled
     DAGs on five nodes, so the expansion runs once per shape actually present,
-    not once per scenario.  The shape table is broadcast only after its row
-    count is proven below ``max_shapes`` (a hot shape then costs nothing);
-    otherwise it is a shuffle join.  Output: ``g`` columns + ``order``
+    not once per scenario.  The (shape, ordering) table is broadcast only after
+    its row count is proven at most ``max_rows`` (a hot shape then costs
+    nothing); otherwise it is a shuffle join.  Output: ``g`` columns + ``order``
     (node indices).
     """
     from .frames import bounded_broadcast
@@ -146,7 +146,7 @@ def shape_orderings(g: DataFrame, max_shapes: int = 200_000) -> DataFrame:
                     lambda j: j.cast("string")).alias("deps")))
     table = shapes.select("n", "dm", F.explode(all_orderings(pseudo)).alias("o")).select(
         "n", "dm", F.transform("o", lambda x: x.cast("int")).alias("order"))
-    return g.join(bounded_broadcast(table, max_shapes * 10), ["n", "dm"])
+    return g.join(bounded_broadcast(table, max_rows), ["n", "dm"])
 
 
 def ids_of(order: Column) -> Column:

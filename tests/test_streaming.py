@@ -61,3 +61,25 @@ def test_live_status_keeps_latest(spark, scratch):
         .parquet(root)
     ledger = S.live_status(stream, "live-test")
     assert {r.run_id: r.status for r in ledger.collect()} == {1: "complete", 2: "refused"}
+
+
+def test_live_status_resumes_from_its_folder(spark, scratch):
+    t = pd.Timestamp
+    root = os.path.join(scratch, "resume-events")
+    ledger_root = os.path.join(scratch, "resume-ledger")
+
+    def stream():
+        return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1) \
+            .option("recursiveFileLookup", "true").parquet(root)
+
+    _write_days(spark, root, [[(1, t("2024-01-01 10:00"), 1, "running", 0.0),
+                               (2, t("2024-01-01 10:00"), 2, "running", 0.0)]])
+    first = S.live_status(stream(), "resume", root=ledger_root, buckets=4)
+    assert {r.run_id: r.status for r in first.collect()} == {1: "running", 2: "running"}
+    # new files arrive; the job restarts on the same folder and checkpoint
+    spark.createDataFrame(pd.DataFrame([(3, t("2024-01-02 10:00"), 2, "complete", 0.0),
+                                        (4, t("2024-01-02 11:00"), 3, "failed", 0.0)],
+                                       columns=["event_id", "ts", "run_id", "status", "value"]), SCHEMA) \
+        .coalesce(1).write.parquet(os.path.join(root, "part99"))
+    second = S.live_status(stream(), "resume", root=ledger_root, buckets=4)
+    assert {r.run_id: r.status for r in second.collect()} == {1: "running", 2: "complete", 3: "failed"}

@@ -42,11 +42,14 @@ _OWN_DIRS: dict[str, str] = {}
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; only when it is unset (local tests)
-    do we create one of our own for this application.
+    A cluster names a shared folder there (required: a machine-local folder
+    would not survive executor loss); only in local mode with the setting
+    unset (tests) do we create one of our own for this application.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         app = spark.sparkContext.applicationId
         configured = _OWN_DIRS.get(app)
         if configured is None:

@@ -9,14 +9,13 @@ from ..functions.identity import sql_json_quote
 from ..functions.text import sql_str
 from ..operators import ledger as L
 from ..operators import manifest as M
-from ..operators import paths as P
 from ..operators import transcripts as T
 from ..sources import corpus as C
 from ..sources import views as V
 from ..sources.views import RESPONSES_V_SQL, RUNS_V_SQL, STATUS_LOG_V_SQL, TURNS_V_SQL, with_ctes
 from .catalog import register, rounded
-from .q_design import (ALL_PATH_CTES, COMPONENTS_V_SQL, DESIGN_SCENARIOS_V_SQL, MODEL, PATHS_WITH_IDS, PROVIDER,
-                       TEMPERATURE, WORDINGS_V_SQL, _manifest_sql, with_recursive)
+from .q_design import (COMPONENTS_V_SQL, DESIGN_SCENARIOS_V_SQL, MODEL, PROVIDER, TEMPERATURE, _manifest_sql,
+                       with_recursive)
 
 RUN_OF_INTEREST = 3
 _VERDICT_SQL = r"""CASE WHEN lower(regexp_replace(content, '^\s+|\s+$', '', 'g')) LIKE 'yes%' THEN 1

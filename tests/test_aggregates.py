@@ -2,7 +2,6 @@
 import random
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from pathweave.operators import aggregates as G
 from pathweave.operators import inference as S

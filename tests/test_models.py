@@ -40,7 +40,7 @@ def _irls(X, y, iters=50):
     for _ in range(iters):
         mu = 1 / (1 + np.exp(-X @ b))
         W = mu * (1 - mu)
-        b = np.linalg.solve(X.T @ (X * W[:, None]), X.T @ (X * W[:, None] @ np.ones(1) if False else (W * (X @ b) + (y - mu))))
+        b = np.linalg.solve(X.T @ (X * W[:, None]), X.T @ (W * (X @ b) + (y - mu)))  # IRLS step
     mu = 1 / (1 + np.exp(-X @ b))
     cov = np.linalg.inv(X.T @ (X * (mu * (1 - mu))[:, None]))
     return b, np.sqrt(np.diag(cov))

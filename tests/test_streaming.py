@@ -2,7 +2,6 @@
 import os
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from pathweave.streaming import runs as S
 

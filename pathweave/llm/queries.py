@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 _SQL_WORDS = r"coalesce(regexp_extract_all({}, '[^\x20\x09-\x0D]+'), [])"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,7 +49,7 @@ def op1(spark, sf_dir):
 
 
 @_query("op7_near_duplicates", f"""
-WITH RECURSIVE d AS (SELECT doc_id, {_SQL_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, {_SQL_WORDS.format(_LOWER.format('text'))} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[p:p + 4], ' ')) AS h
       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
@@ -62,3 +63,27 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)""")
 def op7(spark, sf_dir):
     from .minhash import near_duplicates
     return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+@_query("op5_benchmark_decontamination", f"""
+WITH d AS (SELECT doc_id, {_SQL_WORDS.format(_LOWER.format('text'))} AS w FROM documents),
+i AS (SELECT item_id, {_SQL_WORDS.format(_LOWER.format('text'))} AS w FROM benchmark),
+ds AS (SELECT doc_id, p - 1 AS p, md5(array_to_string(w[p:p + 4], ' ')) AS h
+       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0)),
+its AS (SELECT item_id, greatest(len(w) - 4, 1) AS m, md5(array_to_string(w[p:p + 4], ' ')) AS h
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM i WHERE len(w) > 0)),
+ic AS (SELECT item_id, any_value(m) AS m, h, count(*) AS c FROM its GROUP BY item_id, h),
+hit AS (SELECT doc_id, item_id, m, ds.h, p, c FROM ds JOIN ic USING (h)),
+win AS (SELECT doc_id, item_id, m, h, c, unnest(range(p - m + 1, p + 1)) AS s FROM hit),
+wc AS (SELECT doc_id, item_id, m, s, h, least(count(*), any_value(c)) AS b FROM win GROUP BY ALL),
+wi AS (SELECT doc_id, item_id, m, s, sum(b) AS b FROM (SELECT doc_id, item_id, m, s, h, b FROM wc) GROUP BY ALL),
+dn AS (SELECT doc_id, count(*) AS n FROM ds GROUP BY doc_id),
+sim AS (SELECT doc_id, item_id, greatest(s, 0) AS s, b,
+               (least(s + m, n) - greatest(s, 0)) + m - b AS e FROM wi JOIN dn USING (doc_id)),
+ok AS (SELECT doc_id, item_id, s, b / e AS similarity FROM sim WHERE 100 * b >= 75 * e)
+SELECT doc_id, item_id, max(similarity)::DOUBLE AS similarity,
+       min(s) FILTER (similarity = top)::BIGINT AS window_start
+FROM (SELECT *, max(similarity) OVER (PARTITION BY doc_id, item_id) AS top FROM ok) GROUP BY doc_id, item_id""")
+def op5(spark, sf_dir):
+    from .decontamination import contaminated
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))

@@ -87,3 +87,54 @@ FROM (SELECT *, max(similarity) OVER (PARTITION BY doc_id, item_id) AS top FROM
 def op5(spark, sf_dir):
     from .decontamination import contaminated
     return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+@_query("op2_lexical_packing")
+def op2(spark, sf_dir):
+    import public_tokenizers
+
+    from .packing import pack
+    return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op3_arc_to_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+q AS (SELECT page_id, strlen(t)::BIGINT AS payload_bytes, sha256(t) AS payload_digest, min(page_id) OVER (PARTITION BY t) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+FROM q""")
+def op3(spark, sf_dir):
+    from .warc import arc_round_trip
+    return arc_round_trip(_read(spark, sf_dir, "pages"))
+
+
+@_query("op4_suffix_tree_scores")
+def op4(spark, sf_dir):
+    from .suffix_tree import suffix_tree_scores
+    return suffix_tree_scores(_read(spark, sf_dir, "documents"))
+
+
+@_query("op6_histogram_shards")
+def op6(spark, sf_dir):
+    from .sharding import histogram_shards
+    return histogram_shards(_read(spark, sf_dir, "documents"))
+
+
+@_query("op8_quality_scores")
+def op8(spark, sf_dir):
+    from .boosting import quality_scores
+    return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+@_query("op9_language_mixture")
+def op9(spark, sf_dir):
+    from .language_mixture import predict_languages
+    return predict_languages(_read(spark, sf_dir, "documents")).drop("languages")
+
+
+@_query("op10_weak_quality_rules")
+def op10(spark, sf_dir):
+    from .weak_rules import weak_quality
+    return (weak_quality(_read(spark, sf_dir, "documents"))
+            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good"))

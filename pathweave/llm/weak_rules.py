@@ -4,9 +4,9 @@ Each rule votes good (2), bad (1) or abstains (0) on a document's statistics.  A
 document's votes are a pattern, a number in base 3; the corpus is reduced to a
 count for each pattern (at most 3^rules, whatever the corpus).  On these counts,
 expectation-maximisation estimates the share of good documents and each rule's
-probabilities of its three votes for good and for bad documents, so a rule that
-says nothing gets no weight and no label is needed.  A document is kept
-if its pattern's posterior probability of being good is at least 1/2.
+accuracy, for good and for bad documents, when it votes; a rule that says nothing
+gets no weight, and no label is needed.  A document is kept if its pattern's
+posterior probability of being good is at least 1/2.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ RULES = (
     ("capitals", "10 * n_upper > 4 * n_letters", "10 * n_upper <= n_letters"),
     ("marks", "10 * n_marks > n_words", "100 * n_marks <= n_words"),
     ("plain_words", "10 * n_plain_words < 8 * n_words", "10 * n_plain_words >= 9 * n_words"),
+    ("edge_words", "10 * n_edge_words > 4 * n_words", "10 * n_edge_words <= 2 * n_words"),
+    ("letters", "10 * (n_letters + n_high) < 8 * word_chars", "10 * (n_letters + n_high) >= 9 * word_chars"),
     ("variety", "100 * n_distinct_words < 15 * n_words", "100 * n_distinct_words >= 30 * n_words"),
 )
 ABSTAIN, BAD, GOOD = 0, 1, 2
@@ -56,10 +58,11 @@ def vote_pattern() -> str:
 
 
 def fit_votes(patterns: np.ndarray, counts: np.ndarray, rules: int, rounds: int = 200, prior: float = 1.0):
-    """EM on pattern counts: (share of good, table[rule, class, vote], posterior of good for each pattern).
+    """EM on pattern counts: (share of good, table[rule, class, vote cast], posterior of good for each pattern).
 
-    Classes are bad (0) and good (1).  It starts from the majority of the votes
-    cast; ``prior`` is a pseudo-count for each vote.
+    Classes are bad (0) and good (1); ``table[r, c, c + 1]`` is rule r's accuracy on
+    class c.  It starts from the majority of the votes cast; ``prior`` is a
+    pseudo-count for each vote.
     """
     votes = patterns[:, None] // 3 ** np.arange(rules) % 3
     lead = (votes == GOOD).sum(1) - (votes == BAD).sum(1)
@@ -69,10 +72,10 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rules: int, rounds: int
     for _ in range(rounds):
         weight = np.stack([(1 - posterior) * counts, posterior * counts])
         share = (weight[1].sum() + prior) / (counts.sum() + 2 * prior)
-        for v in range(3):
+        for v in (BAD, GOOD):
             table[:, :, v] = (weight @ (votes == v)).T + prior
         table /= table.sum(2, keepdims=True)
-        log = np.log(table)
+        log = np.log(table, where=table > 0, out=np.zeros_like(table))  # an abstention says nothing
         score = np.log([1 - share, share]) + sum(log[r][:, votes[:, r]].T for r in range(rules))
         after = 1 / (1 + np.exp(np.clip(score[:, 0] - score[:, 1], -700, 700)))
         if np.abs(after - posterior).max() < 1e-9:

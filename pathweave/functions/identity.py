@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 SEP = "\x1f"  # unit separator between key parts
 
-_PRINTABLE = r"^[ -~]*$"
+_PRINTABLE = r"\A[ -~]*\z"  # not ^..$: in Java $ also matches before a final line break
 _SHORT_ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
 
 

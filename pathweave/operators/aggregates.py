@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .paths import PATH_LEVELS
 
 Z95 = 1.96
@@ -187,12 +188,16 @@ def global_rank(df: DataFrame, col: str, rank_col: str = "rank", partitions: int
     aggregation absorbs hot values), distinct values are range-partitioned,
     each partition ranks its own slice, and partition offsets (one number per
     partition, collected) shift the local ranks.  A join on the value brings
-    the rank back to every row (AQE splits a hot value's side).
+    the rank back to every row (AQE splits a hot value's side).  Range bounds are
+    sampled, so the partitioned values are written once and both passes read
+    them; the input is written once too.
     """
+    df = cut_lineage(df, "ranked")
     spark = df.sparkSession
     n_part = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vals = (df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
             .repartitionByRange(n_part, col).withColumn("_p", F.spark_partition_id()))
+    vals = cut_lineage(vals, "ranked_values")
     w = Window.partitionBy("_p").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
     local = vals.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
     sizes = {r["_p"]: r["s"] for r in vals.groupBy("_p").agg(F.sum("_c").alias("s")).collect()}

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from .manifest import OUTCOME_COLUMNS
 
 
-def latest_per_key(df: DataFrame, key: list[str], order_col: str) -> DataFrame:
-    """The row with the greatest ``order_col`` per key (ties: any one of them)."""
+def latest_per_key(df: DataFrame, key: list[str], *order_cols: str) -> DataFrame:
+    """The row with the greatest ``order_cols`` per key (full ties: any one of them)."""
     cols = [c for c in df.columns if c not in key]
-    g = df.groupBy(*key).agg(F.max_by(F.struct(*cols), F.col(order_col)).alias("_r"))
+    g = df.groupBy(*key).agg(F.max_by(F.struct(*cols), F.struct(*order_cols)).alias("_r"))
     return g.select(*key, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
@@ -29,24 +29,43 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str = "scenario_id") -
     return latest_per_key(old.unionByName(new), [key], "_v").drop("_v")
 
 
-def insert_or_ignore(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """L2/L3: rows of ``incoming`` whose key is new (first row per key within the batch).
+def first_per_key(df: DataFrame, key: str, ordinal: str | None = None) -> DataFrame:
+    """The first row of each key: the one with the least ``ordinal`` (a batch position, dropped).
+
+    Without an ordinal, rows of a key count as equal and their position in the
+    plan decides; a batch whose repeats conflict needs the ordinal.
+    """
+    if ordinal is None:
+        ordinal, df = "_at", df.withColumn("_at", F.monotonically_increasing_id())
+    cols = [c for c in df.columns if c not in (key, ordinal)]
+    return (df.groupBy(key).agg(F.min_by(F.struct(*cols), F.col(ordinal)).alias("_r"))
+            .select(*[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in df.columns if c != ordinal]))
+
+
+def insert_or_ignore(existing: DataFrame, incoming: DataFrame, key: str, ordinal: str | None = None) -> DataFrame:
+    """L2/L3: rows of ``incoming`` whose key is new (first row per key within the batch, by ``ordinal``).
 
     Returns only the rows to append; the caller appends them to the table.
     """
-    return incoming.select(*existing.columns).dropDuplicates([key]).join(existing.select(key), key, "left_anti")
+    batch = incoming.select(*existing.columns, *([ordinal] if ordinal else []))
+    return first_per_key(batch, key, ordinal).join(existing.select(key), key, "left_anti").select(*existing.columns)
 
 
-def current_state(manifest: DataFrame, updates: DataFrame, ts_col: str = "ts") -> DataFrame:
+def current_state(manifest: DataFrame, updates: DataFrame, ts_col: str = "ts", tie_col: str | None = None) -> DataFrame:
     """L4: manifest with its latest update applied.
 
-    An update replaces status and *all* outcome columns (an unset field becomes
-    NULL) and stamps its time; runs without updates keep their manifest row.
+    An update replaces status and *all* outcome columns (a field that is unset, or
+    whose column the updates don't have, becomes NULL) and stamps its time; of updates
+    with one time the greatest ``tie_col`` counts; runs without updates keep
+    their manifest row.
     """
-    outcome_cols = [c for c in OUTCOME_COLUMNS if c != "timestamp" and c in updates.columns]
-    payload = F.struct(F.col("status").alias("status"), *[F.col(c).alias(c) for c in outcome_cols],
+    kinds = {**{f.name: f.dataType for f in manifest.schema}, **{f.name: f.dataType for f in updates.schema}}
+    outcome_cols = [c for c in OUTCOME_COLUMNS if c != "timestamp" and c in kinds]
+    payload = F.struct(F.col("status").alias("status"),
+                       *[(F.col(c) if c in updates.columns else F.lit(None).cast(kinds[c])).alias(c) for c in outcome_cols],
                        F.col(ts_col).alias("timestamp"))
-    last = updates.groupBy("run_id").agg(F.max_by(payload, F.col(ts_col)).alias("_u"))
+    order = F.struct(*[c for c in (ts_col, tie_col) if c])
+    last = updates.groupBy("run_id").agg(F.max_by(payload, order).alias("_u"))
     j = manifest.join(last, "run_id", "left")
     out = j.withColumn("status", F.coalesce(F.col("_u.status"), F.col("status")))
     for c in outcome_cols + ["timestamp"]:

@@ -33,15 +33,29 @@ PATH_COLUMNS = ["scenario_id", "path_type", "path_signature", "perm_id", "n_turn
 _MISSING_BIT = 1 << 30  # dependency outside the scenario: never satisfiable
 
 
+def _sizes(components: DataFrame, scenario_col: str, id_col: str) -> DataFrame:
+    # Distinct ids by two plain counts (map-side combined), not by a set per scenario.
+    return (components.groupBy(scenario_col, id_col).agg(F.count(F.lit(1)).alias("_c"))
+            .groupBy(scenario_col).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_d")))
+
+
+def ungathered(components: DataFrame, scenario_col: str = "scenario_id", id_col: str = "cid",
+               max_components: int = 5) -> DataFrame:
+    """Scenarios that ``gather_graphs`` leaves out: (rule, scenario_id, detail)."""
+    return (_sizes(components, scenario_col, id_col).filter(f"_n > {max_components} OR _n <> _d")
+            .select(F.expr("CASE WHEN _n <> _d THEN 'repeated_id' ELSE 'too_many_components' END").alias("rule"),
+                    F.col(scenario_col).alias("scenario_id"), F.concat(F.lit("components="), F.col("_n").cast("string")).alias("detail")))
+
+
 def gather_graphs(components: DataFrame, scenario_col: str = "scenario_id", id_col: str = "cid",
                   text_col: str = "text", deps_col: str = "deps", max_components: int = 5) -> DataFrame:
     """One row per scenario with ``nodes``: array<struct<cid, text, deps>> sorted by id.
 
     Texts are stripped once here.  Scenarios with more than ``max_components``
-    nodes are dropped by a semi join against a partial count (DQ6 reports them).
+    nodes, or with a repeated id, can't be expanded and are left out by a semi join
+    against a partial count; ``ungathered`` returns them.
     """
-    sizes = (components.groupBy(scenario_col).agg(F.count(F.lit(1)).alias("_n"))
-             .filter(F.col("_n") <= max_components))
+    sizes = _sizes(components, scenario_col, id_col).filter(f"_n <= {max_components} AND _n = _d")
     small = components.join(sizes, scenario_col, "left_semi")
     node = F.struct(F.col(id_col).alias("cid"), py_strip(F.col(text_col)).alias("text"),
                     F.coalesce(F.col(deps_col), F.array().cast("array<string>")).alias("deps"))
@@ -235,7 +249,7 @@ def sequential_paths(graphs: DataFrame, width: int = 5) -> DataFrame:
     return _finish(g, "sequential", sig, turns, F.col("placed"), quoted)
 
 
-def skipped_paths(graphs: DataFrame) -> DataFrame:
+def skipped_paths(graphs: DataFrame, width: int = 5) -> DataFrame:
     """P9 (with P3 roots): ``[Ci][F]`` for each component without dependencies."""
     g = graphs.select("scenario_id", F.explode(F.filter("nodes", lambda x: F.size(x["deps"]) == 0)).alias("r"))
     placed = F.array(F.col("r.cid"))
@@ -256,7 +270,7 @@ def alt_grouping_paths(graphs: DataFrame, min_size: int = 2, width: int = 5) ->
                    _group_quoted(F.col("placed"), F.col("qm"), width))
 
 
-def direct_paths(graphs: DataFrame) -> DataFrame:
+def direct_paths(graphs: DataFrame, width: int = 5) -> DataFrame:
     """The control with no context turns."""
     empty = F.array().cast("array<string>")
     return _finish(graphs, "direct", F.lit("[F]"), empty, empty, F.lit(""))
@@ -292,8 +306,11 @@ _BUILDERS = {
 
 
 def generate_paths(graphs: DataFrame, path_types: list[str] | None = None, sort: bool = False,
-                   materialise: bool = True) -> DataFrame:
-    """All requested path types as one DataFrame (union of narrow expansions)."""
+                   materialise: bool = True, width: int = 5) -> DataFrame:
+    """All requested path types as one DataFrame (union of narrow expansions).
+
+    ``width`` is the ``max_components`` the graphs were gathered with.
+    """
     types = path_types or PATH_TYPES
     unknown = set(types) - set(_BUILDERS)
     if unknown:
@@ -306,7 +323,7 @@ def generate_paths(graphs: DataFrame, path_types: list[str] | None = None, sort:
         graphs = cut_lineage(graphs)
     out = None
     for t in types:
-        part = _BUILDERS[t](graphs)
+        part = _BUILDERS[t](graphs, width=width)
         out = part if out is None else out.unionByName(part)
     if sort:
         out = out.orderBy("scenario_id", "path_type", "path_signature")

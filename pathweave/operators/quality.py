@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
+from ..session import cut_lineage
 from .paths import gather_graphs
 
 INDEPENDENCE_CLASSES = ["commutative", "partial", "entangled"]
@@ -60,20 +61,31 @@ def dangling_dependencies(components: DataFrame, key: str = "scenario_id") -> Da
     return _v(bad, "DQ4_dangling_dep", key, F.concat(F.col("cid"), F.lit(" -> "), F.col("dep")))
 
 
-def cyclic_scenarios(components: DataFrame, key: str = "scenario_id",
-                     max_components: int = MAX_COMPONENTS) -> DataFrame:
+def _stuck_nodes(merged: DataFrame, key: str) -> DataFrame:
+    """Nodes (key, cid) on or behind a cycle, for scenarios of any size: peel nodes without open dependencies, round by round."""
+    ids = merged.select(key, F.col("cid").alias("dep"))
+    open_edges = cut_lineage(merged.select(key, "cid", F.explode("deps").alias("dep")).join(ids, [key, "dep"], "left_semi"), "peel")
+    while True:
+        blocked = open_edges.select(key, F.col("cid").alias("dep")).distinct()
+        left = cut_lineage(open_edges.join(blocked, [key, "dep"], "left_semi"), "peel")
+        if left.count() == open_edges.count():
+            return left.select(key, "cid").distinct()
+        open_edges = left
+
+
+def cyclic_scenarios(components: DataFrame, key: str = "scenario_id", gather: int = 32) -> DataFrame:
     """DQ5: dependency cycles (self-loops included), by Kahn peeling inside the row.
 
     Repeated ids in one scenario are merged first (their dependencies united).
 
     Each round places every node whose in-scenario dependencies are placed;
     after n rounds the unplaced nodes lie on or behind a cycle.  Undefined
-    dependencies are ignored here (DQ4 reports them).  Scenarios larger than
-    ``max_components`` are not gathered (DQ6 reports them).
+    dependencies are ignored here (DQ4 reports them).  Scenarios of more than
+    ``gather`` ids are not gathered into a row but peeled as tables.
     """
     merged = components.groupBy(key, "cid").agg(
         F.array_distinct(F.flatten(F.collect_set(F.coalesce("deps", F.array().cast("array<string>"))))).alias("deps"))
-    g = gather_graphs(merged.withColumn("text", F.lit("")), key, max_components=max_components)
+    g = gather_graphs(merged.withColumn("text", F.lit("")), key, max_components=gather)
     ids = F.transform("nodes", lambda x: x["cid"])
     nodes = F.transform("nodes", lambda x: F.struct(
         x["cid"].alias("cid"), F.filter(x["deps"], lambda d: F.array_contains(ids, d)).alias("deps")))
@@ -84,13 +96,19 @@ def cyclic_scenarios(components: DataFrame, key: str = "scenario_id",
             lambda x: x["cid"])))
     left = F.array_sort(F.array_except(ids, placed))
     bad = g.select("scenario_id", left.alias("stuck")).filter(F.size("stuck") > 0)
-    return _v(bad, "DQ5_cycle", "scenario_id", F.concat(F.lit("cycle through "), F.array_join("stuck", ",")))
+    out = _v(bad, "DQ5_cycle", "scenario_id", F.concat(F.lit("cycle through "), F.array_join("stuck", ",")))
+    large = merged.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > gather).select(key)
+    if large.isEmpty():
+        return out
+    stuck = _stuck_nodes(merged.join(large, key, "left_semi"), key).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("first"))
+    return out.unionByName(_v(stuck, "DQ5_cycle", key, F.concat(F.lit("cycle through "), F.col("first"), F.lit(" and "),
+                                                                (F.col("n") - 1).cast("string"), F.lit(" more"))))
 
 
 def component_count(docs: DataFrame, components: DataFrame, key: str = "scenario_id",
                     lo: int = MIN_COMPONENTS, hi: int = MAX_COMPONENTS) -> DataFrame:
-    """DQ6: number of components outside [lo, hi] (documents without any count as 0)."""
-    sizes = components.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    """DQ6: number of distinct component ids outside [lo, hi] (documents without any count as 0)."""
+    sizes = components.select(key, "cid").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     j = docs.select(key).join(sizes, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     bad = j.filter(~F.col("n").between(lo, hi))
     return _v(bad, "DQ6_component_count", key, F.concat(F.lit("components="), F.col("n").cast("string")))

@@ -11,7 +11,8 @@ from ..operators import manifest as M
 from ..operators import paths as P
 from ..sources import corpus as C
 from ..sources import views as V
-from ..sources.views import COMPONENTS_V_SQL, DESIGN_SCENARIOS_V_SQL, RUNS_V_SQL, SCENARIOS_V_SQL, WORDINGS_V_SQL
+from ..sources.views import (COMPONENTS_V_SQL, DESIGN_REJECTS_V_SQL, DESIGN_SCENARIOS_V_SQL, ORDER_LINES_SQL, RUNS_V_SQL,
+                             SCENARIOS_V_SQL, WORDINGS_V_SQL)
 from .catalog import register, rounded
 from .generate import build_design
 
@@ -343,6 +344,26 @@ def io3_scenarios_table(spark, d):
     return C.scenarios_table(docs)
 
 
+@register("io3_design_rejects", "WITH " + ORDER_LINES_SQL + ", " + DESIGN_REJECTS_V_SQL + " SELECT * FROM design_rejects_v")
+def io3_design_rejects(spark, d):
+    return V.design_rejects_v(spark, d)
+
+
+@register("io3_line_coverage", """
+SELECT (SELECT count(*) FROM lineitem) AS n_lines, count(*) FILTER (WHERE n >= 3)::BIGINT AS n_orders_used,
+  coalesce(sum(n) FILTER (WHERE n >= 3), 0)::BIGINT AS lines_in_scenarios, coalesce(sum(n) FILTER (WHERE n < 3), 0)::BIGINT AS lines_rejected
+FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey) t""")
+def io3_line_coverage(spark, d):
+    """No line is lost: those in scenarios and those rejected are all lines."""
+    used = V.components_v(spark, d).select(F.lit(1).alias("line"), F.lit(0).alias("rejected"),
+                                           F.when((F.col("rn") == 1) & F.expr("split_part(scenario_id, '-', 3) IN ('', '1')"), 1).otherwise(0).alias("head"))
+    lost = V.design_rejects_v(spark, d).select(F.lit(0), F.col("n_lines"), F.lit(0))
+    total = V.read(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("n_lines"))
+    sums = used.union(lost).agg(F.sum("head").cast("long").alias("n_orders_used"), F.sum("line").cast("long").alias("lines_in_scenarios"),
+                                F.sum("rejected").cast("long").alias("lines_rejected"))
+    return total.crossJoin(sums)  # one row and one row
+
+
 @register("io4_flatten_edges", with_recursive(COMPONENTS_V_SQL, body="""
 SELECT scenario_id, cid, unnest(deps) AS dep FROM components_v"""))
 def io4_flatten_edges(spark, d):

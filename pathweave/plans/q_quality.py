@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import paths as P
@@ -61,21 +63,21 @@ def dq4_dangling_dependency(spark, d):
 
 @register("dq5_dependency_cycles", with_recursive(*_R, """m AS (SELECT scenario_id, cid,
   list_distinct(flatten(list(deps))) AS deps FROM raw_components_v GROUP BY 1, 2)""",
-  """small AS (SELECT scenario_id FROM m GROUP BY 1 HAVING count(*) <= 5)""",
-  """e0 AS (SELECT m.scenario_id, m.cid, unnest(m.deps) AS dep FROM m JOIN small USING (scenario_id))""",
+  """sz AS (SELECT scenario_id, count(*) AS n FROM m GROUP BY 1)""",
+  """e0 AS (SELECT m.scenario_id, m.cid, unnest(m.deps) AS dep FROM m)""",
   """e AS (SELECT e0.* FROM e0 JOIN m ON m.scenario_id = e0.scenario_id AND m.cid = e0.dep)""",
   """walk(scenario_id, start, cur, k) AS (
-  SELECT m.scenario_id, m.cid, m.cid, 0 FROM m JOIN small USING (scenario_id)
-  UNION ALL
+  SELECT m.scenario_id, m.cid, m.cid, 0 FROM m
+  UNION
   SELECT w.scenario_id, w.start, e.dep, w.k + 1 FROM walk w JOIN e ON e.scenario_id = w.scenario_id AND e.cid = w.cur
-  WHERE w.k < 5)""", body="""
+  JOIN sz ON sz.scenario_id = w.scenario_id WHERE w.k < sz.n)""", body="""
 SELECT 'DQ5_cycle' AS rule, scenario_id, 'cycle through ' || string_agg(start, ',' ORDER BY start) AS detail
-FROM (SELECT DISTINCT scenario_id, start FROM walk WHERE k = 5) s GROUP BY scenario_id"""))
+FROM (SELECT DISTINCT w.scenario_id, w.start FROM walk w JOIN sz USING (scenario_id) WHERE k = n) s GROUP BY scenario_id"""))
 def dq5_dependency_cycles(spark, d):
     return Q.cyclic_scenarios(_raw(spark, d)[1])
 
 
-@register("dq6_component_count", with_ctes(*_R, """n AS (SELECT scenario_id, count(*) AS n FROM raw_components_v
+@register("dq6_component_count", with_ctes(*_R, """n AS (SELECT scenario_id, count(DISTINCT cid) AS n FROM raw_components_v
   GROUP BY 1)""", body="""
 SELECT 'DQ6_component_count' AS rule, s.scenario_id, 'components=' || CAST(coalesce(n.n, 0) AS VARCHAR) AS detail
 FROM raw_scenarios_v s LEFT JOIN n USING (scenario_id) WHERE coalesce(n.n, 0) NOT BETWEEN 3 AND 5"""))
@@ -220,7 +222,7 @@ def io2_load_errors(spark, d):
     docs, comps, words = _raw(spark, d)
     headers = docs.select("scenario_id", "type", "independence_class", "setup")
     nested = C.nest_documents(headers, comps.dropDuplicates(["scenario_id", "cid"]),
-                              words.withColumn("wording", F.col("wording_id")), max_components=1000)
+                              words.withColumn("wording", F.col("wording_id")))
     return C.load_errors(C.parse_documents(C.render_yaml(nested)))
 
 
@@ -240,6 +242,6 @@ def io7_export_csv(spark, d):
     from ..operators import aggregates as G
     from ..operators import frames as A
     frame = A.completed_frame(V.runs_v(spark, d), V.scenarios_v(spark, d))
-    path = table_path(spark, f"exports/condition_summary_{abs(hash(d)) % 10**8}")
+    path = table_path(spark, f"exports/{uuid.uuid4().hex}")
     C.export_csv(G.condition_summary(frame), path)
     return spark.read.option("header", True).option("inferSchema", True).csv(path)

@@ -137,10 +137,10 @@ _STORE_CTE = f"""store AS (SELECT k.cache_key, r.content FROM keys k JOIN ({RESP
 
 
 @register("t5_cache_hits", with_ctes(*_STORE_SQL, *_SECOND_SQL, _STORE_CTE, body="""
-SELECT k.run_id, k.turn_index, k.cache_key, left(s.content, 40) AS content_head FROM keys2 k JOIN store s USING (cache_key)"""))
+SELECT k.run_id, k.turn_index, k.cache_key, s.content FROM keys2 k JOIN store s USING (cache_key)"""))
 def t5_cache_hits(spark, d):
     hits, _ = T.cache_lookup(_second_pass(spark, d), _store(spark, d))
-    return hits.select("run_id", "turn_index", "cache_key", F.substring("content", 1, 40).alias("content_head"))
+    return hits.select("run_id", "turn_index", "cache_key", "content")
 
 
 @register("t5_cache_misses", with_ctes(*_STORE_SQL, *_SECOND_SQL, _STORE_CTE, body="""
@@ -223,15 +223,15 @@ _L1_SQL = with_recursive(COMPONENTS_V_SQL, DESIGN_SCENARIOS_V_SQL, r"""st AS (SE
   body="""
 SELECT st.scenario_id, st.type, st.independence_class, st.n_components,
   CASE WHEN o.o_orderstatus = 'F' THEN st.setup_text || ' (revised)' ELSE st.setup_text END AS setup_text
-FROM st JOIN orders o ON st.scenario_id = CAST(o.o_orderkey AS VARCHAR)""")
+FROM st JOIN orders o ON split_part(st.scenario_id, '-', 1) = CAST(o.o_orderkey AS VARCHAR)""")
 
 
 @register("l1_upsert_scenarios", _L1_SQL)
 def l1_upsert_scenarios(spark, d):
     st, orders = _scenario_rows(spark, d)
     st = st.drop("raw_yaml")
-    final = orders.filter(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").cast("string").alias("scenario_id"))
-    incoming = st.join(final, "scenario_id", "left_semi").withColumn(
+    final = orders.filter(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").cast("string").alias("order_id"))
+    incoming = st.join(final, F.substring_index("scenario_id", "-", 1) == F.col("order_id"), "left_semi").withColumn(
         "setup_text", F.concat(F.col("setup_text"), F.lit(" (revised)")))
     return L.upsert(st, incoming)
 

@@ -7,7 +7,8 @@ column name; every operator takes column names as parameters.
 
 * ``runs_v``       orders x customer x nation -> one run per order (ledger shape)
 * ``scenarios_v``  nation x region -> one scenario row per stratum of ``runs_v``
-* ``components_v`` orders with 3-5 line items are scenarios, lines are components
+* ``components_v`` lines are components; every order's lines make scenarios of 3-5 components
+* ``design_rejects_v`` the lines of orders that are too small for a scenario
 * ``raw_components_v`` every order, unfiltered, for the data-quality rules
 * ``wordings_v``   three terminal wordings per design scenario
 * ``design_scenarios_v`` one nested-document header per design scenario
@@ -129,46 +130,83 @@ _LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extend
                "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
-def components_v(spark: SparkSession, sf_dir: str, min_n: int = 3, max_n: int = 5) -> DataFrame:
-    """Scenarios = orders with ``min_n``..``max_n`` line items; components = lines.
+HOT_ORDER, HOT_BLOCK = 1000, 500  # an order of more lines is first cut into blocks of about so many
 
-    Sizes come from a partial aggregation, so a hot order never reaches a
-    window; the window then sees groups of at most ``max_n`` rows.
+
+def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines with their place ``at`` and the number ``m`` of lines in their block.
+
+    A block is an order; an order of more than HOT_ORDER lines is cut into blocks
+    by part key, so the window below never sees a hot order whole.
     """
     li = read(spark, sf_dir, "lineitem").select(*(["l_orderkey"] + _LINE_ORDER))
     part = read(spark, sf_dir, "part").select("p_partkey", "p_name")
-    sizes = (li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-             .filter(F.col("n").between(min_n, max_n)))
-    lines = li.join(part, li.l_partkey == part.p_partkey).join(sizes, "l_orderkey")
-    w = Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER)
-    lines = lines.withColumn("rn", F.row_number().over(w).cast("int"))
+    sizes = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("_n"))
+    lines = li.join(part, li.l_partkey == part.p_partkey).join(sizes, "l_orderkey").withColumn("block", F.expr(
+        f"CASE WHEN _n > {HOT_ORDER} THEN l_partkey % cast(ceil(_n / {HOT_BLOCK}) AS bigint) ELSE 0 END"))
+    w = Window.partitionBy("l_orderkey", "block")
+    return lines.withColumn("m", F.count(F.lit(1)).over(w)).withColumn("at", F.row_number().over(w.orderBy(*_LINE_ORDER)) - 1)
+
+
+def components_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Design scenarios of 3 to 5 components from the lines of every order.
+
+    A block of m >= 3 lines is cut, in line order, into ceil(m / 5) scenarios of
+    nearly equal size (6 lines: 3 + 3; 7: 4 + 3), numbered if there are several;
+    ``design_rejects_v`` has the lines of smaller blocks.
+    """
+    lines = _order_lines(spark, sf_dir).filter("m >= 3")
+    lines = (lines.withColumn("k", F.expr("cast(ceil(m / 5) AS bigint)")).withColumn("c", F.expr("(at * k) div m"))
+             .withColumn("lo", F.expr("(c * m + k - 1) div k")).withColumn("hi", F.expr("((c + 1) * m + k - 1) div k")))
+    lines = lines.withColumn("rn", F.expr("cast(at - lo + 1 AS int)"))
+    name = F.expr("concat(cast(l_orderkey AS string), CASE WHEN block > 0 OR k > 1 THEN concat('-', cast(block AS string), '-', "
+                  "cast(c + 1 AS string)) ELSE '' END)")
     rn = F.col("rn")
     deps = (F.when((rn == 1) | (F.col("l_returnflag") == "N"), F.array().cast("array<string>"))
             .when(F.col("l_returnflag") == "A", F.array(F.lit("C1")))
             .otherwise(F.array(F.concat(F.lit("C"), (rn - 1).cast("string")))))
     return lines.select(
-        F.col("l_orderkey").cast("string").alias("scenario_id"),
+        name.alias("scenario_id"),
         F.concat(F.lit("C"), rn.cast("string")).alias("cid"),
         F.col("p_name").alias("text"),
         deps.alias("deps"),
         rn.alias("rn"),
-        F.col("n").cast("int").alias("n"),
+        F.expr("cast(hi - lo AS int)").alias("n"),
     )
 
 
-COMPONENTS_V_SQL = """components_v AS (
-  SELECT CAST(l_orderkey AS VARCHAR) AS scenario_id, 'C' || CAST(rn AS VARCHAR) AS cid,
-    p_name AS text,
+def design_rejects_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders (blocks) with too few lines for a scenario: (scenario_id, rule, detail, n_lines)."""
+    small = _order_lines(spark, sf_dir).filter("m < 3").groupBy("l_orderkey", "block").agg(F.count(F.lit(1)).alias("n_lines"))
+    return small.select(F.expr("concat(cast(l_orderkey AS string), CASE WHEN block > 0 THEN concat('-', cast(block AS string)) ELSE '' END)")
+                        .alias("scenario_id"), F.lit("too_few_components").alias("rule"),
+                        F.concat(F.lit("components="), F.col("n_lines").cast("string")).alias("detail"), "n_lines")
+
+
+ORDER_LINES_SQL = f"""order_lines AS (
+  SELECT *, count(*) OVER (PARTITION BY l_orderkey, block) AS m,
+    row_number() OVER (PARTITION BY l_orderkey, block ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
+      l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS place
+  FROM (SELECT l.*, p_name, CASE WHEN count(*) OVER (PARTITION BY l_orderkey) > {HOT_ORDER}
+          THEN l_partkey % CAST(ceil(count(*) OVER (PARTITION BY l_orderkey) / {HOT_BLOCK}) AS BIGINT) ELSE 0 END AS block
+        FROM lineitem l JOIN part ON l_partkey = p_partkey) t)"""
+
+COMPONENTS_V_SQL = ORDER_LINES_SQL + """,
+pieces AS (SELECT *, (place * k) // m AS c FROM (SELECT *, CAST(ceil(m / 5) AS BIGINT) AS k FROM order_lines WHERE m >= 3) t),
+numbered AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, block, c) AS n,
+    row_number() OVER (PARTITION BY l_orderkey, block, c ORDER BY place) AS rn FROM pieces),
+components_v AS (
+  SELECT CAST(l_orderkey AS VARCHAR) || CASE WHEN block > 0 OR k > 1 THEN '-' || block || '-' || (c + 1) ELSE '' END AS scenario_id,
+    'C' || CAST(rn AS VARCHAR) AS cid, p_name AS text,
     CASE WHEN rn = 1 OR l_returnflag = 'N' THEN CAST([] AS VARCHAR[])
       WHEN l_returnflag = 'A' THEN ['C1'] ELSE ['C' || CAST(rn - 1 AS VARCHAR)] END AS deps,
     CAST(rn AS INTEGER) AS rn, CAST(n AS INTEGER) AS n
-  FROM (SELECT l_orderkey, p_name, l_returnflag,
-          count(*) OVER (PARTITION BY l_orderkey) AS n,
-          row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
-            l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
-            l_shipdate) AS rn
-        FROM lineitem JOIN part ON l_partkey = p_partkey) t
-  WHERE n BETWEEN 3 AND 5)"""
+  FROM numbered)"""
+
+DESIGN_REJECTS_V_SQL = """design_rejects_v AS (
+  SELECT CAST(l_orderkey AS VARCHAR) || CASE WHEN block > 0 THEN '-' || block ELSE '' END AS scenario_id,
+    'too_few_components' AS rule, 'components=' || count(*) AS detail, count(*) AS n_lines
+  FROM order_lines WHERE m < 3 GROUP BY l_orderkey, block)"""
 
 
 def raw_components_v(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +264,7 @@ def design_scenarios_v(spark: SparkSession, sf_dir: str, components: DataFrame |
     comps = components if components is not None else components_v(spark, sf_dir)
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     heads = comps.filter(F.col("rn") == 1).select("scenario_id", "n")
-    j = heads.join(o, heads.scenario_id == o.o_orderkey.cast("string"))
+    j = heads.join(o, F.substring_index(heads.scenario_id, "-", 1) == o.o_orderkey.cast("string"))
     return j.select(
         "scenario_id",
         F.lower(F.regexp_replace(F.substring("o_orderpriority", 3, 100), " ", "_")).alias("type"),
@@ -246,7 +284,7 @@ DESIGN_SCENARIOS_V_SQL = """design_scenarios_v AS (
     '  Plan ' || scenario_id || ' for client ' || CAST(o_custkey AS VARCHAR) || ' is under review.' || chr(10)
       AS setup,
     n AS n_components
-  FROM components_v JOIN orders ON scenario_id = CAST(o_orderkey AS VARCHAR) WHERE rn = 1)"""
+  FROM components_v JOIN orders ON split_part(scenario_id, '-', 1) = CAST(o_orderkey AS VARCHAR) WHERE rn = 1)"""
 
 
 def raw_scenarios_v(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ def test_approx_tokens_counts_code_points(spark):
 
 def test_json_quote_matches_json_dumps(spark):
     texts = ["plain", 'q"uote', "back\\slash", "new\nline\ttab\r\b\f", "\x01\x1f\x7f", "é ü ß", "中文",
-             "emoji 😀 and 𝄞", "mixed \"é\"\n", ""]
+             "emoji 😀 and 𝄞", "mixed \"é\"\n", "", "abc\n", "abc\u2028", "a\u0085b", "\u2029", "abc\r", "\n", "a\u2028b\n"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r.q for r in df.select(json_quote(F.col("t")).alias("q")).collect()]
     assert got == [json.dumps(t) for t in texts]

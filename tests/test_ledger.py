@@ -44,3 +44,29 @@ def test_replicates_guard_and_manifest_ids(spark):
     again = M.build_manifest(paths, words, 3).collect()
     assert sorted(r.run_id for r in m) == sorted(r.run_id for r in again)
     assert all(0 <= r.seed < 2 ** 28 for r in m)
+
+
+def test_updates_without_outcome_columns_clear_them(spark):
+    man = spark.createDataFrame([("r1", "complete", 1, "m1"), ("r2", "complete", 1, "m1")],
+                                "run_id string, status string, verdict int, model_version string")
+    ups = spark.createDataFrame([("r1", 5, "failed")], "run_id string, ts long, status string")
+    got = {r.run_id: (r.status, r.verdict, r.model_version) for r in L.current_state(man, ups).collect()}
+    assert got == {"r1": ("failed", None, None), "r2": ("complete", 1, "m1")}
+
+
+def test_updates_of_one_time_go_by_the_tie_column(spark):
+    man = spark.createDataFrame([("r1", "pending")], "run_id string, status string")
+    ups = spark.createDataFrame([("r1", 5, i, f"s{i}") for i in (2, 9, 4)], "run_id string, ts long, event_id long, status string")
+    assert L.current_state(man, ups, tie_col="event_id").first().status == "s9"
+
+
+def test_first_write_wins(spark):
+    from pathweave.operators import transcripts as T
+
+    old = spark.createDataFrame([("k0", "old")], "cache_key string, content string")
+    new = spark.createDataFrame([("k1", "late", 7), ("k1", "first", 2), ("k0", "new", 1), ("k1", "mid", 5)],
+                                "cache_key string, content string, batch long").repartition(4)
+    got = {r.cache_key: r.content for r in T.store_responses(old, new, ordinal="batch").collect()}
+    assert got == {"k0": "old", "k1": "first"}
+    rows = L.insert_or_ignore(old, new, "cache_key", ordinal="batch").collect()
+    assert [tuple(r) for r in rows] == [("k1", "first")]

@@ -136,19 +136,52 @@ def test_random_dags_against_brute_force(spark):
         assert sorted(got_s.get(sid, [])) == subsets, sid
 
 
-def test_filler_closed_form_matches_loop(spark):
+def test_filler_reaches_its_target_with_whole_sentences(spark):
+    """The filler is a prefix of the repeated cycle, reaches the target, and one sentence fewer does not."""
     plan = FillerPlan()
-    targets = list(range(0, 700)) + [1500, 3000, 12345]
+    targets = [*range(0, 700), 1500, 3000, 12345]
     df = spark.createDataFrame([(t,) for t in targets], "t long")
     got = {r.t: r.f for r in df.select("t", plan.text(F.col("t")).alias("f")).collect()}
+    tokens = [max(1, len(s) // 4) for s in plan.sentences]
+    ends = [0]  # length of the text after each sentence of the repeated cycle, and its tokens
+    total = [0]
+    while total[-1] < max(targets):
+        k = (len(ends) - 1) % len(tokens)
+        ends.append(ends[-1] + len(plan.sentences[k]) + (1 if ends[-1] else 0))
+        total.append(total[-1] + tokens[k])
+    cycle = " ".join(plan.sentences * (len(ends) // len(tokens) + 1))
     for t in targets:
-        assert got[t] == plan.python(t), t
+        n = ends.index(len(got[t]))  # a whole number of sentences
+        assert cycle.startswith(got[t])
+        assert total[n] >= t and (n == 0 or total[n - 1] < t)
 
 
 def test_oversized_scenarios_are_not_gathered(spark):
     rows = [("big", f"C{i}", "t", []) for i in range(1, 8)] + CHAIN
-    g = P.gather_graphs(spark.createDataFrame(rows, SCHEMA))
-    assert sorted(r.scenario_id for r in g.collect()) == ["chain"]
+    rows += [("twice", "C1", "a", []), ("twice", "C1", "b", []), ("twice", "C2", "c", ["C1"])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(r.scenario_id for r in P.gather_graphs(df).collect()) == ["chain"]
+    assert {(r.scenario_id, r.rule) for r in P.ungathered(df).collect()} == {("big", "too_many_components"), ("twice", "repeated_id")}
+
+
+def test_wider_scenarios_keep_every_component(spark):
+    rows = [("six", f"C{i}", f"text {i}", [f"C{i - 1}"] if i > 1 else []) for i in range(1, 7)]
+    graphs = P.gather_graphs(spark.createDataFrame(rows, SCHEMA), max_components=6)
+    for p in P.generate_paths(graphs, width=6, materialise=False).collect():
+        if p.path_type == "sequential":
+            assert p.n_turns == 6 and p.path_signature.endswith("[C1,C2,C3,C4,C5,C6][F]")
+        if p.path_type == "alt_grouping":
+            assert p.turns[0].count("text") == len(p.components_used)
+        assert p.perm_id == _py_id(p.path_signature, p.turns)
+
+
+def test_rejected_scenarios_are_not_expanded(spark):
+    from pathweave.plans.generate import build_design
+
+    rows = [("loop", "C1", "a", ["C2"]), ("loop", "C2", "b", ["C1"]), ("loop", "C3", "c", []), ("gone", "C1", "a", ["C9"]),
+            ("gone", "C2", "b", []), ("gone", "C3", "c", [])] + CHAIN
+    design = build_design(spark.createDataFrame(rows, SCHEMA), None, None, materialise=False)
+    assert {r.scenario_id for r in design.paths.collect()} == {"chain"}
 
 
 def test_path_ids_with_escapes_and_unicode(spark):

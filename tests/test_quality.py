@@ -92,3 +92,14 @@ def test_yaml_loader_keeps_going_and_flattens(spark, scratch):
     again = C.valid_documents(C.parse_documents(C.render_yaml(docs)))
     assert sorted(map(tuple, C.flatten_components(again).collect())) == sorted(
         map(tuple, C.flatten_components(docs).collect()))
+
+
+def test_cycles_of_any_size(spark):
+    from pathweave.operators import quality as Q
+
+    rows = [("six", f"C{i}", [f"C{i % 6 + 1}"]) for i in range(1, 7)]
+    rows += [("forty", f"C{i:02d}", [f"C{i % 40 + 1:02d}"]) for i in range(1, 41)]
+    rows += [("chain", f"C{i:02d}", [f"C{i - 1:02d}"] if i > 1 else []) for i in range(1, 41)]
+    df = spark.createDataFrame(rows, "scenario_id string, cid string, deps array<string>")
+    got = {r.scenario_id: r.detail for r in Q.cyclic_scenarios(df).collect()}
+    assert got == {"six": "cycle through C1,C2,C3,C4,C5,C6", "forty": "cycle through C01 and 39 more"}

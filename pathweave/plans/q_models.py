@@ -1,4 +1,8 @@
-"""Registered model fits (R1-R7).  Iterative fits: rows-only checks (no SQL oracle)."""
+"""Registered model fits.
+
+Iterative fits have no SQL oracle; ``r1_fitted_margins`` is a certificate that has one: at the
+maximum of the likelihood, fitted and observed successes agree in every margin.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,9 @@ from pyspark.sql import functions as F
 from ..operators import frames as A
 from ..operators import models as R
 from ..sources import views as V
+from ..sources.views import RUNS_V_SQL, SCENARIOS_V_SQL, with_ctes
 from .catalog import register, rounded
+from .q_analysis import A1_SQL
 
 
 def _a1(spark, d):
@@ -24,6 +30,16 @@ def r1_logistic_fixed_effects(spark, d):
     return rounded(R.logistic_fixed_effects(_a1(spark, d)))
 
 
+@register("r1_fitted_margins", with_ctes(RUNS_V_SQL, SCENARIOS_V_SQL, A1_SQL, body="""
+SELECT 'stratum' AS margin, scenario_id AS level, count(*) AS n, sum(verdict)::DOUBLE AS observed, sum(verdict)::DOUBLE AS fitted
+FROM a1 GROUP BY scenario_id
+UNION ALL
+SELECT 'cell', path_type || '|' || terminal_wording_id, count(*), sum(verdict)::DOUBLE, sum(verdict)::DOUBLE
+FROM a1 GROUP BY path_type, terminal_wording_id"""))
+def r1_fitted_margins(spark, d):
+    return rounded(R.fitted_margins(_a1(spark, d)), 4)
+
+
 @register("r2_path_effect_table")
 def r2_path_effect_table(spark, d):
     return rounded(R.path_effect_table(R.logistic_fixed_effects(_a1(spark, d))))

@@ -106,3 +106,62 @@ def test_random_slope_reml_optimum_and_gls(spark):
             assert _reml_dense(pdf, theta + sign * delta)[0] <= best + 1e-9
     blups = fit["blups"].count()
     assert blups == 10
+
+
+def _blocks(means, per_arm, noise, seed):
+    """One factor value, two arms; y = stratum mean + noise."""
+    rng = np.random.default_rng(seed)
+    rows = [(f"s{i:04d}", a, "W1", float(m + rng.normal(0, noise))) for i, m in enumerate(means) for a in ("direct", "sequential")
+            for _ in range(per_arm)]
+    return pd.DataFrame(rows, columns=["scenario_id", "path_type", "terminal_wording_id", "y"])
+
+
+def test_random_slope_finds_a_large_variance_ratio(spark):
+    means = np.random.default_rng(1).normal(0, 5, 300)
+    fit = R.random_slope_model(spark.createDataFrame(_blocks(means, 6, 1.0, 2)), outcome_col="y", arm_levels=["direct", "sequential"])
+    var, info = fit["variance"].first(), fit["info"].first()
+    assert info.converged
+    assert abs(var.intercept_var / means.var(ddof=1) - 1) < 0.1 and abs(var.residual_var - 1) < 0.1
+
+
+def test_random_slope_of_strata_at_floor_and_ceiling(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"s{i:03d}", a, "W1", float(rng.random() < (0.005, 0.995)[i % 2])) for i in range(200) for a in ("direct", "sequential") for _ in range(30)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["scenario_id", "path_type", "terminal_wording_id", "y"]))
+    fit = R.random_slope_model(df, outcome_col="y", arm_levels=["direct", "sequential"])
+    assert fit["info"].first().converged and abs(fit["variance"].first().intercept_var - 0.245) < 0.02
+
+
+def test_an_unfinished_search_says_so(spark):
+    means = np.random.default_rng(1).normal(0, 5, 50)
+    fit = R.random_slope_model(spark.createDataFrame(_blocks(means, 4, 1.0, 2)), outcome_col="y", arm_levels=["direct", "sequential"], max_rounds=1)
+    assert not fit["info"].first().converged
+
+
+def test_gls_equations_hold_at_the_fixed_effects(spark):
+    """Certificate of R4: X'V^-1 (y - X beta) = 0 with the fitted variances, from explicit V matrices."""
+    pdf = _sim(seed=4, strata=15, per_cell=6)
+    fit = R.random_slope_model(spark.createDataFrame(pdf), outcome_col="y", arm_levels=ARMS)
+    var = fit["variance"].first()
+    D = np.array([[var.intercept_var, var.covariance], [var.covariance, var.slope_var]])
+    X = _design(pdf, with_strata=False)
+    beta = np.array([{r.term: r.estimate for r in fit["fixed"].collect()}[c] for c in X.columns])
+    total = np.zeros(X.shape[1])
+    for idx in pdf.groupby("scenario_id").indices.values():
+        Z = np.column_stack([np.ones(len(idx)), (pdf.path_type.to_numpy()[idx] == "sequential").astype(float)])
+        V = Z @ D @ Z.T + var.residual_var * np.eye(len(idx))
+        total += X.to_numpy()[idx].T @ np.linalg.solve(V, pdf.y.to_numpy()[idx] - X.to_numpy()[idx] @ beta)
+    assert np.abs(total).max() < 1e-6
+
+
+def test_logistic_with_many_strata_and_saturated_ones(spark):
+    """50,000 strata; margins of fitted and observed successes agree, strata of one outcome included."""
+    n = 50_000
+    from pyspark.sql import functions as F
+    df = (spark.range(n).select(F.col("id").cast("string").alias("scenario_id"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
+          .withColumn("path_type", F.element_at(F.array(*map(F.lit, ARMS)), (F.col("i") % 3 + 1).cast("int")))
+          .withColumn("terminal_wording_id", F.when(F.col("i") < 4, "W1").otherwise("W2"))
+          .withColumn("verdict", (F.abs(F.xxhash64("scenario_id", "i")) % 100 < 30 + 10 * (F.col("i") % 3)).cast("int")))
+    got = R.fitted_margins(df, arm_levels=ARMS)
+    assert got.filter("margin = 'stratum'").count() == n
+    assert got.filter("abs(observed - fitted) > 1e-5").count() == 0

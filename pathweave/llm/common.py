@@ -20,12 +20,18 @@ def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def arrow_map(df: DataFrame, body: Callable, schema: str) -> DataFrame:
+def small_batches(df: DataFrame) -> DataFrame:
+    """Have Spark send texts to Python workers 4 MB at a time: 10,000 rows of long texts would be many times that, on both sides."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return df
+
+
+def arrow_map(df: DataFrame, body: Callable, schema) -> DataFrame:
     """``mapInArrow`` where ``body`` takes one record batch and yields record batches."""
     def run(batches):
         for batch in batches:
             yield from body(batch)
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def text_key() -> Column:

@@ -26,8 +26,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pathweave.session import cut_lineage
 
@@ -35,7 +37,7 @@ from .common import arrow_map, documents, text_key
 from .words import Words, sequence_hashes, signed, sliding_min, text_chunks
 
 LONGEST_PACK = 256  # windows; a longer run of one minimiser (a repeated word) goes as several super-k-mers
-TASK_BYTES = 16 << 20  # packed bytes whose buckets a task sorts at a time
+TASK_BYTES = 2 << 20  # packed bytes whose buckets a task sorts at a time
 
 
 def superkmers(words: Words, window: int, seed: int):
@@ -73,17 +75,20 @@ def _kmers_body(window: int, seed: int):
 
 def _pack_body(window: int):
     """Rows with their list of wanted super-k-mers -> one packed string each."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+
     def body(batch: pa.RecordBatch):
-        out = []
-        for doc, tx, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tx", "text", "wanted"))):
-            if wanted and text is not None:
-                words = text.encode().split()
-                out += [(doc, tx, w["start"], w["minimiser"], w["hot"], b" ".join(words[w["start"]:w["start"] + w["n"] + window - 1]))
-                        for w in wanted]
-        cols = list(zip(*out)) if out else [[]] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)],
-                                         names=["doc_id", "tx", "start", "minimiser", "hot", "packed"])
+        for lo, texts in text_chunks(batch.column("text")):
+            out = []
+            ids, tx, wants = (batch.column(c).slice(lo, len(texts)).to_pylist() for c in ("doc_id", "tx", "wanted"))
+            for doc, t, data, wanted in zip(ids, tx, texts.cast(pa.binary()).to_pylist(), wants):
+                if wanted and data is not None:
+                    words = data.split()
+                    out += [(doc, t, w["start"], w["minimiser"], w["hot"], b" ".join(words[w["start"]:w["start"] + w["n"] + window - 1]))
+                            for w in wanted]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)],
+                                                 names=["doc_id", "tx", "start", "minimiser", "hot", "packed"])
     return body
 
 
@@ -136,52 +141,70 @@ def _bucket_task(window: int):
             table = pa.Table.from_batches(held).combine_chunks()
             keys = table.column("minimiser").to_numpy()
             cut = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on in the next batch
-            if cut:
-                yield from (_repeats(b, window) for b in table.slice(0, cut).combine_chunks().to_batches())
+            yield from _by_buckets(table.slice(0, cut), window)
             held = table.slice(cut).combine_chunks().to_batches()
             size = sum(b.nbytes for b in held) if cut else 0
         if held:
-            yield from (_repeats(b, window) for b in pa.Table.from_batches(held).combine_chunks().to_batches())
+            yield from _by_buckets(pa.Table.from_batches(held), window)
     return run
 
 
+def _by_buckets(table: pa.Table, window: int):
+    """Whole buckets, about TASK_BYTES of packed strings at a time."""
+    if not table.num_rows:
+        return
+    batch = table.combine_chunks().to_batches()[0]
+    keys = batch.column("minimiser").to_numpy()
+    opens = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    before = np.cumsum(np.append(0, pc.binary_length(batch.column("packed")).to_numpy()[:-1]))[opens]
+    cuts = opens[np.flatnonzero(np.append(True, np.diff(before // TASK_BYTES) > 0))]
+    for lo, hi in zip(cuts, np.append(cuts[1:], len(keys))):
+        yield _repeats(batch.slice(lo, hi - lo), window)
+
+
 def _spread_body(window: int):
-    def body(batch: pa.RecordBatch):
-        one, two, pack, place = _windows(batch, window)
-        rows = pa.array(pack)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(signed(one)), pa.array(signed(two)), batch.column("doc_id").take(rows), batch.column("tx").take(rows),
-             pa.array(place.astype(np.int32))], names=["f1", "f2", "doc_id", "tx", "place"])
+    def body(whole: pa.RecordBatch):
+        for lo, packed in text_chunks(whole.column("packed")):
+            batch = whole.slice(lo, len(packed))
+            one, two, pack, place = _windows(batch, window)
+            rows = pa.array(pack)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(one)), pa.array(signed(two)), batch.column("doc_id").take(rows), batch.column("tx").take(rows),
+                 pa.array(place.astype(np.int32))], names=["f1", "f2", "doc_id", "tx", "place"])
     return body
 
 
+def _cut(data: bytes, ranges: list | None) -> tuple[bytes, int, int, str]:
+    """The text without the words in the ranges (each goes with the white space after it), words, removed words, digest of the kept."""
+    words = data.split()
+    if not ranges:
+        return data, len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest()
+    gone = np.zeros(len(words) + 1, np.int32)
+    np.add.at(gone, [r["lo"] for r in ranges], 1)
+    np.add.at(gone, [min(r["hi"], len(words)) for r in ranges], -1)
+    gone = np.cumsum(gone[:-1]) > 0
+    start = Words(pa.array([data], pa.binary())).start
+    follows = np.append(start[1:], len(data))
+    keep = np.ones(len(data), bool)
+    for lo, hi in zip(start[gone], follows[gone]):
+        keep[lo:hi] = False
+    kept = [w for w, g in zip(words, gone) if not g]
+    text = np.frombuffer(data, np.uint8)[keep].tobytes()
+    return text, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
+
+
 def _cut_body(batch: pa.RecordBatch):
-    """Words outside the ranges, the text without the removed words, counts and digest."""
-    out = []
-    for doc, text, ranges in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ranges"))):
-        data = (text or "").encode()
-        words = data.split()
-        total, kept, kept_text = len(words), words, text
-        if ranges:
-            gone = np.zeros(total + 1, np.int32)
-            np.add.at(gone, [r["lo"] for r in ranges], 1)
-            np.add.at(gone, [min(r["hi"], total) for r in ranges], -1)
-            gone = np.cumsum(gone[:-1]) > 0
-            kept = [w for w, g in zip(words, gone) if not g]
-            w = Words(pa.array([data], pa.binary()))
-            keep = np.ones(len(data), bool)
-            follows = np.append(w.start[1:], len(data))  # a removed word goes with the white space after it
-            for lo, hi in zip(w.start[gone], follows[gone]):
-                keep[lo:hi] = False
-            kept_text = w.data[keep].tobytes().decode()
-        out.append((doc, kept_text, total, total - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-    cols = list(zip(*out)) if out else [[]] * 5
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)],
-                                     names=["doc_id", "kept_text", "n_words", "n_removed", "kept_sha256"])
-
-
-def repeated_ranges(rows: DataFrame, window: int = 50, seed: int = 10, hot: int = 20_000) -> DataFrame:
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string()]
+    for lo, texts in text_chunks(batch.column("text")):
+        ranges = batch.column("ranges").slice(lo, len(texts)).to_pylist()
+        rows = [_cut(data or b"", r) for data, r in zip(texts.cast(pa.binary()).to_pylist(), ranges)]
+        text, *counts = (pa.array(list(c), k) for c, k in zip(zip(*rows), kinds))
+        text = pc.if_else(pc.is_valid(texts), text, pa.scalar(None, pa.binary())).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(texts)), text, *counts],
+                                         names=["doc_id", "kept_text", "n_words", "n_removed", "kept_sha256"])
+
+
+def repeated_ranges(rows: DataFrame, window: int = 50, seed: int = 10, hot: int = 5_000) -> DataFrame:
     """(doc_id, tx, lo, hi): word ranges of windows that also begin in a document with a smaller id.
 
     ``rows``: doc_id, text, tx (fingerprint of the text).  Null ids take no part.
@@ -207,7 +230,7 @@ def repeated_ranges(rows: DataFrame, window: int = 50, seed: int = 10, hot: int
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50,
-                    seed: int = 10, hot: int = 20_000) -> DataFrame:
+                    seed: int = 10, hot: int = 5_000) -> DataFrame:
     """Remove each word covered by a window that also begins in a document with a smaller id.
 
     Returns doc_id, kept_text, n_words, n_removed, kept_sha256, a row for each
@@ -223,3 +246,25 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
     return arrow_map(rows.join(ranges, ["doc_id", "tx"], "left"), _cut_body,
                      "doc_id long, kept_text string, n_words long, n_removed long, kept_sha256 string")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed: int = 10,
+                   hot: int = 5_000) -> DataFrame:
+    """The rows and columns of ``docs``, their texts without the words that ``substring_dedup`` removes."""
+    # The whole row travels as one struct, so no column of it can clash with ours.
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                       F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")).withColumn("tx", text_key())
+    ranges = (repeated_ranges(rows.select("doc_id", "text", "tx"), window, seed, hot).groupBy("doc_id", "tx")
+              .agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
+    kind = rows.schema["whole"].dataType
+
+    def body(batch: pa.RecordBatch):
+        lo = 0
+        for cut in _cut_body(batch):
+            n = cut.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("whole").slice(lo, n), cut.column("kept_text")], names=["whole", "kept_text"])
+            lo += n
+
+    cut = arrow_map(rows.join(ranges, ["doc_id", "tx"], "left").select("whole", "doc_id", "text", "ranges"), body,
+                    T.StructType().add("whole", kind).add("kept_text", "string"))
+    return cut.select(*(F.col("kept_text").alias(c) if c == text_col else F.col("whole").getField(c).alias(c) for c in docs.columns))

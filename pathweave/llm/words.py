@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20  # texts are taken this many bytes at a time (one longer text is taken whole)
+CHUNK_BYTES = 1 << 19  # texts are taken this many bytes at a time (one longer text is taken whole)
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

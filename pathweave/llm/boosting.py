@@ -116,6 +116,25 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tup
     return x[order], np.array([r["label"] for r in rows], float)[order]
 
 
+def _learned(docs: DataFrame, labels: DataFrame, id_col, text_col, label_id_col, label_col, folds, held_out, sample_rows) -> Trees:
+    known = labels.select(F.col(label_id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    return fit_trees(*training_sample(documents(docs, id_col, text_col), known.where(fold("doc_id", folds) != held_out), sample_rows))
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id",
+                   label_col: str = "quality", folds: int = 3, held_out: int = 1, sample_rows: int = 20_000) -> DataFrame:
+    """The rows of ``docs``, all columns, with a score of 0.5 or more; learned as in ``quality_scores``."""
+    trees = _learned(docs, labels, id_col, text_col, label_id_col, label_col, folds, held_out, sample_rows)
+    place = docs.columns.index(text_col)
+
+    def body(batch: pa.RecordBatch):
+        good = [trees.scores(features(texts.cast(pa.string()))) >= 0.5 for _, texts in text_chunks(batch.column(place))]
+        if good:
+            yield batch.filter(pa.array(np.concatenate(good)))
+
+    return arrow_map(docs, body, docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id",
                    label_col: str = "quality", folds: int = 3, held_out: int = 1, sample_rows: int = 20_000) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``.
@@ -126,8 +145,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     usable labels every score is 0.5; other columns are ignored.
     """
     rows = documents(docs, id_col, text_col)
-    known = labels.select(F.col(label_id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    trees = fit_trees(*training_sample(rows, known.where(fold("doc_id", folds) != held_out), sample_rows))
+    trees = _learned(docs, labels, id_col, text_col, label_id_col, label_col, folds, held_out, sample_rows)
 
     def body(batch: pa.RecordBatch):
         for lo, texts in text_chunks(batch.column("text")):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, small_batches
 
 END_ID = 2
 CACHED_WORDS = 400_000  # words a worker remembers between tasks
@@ -201,5 +201,5 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         return pack_shard(key[0].as_py(), table.column("doc_id").to_pylist(),
                           [t.encode() for t in table.column("text").to_pylist()], tokenizer_path, window)
 
-    return dealt.groupBy("shard").applyInArrow(run, (
+    return small_batches(dealt).groupBy("shard").applyInArrow(run, (
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"))

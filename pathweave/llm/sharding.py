@@ -16,7 +16,6 @@ other range and never has to fit into one task.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,14 +34,15 @@ def key_prefix(digits: int) -> Column:
     return F.substring(F.col("key"), 1, 2 * digits)
 
 
+def _key(doc_id: Column, text: Column) -> Column:
+    """16 digits as 32 hexadecimal characters.  A null text is a group of its own, a null id hashes to a fixed value."""
+    return F.concat(*(F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(text, text.isNull()), F.xxhash64(doc_id))))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
-    # A null text is a group of its own; a null id hashes to a fixed value.
-    text_hash = F.xxhash64(F.col("text"), F.col("text").isNull())
-    hexed = lambda c: F.lpad(F.hex(c), 16, "0")
     return documents(docs, id_col, text_col).select(
-        "doc_id", size.alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
-        F.concat(hexed(text_hash), hexed(F.xxhash64("doc_id"))).alias("key"))
+        "doc_id", size.alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), _key(F.col("doc_id"), F.col("text")).alias("key"))
 
 
 @dataclass
@@ -136,6 +136,13 @@ def histogram_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id",
         (before + in_range - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def shard_of(cuts: list[str], key: str) -> int:
-    """The range of one key, as ``histogram_shards`` deals it (for tests and lookups)."""
-    return bisect_right(cuts, key)
+def write_shards(docs: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id", text_col: str = "text",
+                 tolerance: float = 0.001, ranges_per_shard: int = 8) -> None:
+    """Write all columns of ``docs`` as Parquet, one folder ``shard=N`` for each shard, in key order; the rows move once."""
+    keyed = cut_lineage(_keyed(docs, id_col, text_col), "keys")
+    cuts = splitters(keyed, shards * ranges_per_shard, tolerance * ranges_per_shard)
+    key = _key(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    (docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), key.alias("key")).withColumn("part", _range_of(cuts))
+     .repartition(shards * ranges_per_shard, "part").sortWithinPartitions("part", "key")
+     .select("whole.*", F.expr(f"cast(part div {ranges_per_shard} AS int)").alias("shard"))
+     .write.mode("overwrite").partitionBy("shard").parquet(path))

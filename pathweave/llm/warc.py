@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from pathweave.session import cut_lineage, table_path
 
-from .common import arrow_map
+from .common import small_batches
 
 FILE_BYTES = 16 << 20  # payload bytes an archive file is sized for
 ARC_FIELDS = {b"1": 5, b"2": 10}  # fields of a record's header line, by version
@@ -87,7 +87,7 @@ def _archive_of(opening, record):
 
 
 def _write_archive(df: DataFrame, run, path: str, separator: str) -> None:
-    rows = df.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+    rows = small_batches(df).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
     (rows.write.option("lineSep", separator).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
      .mode("overwrite").text(path))
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normal import cohens_h, power_at_n, required_n, two_sided_p
+from .aggregates import factor_values
 
 
 def _nan_to_null(c):
@@ -53,18 +54,18 @@ def significance_tally(tests: DataFrame, p_col: str = "p_value", alpha: float =
                      F.count(F.lit(1)).alias("n_strata"))
 
 
-def pairwise_power(cells: DataFrame, stratum_cols: list[str], arms: list[str], arm_col: str = "path_type",
+def pairwise_power(cells: DataFrame, stratum_cols: list[str], arms: list[str] | None = None, arm_col: str = "path_type",
                    n_col: str = "n", k_col: str = "k", p_col: str = "p_yes", n_replicates: int = 30,
                    alpha: float = 0.05, power: float = 0.8) -> DataFrame:
     """Every arm pair (A before B alphabetically) inside each stratum.
 
     ``cells`` has one row per (stratum, arm) with n, k, p (G4).  Pairs come from
-    the fixed arm-level list: each cell is sent to the pairs it belongs to and
+    ``arms``, by default all arms that occur (a bounded factor): each cell is sent to the pairs it belongs to and
     one aggregation per (stratum, pair) assembles both sides, so the work is
     cells x levels, never rows x rows.  Equal proportions (k_A n_B = k_B n_A)
     are skipped.
     """
-    lv = sorted(arms)
+    lv = sorted(arms if arms is not None else factor_values(cells, arm_col))
     pairs = [(a, b) for i, a in enumerate(lv) for b in lv[i + 1:]]
     arr = F.array(*[F.struct(F.lit(a).alias("path_type_A"), F.lit(b).alias("path_type_B")) for a, b in pairs])
     mine = F.filter(arr, lambda s: (s["path_type_A"] == F.col(arm_col)) | (s["path_type_B"] == F.col(arm_col)))

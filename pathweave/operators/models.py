@@ -49,13 +49,14 @@ def _stratum_cells(df: DataFrame, stratum_col: str, arm_col: str, factor_col: st
                    arms: list[str], factors: list[str]) -> DataFrame:
     """One row per stratum with its cells as arrays (at most arms x factor values long).
 
-    ``a`` and ``f`` number the levels (0: the reference, or a level that isn't listed),
-    ``n`` are trials, ``k`` successes.
+    ``a`` and ``f`` number the levels (0: the reference), ``n`` are trials, ``k``
+    successes.  A run whose arm or factor value isn't listed is missing data.
     """
     def number(col, levels):
-        return F.greatest(F.coalesce(F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(col)), F.lit(1)) - 1, F.lit(0))
+        return F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(col)) - 1
 
-    d = df.filter(F.col(outcome_col).isNotNull() & F.col(stratum_col).isNotNull())
+    d = df.filter(F.col(outcome_col).isNotNull() & F.col(stratum_col).isNotNull() & F.col(arm_col).isin(*arms)
+                  & F.col(factor_col).isin(*factors))
     cells = d.groupBy(F.col(stratum_col).cast("string").alias("stratum"), number(arm_col, arms).alias("a"),
                       number(factor_col, factors).alias("f")).agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(outcome_col).cast("double")).alias("k"))
@@ -277,7 +278,7 @@ def logistic_by_factor(df: DataFrame, arm_col: str = "path_type", factor_col: st
 
 def _lmm_design(df: DataFrame, arm_col: str, factor_col: str, stratum_col: str, outcome_col: str,
                 arm_levels: list[str], treated: str):
-    cells = df.groupBy(stratum_col, arm_col, factor_col).agg(
+    cells = df.filter(F.col(arm_col).isin(*arm_levels)).groupBy(stratum_col, arm_col, factor_col).agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(outcome_col).cast("double")).alias("sy"),
         F.sum(F.col(outcome_col).cast("double") ** 2).alias("syy"))
     factors = factor_values(cells, factor_col)

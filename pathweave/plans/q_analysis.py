@@ -366,7 +366,6 @@ def s3_significance_tally(spark, d):
     return S.significance_tally(_s1(spark, d))
 
 
-_ARMS = ["alt_grouping", "direct", "length_matched", "sequential", "skipped"]
 
 
 def _s7_core():
@@ -384,7 +383,7 @@ SELECT scenario_id, terminal_wording_id, path_type_A, path_type_B, round(p_yes_A
   {sql_required_n('h')} AS required_n_80pct FROM pw"""))
 def s7_pairwise_power(spark, d):
     cells = G.cell_proportions(_a3(spark, d), CELL_KEYS)
-    return rounded(S.pairwise_power(cells, ["scenario_id", "terminal_wording_id"], _ARMS))
+    return rounded(S.pairwise_power(cells, ["scenario_id", "terminal_wording_id"]))
 
 
 @register("s8_sample_size_recommendation", with_ctes(*BASE, A3_SQL, _CELLS_SQL, _s7_core(), body=f"""
@@ -392,7 +391,7 @@ SELECT round(min({sql_power_at_n('h', 30)}), 6) AS min_power, max({sql_required_
   count(*) AS n_pairs, min({sql_power_at_n('h', 30)}) >= 0.8 AS adequate FROM pw"""))
 def s8_sample_size_recommendation(spark, d):
     cells = G.cell_proportions(_a3(spark, d), CELL_KEYS)
-    return rounded(S.sample_size_recommendation(S.pairwise_power(cells, ["scenario_id", "terminal_wording_id"], _ARMS)))
+    return rounded(S.sample_size_recommendation(S.pairwise_power(cells, ["scenario_id", "terminal_wording_id"])))
 
 
 @register("s2_normal_tail", """

@@ -32,10 +32,10 @@ def r1_logistic_fixed_effects(spark, d):
 
 @register("r1_fitted_margins", with_ctes(RUNS_V_SQL, SCENARIOS_V_SQL, A1_SQL, body="""
 SELECT 'stratum' AS margin, scenario_id AS level, count(*) AS n, sum(verdict)::DOUBLE AS observed, sum(verdict)::DOUBLE AS fitted
-FROM a1 GROUP BY scenario_id
+FROM a1 WHERE path_type <> 'unlisted' GROUP BY scenario_id
 UNION ALL
 SELECT 'cell', path_type || '|' || terminal_wording_id, count(*), sum(verdict)::DOUBLE, sum(verdict)::DOUBLE
-FROM a1 GROUP BY path_type, terminal_wording_id"""))
+FROM a1 WHERE path_type <> 'unlisted' GROUP BY path_type, terminal_wording_id"""))
 def r1_fitted_margins(spark, d):
     return rounded(R.fitted_margins(_a1(spark, d)), 4)
 

@@ -50,6 +50,11 @@ _PRIORITY_TO_PATH = [
 ]
 
 
+# Runs that the frames have to leave out: some statuses that aren't outcomes, an unlisted arm, an unmatched scenario.
+UNFINISHED = ("pending", "running", "failed")  # by o_orderkey % 97 = 0, 1, 2
+UNKNOWN_PATH, UNKNOWN_SCENARIO = "unlisted", "NOWHERE"
+
+
 def _case(col: Column, pairs, default) -> Column:
     expr = None
     for key, value in pairs:
@@ -65,14 +70,17 @@ def runs_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     j = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     requested = F.concat(F.lit("prov-"), F.lower("c_mktsegment"))
+    unfinished = F.col("o_orderkey") % 97 < len(UNFINISHED)
     return j.select(
         F.col("o_orderkey").alias("run_id"),
-        F.col("n_name").alias("scenario_id"),
-        _case(F.col("o_orderpriority"), _PRIORITY_TO_PATH, "length_matched").alias("path_type"),
+        F.when(F.col("o_orderkey") % 83 == 0, F.lit(UNKNOWN_SCENARIO)).otherwise(F.col("n_name")).alias("scenario_id"),
+        F.when(F.col("o_orderkey") % 89 == 0, F.lit(UNKNOWN_PATH))
+        .otherwise(_case(F.col("o_orderpriority"), _PRIORITY_TO_PATH, "length_matched")).alias("path_type"),
         F.concat(F.lit("W"), (F.col("o_orderkey") % 3 + 1).cast("string")).alias("terminal_wording_id"),
-        F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 0)
+        F.when(unfinished, F.lit(None).cast("int")).when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 0)
         .otherwise(F.lit(None).cast("int")).alias("verdict"),
-        F.when(F.col("o_orderstatus") == "P", "refused").otherwise("complete").alias("status"),
+        F.when(unfinished, F.element_at(F.array(*map(F.lit, UNFINISHED)), (F.col("o_orderkey") % 97 + 1).cast("int")))
+        .when(F.col("o_orderstatus") == "P", "refused").otherwise("complete").alias("status"),
         F.floor("o_totalprice").cast("bigint").alias("total_tokens"),
         F.col("o_orderdate").alias("ts"),
         requested.alias("provider_requested"),
@@ -83,13 +91,14 @@ def runs_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RUNS_V_SQL = """runs_v AS (
-  SELECT o_orderkey AS run_id, n_name AS scenario_id,
-    CASE o_orderpriority WHEN '1-URGENT' THEN 'direct' WHEN '2-HIGH' THEN 'sequential'
-      WHEN '3-MEDIUM' THEN 'skipped' WHEN '4-NOT SPECIFIED' THEN 'alt_grouping'
-      ELSE 'length_matched' END AS path_type,
+  SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 83 = 0 THEN 'NOWHERE' ELSE n_name END AS scenario_id,
+    CASE WHEN o_orderkey % 89 = 0 THEN 'unlisted' ELSE CASE o_orderpriority WHEN '1-URGENT' THEN 'direct'
+      WHEN '2-HIGH' THEN 'sequential' WHEN '3-MEDIUM' THEN 'skipped' WHEN '4-NOT SPECIFIED' THEN 'alt_grouping'
+      ELSE 'length_matched' END END AS path_type,
     'W' || CAST(o_orderkey % 3 + 1 AS VARCHAR) AS terminal_wording_id,
-    CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 ELSE NULL END AS verdict,
-    CASE WHEN o_orderstatus = 'P' THEN 'refused' ELSE 'complete' END AS status,
+    CASE WHEN o_orderkey % 97 < 3 THEN NULL WHEN o_orderstatus = 'F' THEN 1 WHEN o_orderstatus = 'O' THEN 0 END AS verdict,
+    CASE o_orderkey % 97 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'failed'
+      ELSE CASE WHEN o_orderstatus = 'P' THEN 'refused' ELSE 'complete' END END AS status,
     CAST(floor(o_totalprice) AS BIGINT) AS total_tokens, o_orderdate AS ts,
     'prov-' || lower(c_mktsegment) AS provider_requested,
     CASE WHEN o_orderpriority = '5-LOW' THEN NULL WHEN o_orderstatus = 'P' THEN 'prov-fallback'

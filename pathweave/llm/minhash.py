@@ -10,10 +10,9 @@
    k * (k - 1) / 2 pairs.
 4. Candidates are confirmed on full sets and joined to components.
 5. A star alone could lose a link between two leaves that aren't linked with the
-   centre.  Buckets whose classes are still in more than one component get further
-   stars (a centre for each of 4 hash classes), then all their remaining pairs of
-   different components.  That is the whole job: each pair that shares a bucket is
-   either confirmed, refused, or already connected.
+   centre.  The members of buckets that still hold more than one component are
+   compared in blocks on full sets, which gives out links only.  Each pair that
+   shares a bucket is thus confirmed, refused, or already connected.
 
 With 6 rows and 50 bands, a pair at similarity 0.75 shares no bucket with
 probability (1 - 0.75^6)^50 = 6e-5, at 0.8 with probability 3e-7.
@@ -25,7 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathweave.session import cut_lineage
@@ -33,6 +32,8 @@ from pathweave.session import cut_lineage
 from .common import arrow_map, documents
 from .words import Words, mix, sequence_hashes, signed, text_chunks
 
+BLOCK_BYTES = 2 << 20  # of sets that a task compares with another such block
+MATRIX_GRAMS = 4096   # shingles in a 0/1 matrix at a time
 _U = np.uint64
 
 
@@ -165,6 +166,69 @@ def components(links: DataFrame) -> DataFrame:
         label = after.select("node", "component")
 
 
+def _block_links(percent: int):
+    """All links between different components among one or two blocks of sets, by products of 0/1 matrices."""
+    def run(key, table):
+        side = table.column("side").to_numpy()
+        rows = [np.flatnonzero(side == s) for s in (0, 1)]
+        if not len(rows[1]):
+            rows[1] = rows[0]  # a block with itself
+        members = [np.frombuffer(m, np.uint64) for m in table.column("members").to_pylist()]
+        size = np.array([len(m) for m in members])
+        node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+        grams, code = np.unique(np.concatenate(members), return_inverse=True)
+        of = np.repeat(np.arange(len(members)), size)
+        common = np.bincount(code, minlength=len(grams)) > 1
+        number = np.cumsum(common) - 1
+        of, code = of[common[code]], number[code[common[code]]]
+        both = np.zeros((len(rows[0]), len(rows[1])), np.float32)
+        order = np.argsort(code, kind="stable")
+        of, code = of[order], code[order]
+        for lo in range(0, int(common.sum()), MATRIX_GRAMS):
+            part = slice(*np.searchsorted(code, [lo, lo + MATRIX_GRAMS]))
+            dense = np.zeros((len(members), MATRIX_GRAMS), np.float32)
+            dense[of[part], code[part] - lo] = 1
+            both += dense[rows[0]] @ dense[rows[1]].T
+        union = size[rows[0]][:, None] + size[rows[1]][None, :] - both
+        x, y = np.nonzero((100 * both >= percent * union) & (component[rows[0]][:, None] != component[rows[1]][None, :]))
+        a, b = node[rows[0][x]], node[rows[1][y]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    return run
+
+
+def _remaining_links(unsettled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components among the members (key, node, n, component) of each unsettled bucket.
+
+    Buckets that share members make a cluster.  Its nodes, in order of their set's
+    size, are cut into blocks of bounded bytes; every two blocks meet in one task, which
+    hands out links and no pairs.  Blocks whose sizes can't be similar don't meet, nor do
+    two blocks of the cluster's largest component, so a great group of near copies only
+    meets those that aren't in it yet.
+    """
+    edges = (unsettled.join(unsettled.groupBy("key").agg(F.min("node").alias("a")), "key").where("node > a")
+             .select("a", F.col("node").alias("b")).distinct())
+    clusters = components(edges).withColumnRenamed("component", "cluster")
+    nodes = unsettled.select("node", "n", "component").distinct().join(clusters, "node")
+    largest = (nodes.groupBy("cluster", "component").agg(F.count("*").alias("c"))
+               .groupBy("cluster").agg(F.max_by("component", "c").alias("largest")))
+    before = F.sum(8 * F.col("n") + 2048).over(Window.partitionBy("cluster", "major").orderBy("n", "node"))
+    nodes = (nodes.join(largest, "cluster").withColumn("major", F.expr("component = largest"))
+             .withColumn("block", F.floor(before / BLOCK_BYTES)).select("node", "n", "component", "cluster", "major", "block"))
+    nodes = cut_lineage(nodes, "clusters")
+    blocks = (nodes.groupBy("cluster", "major", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+              .withColumn("name", F.expr("2 * block + cast(major AS int)")))
+    other = blocks.select("cluster", *(F.col(c).alias(f"{c}2") for c in ("major", "low", "high", "name")))
+    meetings = (blocks.join(other, "cluster").where("name <= name2 AND NOT (major AND major2)")
+                .where(f"100 * least(high, high2) >= {percent} * greatest(low, low2)").select("cluster", "name", "name2"))
+    sides = meetings.select("cluster", "name", "name2", F.explode(F.expr(
+        "CASE WHEN name = name2 THEN array(struct(0 AS side, name AS own)) "
+        "ELSE array(struct(0 AS side, name AS own), struct(1 AS side, name2 AS own)) END")).alias("s"))
+    rows = (nodes.withColumn("own", F.expr("2 * block + cast(major AS int)"))
+            .join(sides.select("cluster", "name", "name2", "s.*"), ["cluster", "own"]).join(sets, "node"))
+    return (rows.select("cluster", "name", "name2", "side", "node", "component", "members")
+            .groupBy("cluster", "name", "name2").applyInArrow(_block_links(percent), "a long, b long").where("a < b").distinct())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                     percent: int = 75, bands: int = 50, rows: int = 6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
@@ -195,23 +259,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut_lineage(confirmed(pairs, sets, percent), "links")
     label = components(links)
 
-    for centres in (4, None):
-        # Buckets that still hold more than one component: the pairs there that no centre has settled.
+    def unsettled(label: DataFrame) -> DataFrame:
+        """Members, their centres apart, of buckets that still hold more than one component."""
         labelled = (members.join(label, "node", "left")
                     .select("key", "node", "n", "centre", F.coalesce("component", "node").alias("component")))
         several = (labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.countDistinct("node").alias("k"))
                    .where("x < y AND k > 2").select("key"))
-        rest = cut_lineage(labelled.join(several, "key").where("node > centre"), "rest")
-        side = rest.select("key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
-        if centres:
-            side = (side.groupBy("key", F.pmod(F.xxhash64("a", F.lit(7)), F.lit(centres)).alias("part"))
-                    .agg(F.min_by(F.struct("a", "an", "ac"), "a").alias("c")).select("key", "c.*"))
-        pairs = (rest.join(side, "key").where("component <> ac" + ("" if centres else " AND a < node")).where(fits)
-                 .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
-        more = cut_lineage(confirmed(pairs, sets, percent), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            label = components(links)
+        return cut_lineage(labelled.join(several, "key").where("node > centre").select("key", "node", "n", "component"), "unsettled")
+
+    # What the stars have left: a link between two members neither of which is linked with their bucket's centre.
+    more = cut_lineage(_remaining_links(unsettled(label), sets, percent), "links")
+    if not more.isEmpty():
+        label = components(links.union(more))
 
     owner = linkable.select("doc_id", "class").join(classes.select("class", "node"), "class")
     owner = (owner.join(label, "node", "left").groupBy("doc_id")

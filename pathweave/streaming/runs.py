@@ -4,8 +4,8 @@ The live side of an experiment — runs finishing one by one, updates arriving
 twice, drift during the run window — as streaming jobs:
 
 * ``idempotent_ingest``   ST1  watermark + ``dropDuplicatesWithinWatermark``
-* ``live_status``         ST2  latest status per run (state store, ``max_by``)
-                               merged into a versioned ledger by ``foreachBatch``
+* ``live_status``         ST2  latest status per run: each micro-batch is reduced
+                               and merged into a versioned ledger by ``foreachBatch``
 * ``windowed_rates``      ST3  tumbling or sliding event-time windows
 * ``provider_drift``      ST4  windowed counts per (provider, version)
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,11 +49,11 @@ def idempotent_ingest(stream: DataFrame, key: str = "event_id", ts: str = "ts",
     return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
 
 
-def latest_status(stream: DataFrame, run_col: str = "run_id", ts: str = "ts",
+def latest_status(events: DataFrame, run_col: str = "run_id", ts: str = "ts",
                   payload: tuple[str, ...] = ("status",)) -> DataFrame:
-    """ST2 state: per run, the payload of its latest event (bounded state per run)."""
+    """ST2: per run, the payload of its latest event in a batch."""
     s = F.struct(*[F.col(c) for c in payload], F.col(ts).alias(ts))
-    g = stream.groupBy(run_col).agg(F.max_by(s, F.col(ts)).alias("_u"))
+    g = events.groupBy(run_col).agg(F.max_by(s, F.col(ts)).alias("_u"))
     return g.select(run_col, *[F.col(f"_u.{c}").alias(c) for c in payload], F.col(f"_u.{ts}").alias(ts))
 
 
@@ -76,32 +77,41 @@ def _empty_like(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.createDataFrame([], df.schema)
 
 
+def _table_if_any(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
+    """The table at ``path``, or None if nothing has been written there yet; any other failure is raised."""
+    try:
+        return spark.read.format(fmt).load(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def run_available_now(df: DataFrame, name: str, mode: str = "append", base: str | None = None) -> DataFrame:
     """Run a streaming query over everything available, then return its output as a table.
 
     Each micro-batch is written by ``foreachBatch``: appended under a per-batch
     folder (append/update) or as the whole result (complete), so a replayed
-    batch overwrites itself instead of duplicating rows.
+    batch overwrites itself instead of duplicating rows.  A rerun without new
+    files returns the table as it is.
     """
     spark = df.sparkSession
     root = base or table_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
     sink = os.path.join(root, "out")
-    seen = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if mode == "complete":
             batch.write.mode("overwrite").parquet(sink)
         else:
             batch.write.mode("overwrite").parquet(os.path.join(sink, f"batch={batch_id}"))
-        seen.append(batch_id)
 
     q = (df.writeStream.outputMode(mode).foreachBatch(write)
          .option("checkpointLocation", os.path.join(root, "_checkpoint"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    if not seen:
+    out = _table_if_any(spark, sink)
+    if out is None:
         return _empty_like(spark, df)
-    out = spark.read.parquet(sink)
     return out.drop("batch") if "batch" in out.columns else out
 
 
@@ -109,31 +119,28 @@ def live_status(stream: DataFrame, name: str, run_col: str = "run_id", ts: str =
                 payload: tuple[str, ...] = ("status",), buckets: int = 64, root: str | None = None) -> DataFrame:
     """ST2: keep a ledger of each run's latest status current as events stream in.
 
-    The stateful aggregation emits only changed runs (update mode).  The
-    ledger is hash-bucketed on the run id; ``foreachBatch`` rewrites only the
-    buckets a micro-batch touches (merge with ``latest_per_key``) into a folder
-    for that batch, and a small bucket -> folder map (``buckets`` rows, kept
-    in the ledger folder) names each bucket's current version.  A batch costs
-    the size of the buckets it touches, not of the whole ledger; a replayed
-    batch overwrites its own folder, and a restart resumes from the map.
+    The stream itself is stateless: ``foreachBatch`` reduces a micro-batch to the
+    latest event of each run and merges it into the ledger, which is the only state.
+    The ledger is hash-bucketed on the run id; a batch rewrites only the buckets
+    it touches into a folder of its own, and a map of ``buckets`` rows names each
+    bucket's current folder.  Every batch writes a new version of the map (one file, so it is
+    there whole or not at all); a restart resumes from the newest.  A batch costs the
+    size of the buckets it touches, and a replayed batch overwrites its own folder.
     """
     spark = stream.sparkSession
     base = root or table_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
-    state = latest_status(stream.withWatermark(ts, "3650 days"), run_col, ts, payload)
-    map_path = os.path.join(base, "current")
+    maps = os.path.join(base, "maps")
     current: dict[int, str] = {}
-    if root is not None:  # resuming an existing ledger: read its bucket map (if any)
-        try:
-            current = {r.bucket: r.path for r in spark.read.json(map_path).collect()}
-        except Exception:  # no batch committed yet
-            current = {}
+    known = _table_if_any(spark, maps) if root is not None else None
+    if known is not None:
+        newest = known.agg(F.max("version")).first()[0]
+        current = {r.bucket: r.path for r in known.filter(F.col("version") == newest).collect()}  # at most ``buckets``
     bucket = F.pmod(F.hash(F.col(run_col)), F.lit(buckets))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        b = batch.withColumn("_b", bucket)
-        touched = sorted(r._b for r in b.select("_b").distinct().collect())  # at most ``buckets``
+        merged = latest_status(batch, run_col, ts, payload)
+        touched = sorted(r._b for r in merged.select(bucket.alias("_b")).distinct().collect())  # at most ``buckets``
         old = [current[k] for k in touched if k in current]
-        merged = b.drop("_b")
         if old:
             merged = latest_per_key(spark.read.parquet(*old).unionByName(merged), [run_col], ts)
         out = os.path.join(base, "ledger", f"v{batch_id:09d}")
@@ -141,12 +148,12 @@ def live_status(stream: DataFrame, name: str, run_col: str = "run_id", ts: str =
         for k in touched:
             current[k] = os.path.join(out, f"_b={k}")
         spark.createDataFrame(sorted(current.items()), "bucket int, path string").coalesce(1) \
-            .write.mode("overwrite").json(map_path)
+            .write.mode("overwrite").parquet(os.path.join(maps, f"version={batch_id}"))
 
-    q = (state.writeStream.outputMode("update").foreachBatch(merge)
+    q = (stream.writeStream.foreachBatch(merge)
          .option("checkpointLocation", os.path.join(base, "_checkpoint"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
     if not current:
-        return _empty_like(spark, state)
+        return _empty_like(spark, latest_status(stream, run_col, ts, payload))
     return spark.read.parquet(*current.values())

@@ -82,3 +82,15 @@ def test_live_status_resumes_from_its_folder(spark, scratch):
         .coalesce(1).write.parquet(os.path.join(root, "part99"))
     second = S.live_status(stream(), "resume", root=ledger_root, buckets=4)
     assert {r.run_id: r.status for r in second.collect()} == {1: "running", 2: "complete", 3: "failed"}
+
+
+def test_a_rerun_without_new_files_returns_the_table(spark, scratch):
+    d = pd.Timestamp("2024-01-01 10:00")
+    root = os.path.join(scratch, "once")
+    _write_days(spark, root, [[(1, d, 1, "complete", 1.0), (2, d, 2, "complete", 1.0)]])
+
+    def again():
+        stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(root)
+        return S.run_available_now(S.idempotent_ingest(stream), "again", base=os.path.join(scratch, "again"))
+
+    assert [sorted(r.event_id for r in again().collect()) for _ in range(2)] == [[1, 2], [1, 2]]

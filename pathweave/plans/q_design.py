@@ -250,6 +250,11 @@ def _manifest_sql(replicates: int, extra_ctes=(), body: str = "") -> str:
     return with_recursive(*ALL_PATH_CTES, PATHS_WITH_IDS, WORDINGS_V_SQL, man, *extra_ctes, body=body)
 
 
+def _id_sum():
+    """A digest of the run ids of a group: it changes with any one of them."""
+    return F.sum(F.conv(F.substring("run_id", 1, 7), 16, 10).cast("long")).alias("id_sum")
+
+
 _MAN_COLS = ["run_id", "scenario_id", "path_type", "path_signature", "perm_id", "terminal_wording_id", "model",
              "provider_requested", "temperature", "seed", "replicate_idx", "status"]
 
@@ -260,9 +265,9 @@ def m1_build_manifest(spark, d):
 
 
 @register("m2_replicate_expansion", _manifest_sql(3, body="""
-SELECT path_type, replicate_idx, count(*) AS n FROM man GROUP BY 1, 2"""))
+SELECT path_type, replicate_idx, count(*) AS n, CAST(sum(CAST('0x' || left(run_id, 7) AS BIGINT)) AS BIGINT) AS id_sum FROM man GROUP BY 1, 2"""))
 def m2_replicate_expansion(spark, d):
-    return _manifest(spark, d, 3).groupBy("path_type", "replicate_idx").agg(F.count(F.lit(1)).alias("n"))
+    return _manifest(spark, d, 3).groupBy("path_type", "replicate_idx").agg(F.count(F.lit(1)).alias("n"), _id_sum())
 
 
 @register("m3_condition_seeds", _manifest_sql(2, body="""
@@ -285,9 +290,10 @@ def m4_run_ids(spark, d):
 
 
 @register("m5_pending_by_type", _manifest_sql(1, body="""
-SELECT path_type, count(*) AS n_pending FROM man WHERE status = 'pending' GROUP BY 1"""))
+SELECT path_type, count(*) AS n_pending, CAST(sum(CAST('0x' || left(run_id, 7) AS BIGINT)) AS BIGINT) AS id_sum FROM man
+WHERE status = 'pending' GROUP BY 1"""))
 def m5_pending_by_type(spark, d):
-    return M.pending(_manifest(spark, d, 1)).groupBy("path_type").agg(F.count(F.lit(1)).alias("n_pending"))
+    return M.pending(_manifest(spark, d, 1)).groupBy("path_type").agg(F.count(F.lit(1)).alias("n_pending"), _id_sum())
 
 
 @register("m7_dispatch_batches", _manifest_sql(1, body="""

@@ -12,8 +12,9 @@ from ..session import table_path
 from ..sources import corpus as C
 from ..sources import views as V
 from ..sources.views import (COMPONENTS_V_SQL, DESIGN_SCENARIOS_V_SQL, LABELLED_V_SQL, RAW_COMPONENTS_V_SQL,
-                             RAW_SCENARIOS_V_SQL, RUNS_V_SQL, with_ctes)
+                             RAW_SCENARIOS_V_SQL, RUNS_V_SQL, SCENARIOS_V_SQL, TURNS_V_SQL, with_ctes)
 from .catalog import register, rounded
+from .q_analysis import _EFFECT_SQL as EFFECT_SQL, A4_SQL
 from .q_design import ALL_PATH_CTES, with_recursive
 
 
@@ -139,19 +140,30 @@ def dq12_violation_counts(spark, d):
     return Q.violation_report(docs, comps, words).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("dq13_duplicate_keys", with_ctes(*_R, body="""
+@register("dq13_duplicate_keys", with_ctes(*_R, RUNS_V_SQL, TURNS_V_SQL, body="""
 SELECT 'components' AS "table", scenario_id || '|' || cid AS key, count(*) AS n FROM raw_components_v
-GROUP BY scenario_id, cid HAVING count(*) > 1"""))
+GROUP BY scenario_id, cid HAVING count(*) > 1
+UNION ALL SELECT 'scenarios', doc_id, count(*) FROM raw_scenarios_v GROUP BY doc_id HAVING count(*) > 1
+UNION ALL SELECT 'runs', CAST(run_id AS VARCHAR), count(*) FROM runs_v GROUP BY run_id HAVING count(*) > 1
+UNION ALL SELECT 'turns', run_id || '|' || turn_index, count(*) FROM turns_v GROUP BY run_id, turn_index HAVING count(*) > 1"""))
 def dq13_duplicate_keys(spark, d):
-    return Q.duplicate_keys(_raw(spark, d)[1], ["scenario_id", "cid"], "components")
+    docs, comps, _ = _raw(spark, d)
+    return (Q.duplicate_keys(comps, ["scenario_id", "cid"], "components").unionByName(Q.duplicate_keys(docs, ["doc_id"], "scenarios"))
+            .unionByName(Q.duplicate_keys(V.runs_v(spark, d), ["run_id"], "runs"))
+            .unionByName(Q.duplicate_keys(V.turns_v(spark, d), ["run_id", "turn_index"], "turns")))
 
 
-@register("dq14_orphans", with_ctes(*_R, body="""
+@register("dq14_orphans", with_ctes(*_R, RUNS_V_SQL, SCENARIOS_V_SQL, TURNS_V_SQL, body="""
 SELECT 'components' AS "table", scenario_id AS key FROM raw_components_v
-WHERE scenario_id NOT IN (SELECT scenario_id FROM raw_scenarios_v)"""))
+WHERE scenario_id NOT IN (SELECT scenario_id FROM raw_scenarios_v)
+UNION ALL SELECT 'runs', scenario_id FROM runs_v WHERE scenario_id NOT IN (SELECT scenario_id FROM scenarios_v)
+UNION ALL SELECT 'turns', CAST(run_id AS VARCHAR) FROM turns_v WHERE run_id NOT IN (SELECT run_id FROM runs_v)"""))
 def dq14_orphans(spark, d):
     docs, comps, _ = _raw(spark, d)
-    return Q.orphans(comps, docs, "scenario_id", table="components")
+    runs = V.runs_v(spark, d)
+    return (Q.orphans(comps, docs, "scenario_id", table="components")
+            .unionByName(Q.orphans(runs, V.scenarios_v(spark, d), "scenario_id", table="runs"))
+            .unionByName(Q.orphans(V.turns_v(spark, d), runs, "run_id", table="turns")))
 
 
 _REQUIRED = ["run_id", "scenario_id", "path_type", "terminal_wording_id", "provider_requested", "status", "verdict",
@@ -212,18 +224,29 @@ def io1_yaml_round_trip(spark, d):
                                                   F.array_join("deps", ",").alias("deps"))
 
 
-@register("io2_load_errors", with_ctes(*_R, body="""
+_LOAD_ERRORS = """
 SELECT scenario_id || '.yaml' AS file,
   CASE WHEN scenario_id NOT IN (SELECT scenario_id FROM raw_components_v) THEN '''considerations'' must be a mapping'
     ELSE '''terminal_wordings'' must be a mapping' END AS error
 FROM raw_scenarios_v
-WHERE scenario_id NOT IN (SELECT scenario_id FROM raw_components_v) OR n_wordings <= 0"""))
-def io2_load_errors(spark, d):
+WHERE scenario_id NOT IN (SELECT scenario_id FROM raw_components_v) OR n_wordings <= 0"""
+
+
+def _parsed_raw(spark, d):
     docs, comps, words = _raw(spark, d)
     headers = docs.select("scenario_id", "type", "independence_class", "setup")
-    nested = C.nest_documents(headers, comps.dropDuplicates(["scenario_id", "cid"]),
-                              words.withColumn("wording", F.col("wording_id")))
-    return C.load_errors(C.parse_documents(C.render_yaml(nested)))
+    return C.parse_documents(C.render_yaml(C.nest_documents(headers, comps, words.withColumn("wording", F.col("wording_id")))))
+
+
+@register("io2_load_errors", with_ctes(*_R, body=_LOAD_ERRORS))
+def io2_load_errors(spark, d):
+    return C.load_errors(_parsed_raw(spark, d))
+
+
+@register("dq8_malformed_documents", with_ctes(*_R, body=f"""
+SELECT 'DQ8_malformed' AS rule, file AS scenario_id, error AS detail FROM ({_LOAD_ERRORS}) t"""))
+def dq8_malformed_documents(spark, d):
+    return Q.malformed_documents(_parsed_raw(spark, d))
 
 
 @register("io5_runs_table", with_ctes(RUNS_V_SQL, body="""
@@ -245,3 +268,12 @@ def io7_export_csv(spark, d):
     path = table_path(spark, f"exports/{uuid.uuid4().hex}")
     C.export_csv(G.condition_summary(frame), path)
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
+@register("io7_export_effects", with_ctes(RUNS_V_SQL, SCENARIOS_V_SQL, A4_SQL, EFFECT_SQL, body="""
+SELECT scenario_id, independence_class, round(effect, 4) AS effect FROM eff"""))
+def io7_export_effects(spark, d):
+    """Effects by scenario, written as CSV with four digits and read back."""
+    from .q_analysis import _effects
+    path = C.export_csv(_effects(spark, d), table_path(spark, f"exports/{uuid.uuid4().hex}"))
+    return spark.read.option("header", True).schema("scenario_id string, effect double, independence_class string").csv(path)

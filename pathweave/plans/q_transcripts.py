@@ -14,7 +14,7 @@ from ..sources import corpus as C
 from ..sources import views as V
 from ..sources.views import RESPONSES_V_SQL, RUNS_V_SQL, STATUS_LOG_V_SQL, TURNS_V_SQL, with_ctes
 from .catalog import register, rounded
-from .q_design import (COMPONENTS_V_SQL, DESIGN_SCENARIOS_V_SQL, MODEL, PROVIDER, TEMPERATURE, _manifest_sql,
+from .q_design import (COMPONENTS_V_SQL, DESIGN_SCENARIOS_V_SQL, MODEL, PROVIDER, TEMPERATURE, _id_sum, _manifest_sql,
                        with_recursive)
 
 RUN_OF_INTEREST = 3
@@ -35,25 +35,26 @@ def _resolved(spark, d):
     return r.join(scen.select("scenario_id", "setup"), "scenario_id")
 
 
-_T1_CTES = [DESIGN_SCENARIOS_V_SQL, f"""msgs AS (
-  SELECT 'system' AS role, false AS is_terminal, count(*) AS n,
-    CAST(sum(length(regexp_replace(ds.setup, '^\\s+|\\s+$', '', 'g') || {sql_str(T.SYSTEM_INSTRUCTION)})) AS BIGINT)
-      AS chars
+_T1_CTES = [DESIGN_SCENARIOS_V_SQL, f"""msg AS (
+  SELECT 'system' AS role, false AS is_terminal,
+    regexp_replace(ds.setup, '^\\s+|\\s+$', '', 'g') || {sql_str(T.SYSTEM_INSTRUCTION)} AS content
   FROM man JOIN design_scenarios_v ds USING (scenario_id)
   UNION ALL
-  SELECT 'user', false, CAST(sum(len(a.turns)) AS BIGINT),
-    CAST(sum(list_sum(list_transform(a.turns, lambda t: length(t)))) AS BIGINT)
-  FROM man JOIN allp a USING (scenario_id, path_type, path_signature)
+  SELECT 'user', false, unnest(a.turns) FROM man JOIN allp a USING (scenario_id, path_type, path_signature)
   UNION ALL
-  SELECT 'user', true, count(*), CAST(sum(length(w.wording)) AS BIGINT)
+  SELECT 'user', true, w.wording
   FROM man JOIN wordings_v w ON man.scenario_id = w.scenario_id AND man.terminal_wording_id = w.wording_id)"""]
 
 
-@register("t1_prompt_messages", _manifest_sql(1, extra_ctes=_T1_CTES, body="SELECT * FROM msgs"))
+@register("t1_prompt_messages", _manifest_sql(1, extra_ctes=_T1_CTES, body="""
+SELECT role, is_terminal, count(*) AS n, CAST(sum(length(content)) AS BIGINT) AS chars,
+  CAST(sum(CAST('0x' || left(sha256(content), 7) AS BIGINT)) AS BIGINT) AS content_sum FROM msg GROUP BY 1, 2"""))
 def t1_prompt_messages(spark, d):
+    """Per role, with a digest that changes with any message's text."""
+    digest = F.conv(F.substring(F.sha2("content", 256), 1, 7), 16, 10).cast("long")
     msgs = T.prompt_messages(_resolved(spark, d))
-    return msgs.groupBy("role", "is_terminal").agg(F.count(F.lit(1)).alias("n"),
-                                                   F.sum(F.length("content")).cast("long").alias("chars"))
+    return msgs.groupBy("role", "is_terminal").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).cast("long").alias("chars"),
+                                                   F.sum(digest).alias("content_sum"))
 
 
 # --- T2-T4 over the conversations table ------------------------------------------------------
@@ -237,14 +238,15 @@ def l1_upsert_scenarios(spark, d):
 
 
 @register("l2_insert_or_ignore_manifest", _manifest_sql(2, body="""
-SELECT path_type, count(*) AS n_new FROM man WHERE replicate_idx = 1 GROUP BY 1"""))
+SELECT path_type, count(*) AS n_new, CAST(sum(CAST('0x' || left(run_id, 7) AS BIGINT)) AS BIGINT) AS id_sum FROM man
+WHERE replicate_idx = 1 GROUP BY 1"""))
 def l2_insert_or_ignore_manifest(spark, d):
     from .q_design import _design
     _, paths, words = _design(spark, d, materialise=True)
     existing = M.build_manifest(paths, words, 1, MODEL, PROVIDER, TEMPERATURE)
     incoming = M.build_manifest(paths, words, 2, MODEL, PROVIDER, TEMPERATURE)
     new = L.insert_or_ignore(existing, incoming, "run_id")
-    return new.groupBy("path_type").agg(F.count(F.lit(1)).alias("n_new"))
+    return new.groupBy("path_type").agg(F.count(F.lit(1)).alias("n_new"), _id_sum())
 
 
 @register("l3_insert_or_ignore_turns", with_ctes(*_PARTS_SQL, body="""

@@ -118,7 +118,7 @@ def _repeats(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     fresh = np.ones(len(pack), bool)
     fresh[1:] = (pack[1:] != pack[:-1]) | (place[1:] != place[:-1] + 1)
     first = np.flatnonzero(fresh)
-    last = np.append(first[1:], len(pack)) - 1
+    last = np.append(first, len(pack))[1:] - 1
     rows = pa.array(pack[first])
     return pa.RecordBatch.from_arrays(
         [batch.column("doc_id").take(rows), batch.column("tx").take(rows),

@@ -79,6 +79,13 @@ def test_bucket_task_splits_at_buckets(monkeypatch):
         assert sum(b.num_rows for b in substring_dedup._bucket_task(50)(iter(parts))) == want == 20
 
 
+def test_a_bucket_without_repeats_gives_no_ranges():
+    names = ["doc_id", "tx", "start", "minimiser", "hot", "packed"]
+    for rows in ([(1, 0, 0, 5, False, _prose(1, 60).encode()), (2, 0, 0, 5, False, _prose(2, 60).encode())], [(1, 0, 0, 5, False, b"too short")]):
+        batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], names=names)
+        assert [b.num_rows for b in substring_dedup._bucket_task(50)(iter([batch]))] == [0]
+
+
 def _jaccard_components(rows):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}

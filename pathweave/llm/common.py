@@ -37,3 +37,13 @@ def arrow_map(df: DataFrame, body: Callable, schema) -> DataFrame:
 def text_key() -> Column:
     """Fingerprint of the text, which with ``doc_id`` names a row when a table repeats ids."""
     return F.coalesce(F.xxhash64("text"), F.lit(0))
+
+
+def drop_tables(*frames: DataFrame) -> None:
+    """Delete tables that ``cut_lineage`` wrote and that nothing lazy reads any more, on whatever store they are."""
+    for df in frames:
+        files = df.inputFiles()
+        if files:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from pathweave.session import cut_lineage
 
-from .common import arrow_map, documents
+from .common import arrow_map, documents, drop_tables
 from .words import Words, mix, sequence_hashes, signed, text_chunks
 
 BLOCK_BYTES = 2 << 20  # of sets that a task compares with another such block
@@ -161,9 +161,12 @@ def components(links: DataFrame) -> DataFrame:
         jump = label.select(F.col("node").alias("lower"), F.col("component").alias("root"))
         after = cut_lineage(least.join(jump, "lower", "left").select(
             "node", F.coalesce(F.least("lower", "root"), F.col("lower")).alias("component"), F.col("component").alias("before")), "labels")
-        if after.where("component <> before").isEmpty():
-            return after.select("node", "component")
+        done = after.where("component <> before").isEmpty()
+        drop_tables(label)
         label = after.select("node", "component")
+        if done:
+            drop_tables(both)
+            return label
 
 
 def _block_links(percent: int):
@@ -268,9 +271,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return cut_lineage(labelled.join(several, "key").where("node > centre").select("key", "node", "n", "component"), "unsettled")
 
     # What the stars have left: a link between two members neither of which is linked with their bucket's centre.
-    more = cut_lineage(_remaining_links(unsettled(label), sets, percent), "links")
+    rest = unsettled(label)
+    more = cut_lineage(_remaining_links(rest, sets, percent), "links")
     if not more.isEmpty():
         label = components(links.union(more))
+    drop_tables(members, sets, links, rest, more)
 
     owner = linkable.select("doc_id", "class").join(classes.select("class", "node"), "class")
     owner = (owner.join(label, "node", "left").groupBy("doc_id")

@@ -76,34 +76,46 @@ def arc_record(version: bytes, name: bytes, url: str | None, page_id: int | None
     return b" ".join([_token(url), b"0.0.0.0", date, b"text/html"]) + middle + b" " + str(len(block)).encode() + b"\n" + block
 
 
-def _archive_of(opening, record):
-    """Partition -> rows of one archive file: the opening record, then one row for each row."""
+def _archive_of(opening, record, records: int):
+    """Partition -> rows of archive files: an opening record before every ``records`` rows."""
     def run(batches):
-        part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([opening(part)], pa.binary())], names=["record"])
+        part, file, room = TaskContext.get().partitionId(), -1, 0
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([record(part, row) for row in batch.to_pylist()], pa.binary())], names=["record"])
+            out = []
+            for row in batch.to_pylist():
+                if not room:
+                    file, room = file + 1, records
+                    out.append(opening(part, file))
+                out.append(record(part, file, row))
+                room -= 1
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
     return run
 
 
-def _write_archive(df: DataFrame, run, path: str, separator: str) -> None:
-    rows = small_batches(df).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    (rows.write.option("lineSep", separator).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
-     .mode("overwrite").text(path))
+def _write_archive(df: DataFrame, opening, record, records: int, path: str, separator: str) -> None:
+    """Files of an opening record and ``records`` more: the writer begins a new file exactly where the next opening record comes."""
+    rows = small_batches(df).mapInArrow(_archive_of(opening, record, records), "record binary")
+    (rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", separator).option("maxRecordsPerFile", records + 1)
+     .option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").mode("overwrite").text(path))
+
+
+def _records_per_file(rows: DataFrame, size: str) -> int:
+    """So many that a file holds about FILE_BYTES, at the rows' mean size (an SQL expression)."""
+    total, count = rows.agg(F.sum(F.expr(size)), F.count("*")).first()
+    return max(1, min(100_000, int(FILE_BYTES * count / total) if total else 100_000))
 
 
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write ``pages`` as ARC files, in turn of version 1 and 2 (null html: empty payload)."""
+    """Write ``pages`` as ARC files, in turn of version 1 and 2 (null html: empty payload).  The rows stay in their partitions."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").cast("binary").alias("payload"))
-    size = rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
-    rows = rows.repartition(int(size // FILE_BYTES) + 2, "page_id", "url", F.xxhash64("payload"))
 
-    def version(part: int) -> tuple[bytes, bytes]:
-        return (b"1", b"2")[part % 2], b"part-%05d.arc" % part
+    def version(part: int, file: int) -> tuple[bytes, bytes]:
+        return (b"1", b"2")[(part + file) % 2], b"part-%05d-%05d.arc" % (part, file)
 
-    _write_archive(rows, _archive_of(lambda part: arc_version_block(*version(part)),
-                                     lambda part, r: arc_record(*version(part), r["url"], r["page_id"], r["payload"] or b"")), path, "\n")
+    _write_archive(rows, lambda part, file: arc_version_block(*version(part, file)),
+                   lambda part, file, r: arc_record(*version(part, file), r["url"], r["page_id"], r["payload"] or b""),
+                   _records_per_file(rows, "octet_length(payload) + 256"), path, "\n")
 
 
 # --- reading ARC -----------------------------------------------------------
@@ -222,9 +234,9 @@ def _warc_of(r: dict) -> bytes:
     return warc_record(headers, block)
 
 
-def _warcinfo(part: int) -> bytes:
+def _warcinfo(part: int, file: int) -> bytes:
     fields = b"software: pathweave\r\nformat: WARC File Format 1.1\r\n"
-    name = b"part-%05d.warc" % part
+    name = b"part-%05d-%05d.warc" % (part, file)
     return warc_record([(b"WARC-Type", b"warcinfo"), (b"WARC-Record-ID", b"<urn:uuid:" + str(uuid.uuid5(uuid.NAMESPACE_URL, name.decode())).encode() + b">"),
                         (b"WARC-Date", b"2024-01-01T00:00:00Z"), (b"WARC-Filename", name), (b"Content-Type", b"application/warc-fields")], fields)
 
@@ -239,9 +251,7 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, least_bytes:
     revisits = (large.join(first, "digest").where("page_id > first.page_id")
                 .select("record_id", F.col("first.record_id").alias("refers_id"), F.col("first.date").alias("refers_date")))
     whole = records.join(revisits, "record_id", "left").withColumn("payload", F.expr("if(refers_id IS NULL, payload, NULL)"))
-    size = small.agg(F.sum("payload_bytes")).first()[0] or 0
-    whole = whole.repartition(int(size // FILE_BYTES) + 2, "record_id")
-    _write_archive(whole, _archive_of(_warcinfo, lambda part, r: _warc_of(r)), warc_path, "\r\n\r\n")
+    _write_archive(whole, _warcinfo, lambda part, file, r: _warc_of(r), _records_per_file(small, "payload_bytes + 512"), warc_path, "\r\n\r\n")
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:

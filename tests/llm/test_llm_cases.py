@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeats, clashing columns, empty tables; and the paths that only skew takes."""
 import random
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -281,6 +282,29 @@ def test_suffix_tree_is_a_distribution(spark):
         assert abs(chance - 1) < 1e-9, history
 
 
+def test_suffix_tree_grows_with_what_is_learned(spark):
+    """A next word that three words back decide, 12 times each, in 1.6 million other tokens: no share of the corpus, and no depth of two, holds it."""
+    words = "transform(sequence(0, 1599), i -> concat('w', pmod(xxhash64(id, i), 40000)))"
+    texts = spark.range(1000).select(F.expr("id * 5 + 1000000").alias("doc_id"), F.expr(f"array_join({words}, ' ')").alias("text"))
+    taught = ["one of the red", "two of the blue", "see an apple", "bite an orange"]
+    held = ["one of the red", "one of the blue", "two of the blue", "two of the red"]
+    ids = {part: [i for i in range(400) if (zlib.crc32(str(i).encode()) % 5 == 1) == part] for part in (False, True)}
+    rows = list(zip(ids[False], taught * 12)) + list(zip(ids[True], held))
+    df = texts.union(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.score for r in suffix_tree.suffix_tree_scores(df).where("doc_id < 1000000").collect()}
+    one_red, one_blue, two_blue, two_red = (got[i] for i in ids[True][:4])
+    assert one_red > one_blue + 0.5 and two_blue > two_red + 0.5
+
+
+def test_suffix_tree_scores_do_not_depend_on_the_head(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["the cat sat on", "a dog ran to", "the mat was", "a red hat"]) for _ in range(30))) for i in range(60)]
+    key = ["doc_id", "n_known", "base_score", "score"]
+    many, few = (suffix_tree.suffix_tree_scores(_frame(spark, rows), head=h).select(key).orderBy("doc_id").toPandas().round(6) for h in (1 << 19, 3))
+    pd.testing.assert_frame_equal(many, few)
+    assert (many.score > many.base_score).all()
+
+
 def test_shards(spark, docs, empty):
     got = sharding.histogram_shards(docs, 4).toPandas()
     assert len(got) == len(ROWS) and got.shard.between(0, 3).all()

@@ -34,9 +34,9 @@ def arrow_map(df: DataFrame, body: Callable, schema) -> DataFrame:
     return small_batches(df).mapInArrow(run, schema)
 
 
-def text_key() -> Column:
+def text_key(text: Column | str = "text") -> Column:
     """Fingerprint of the text, which with ``doc_id`` names a row when a table repeats ids."""
-    return F.coalesce(F.xxhash64("text"), F.lit(0))
+    return F.coalesce(F.xxhash64(text), F.lit(0))
 
 
 def drop_tables(*frames: DataFrame) -> None:

@@ -92,17 +92,9 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                 item_text_col: str = "text", shingle: int = 5, percent: int = 75, radius: int = 23) -> DataFrame:
-    """doc_id, item_id, similarity, window_start: each document and item with a window similar enough.
-
-    ``similarity`` is the best window's, ``window_start`` the first word (from 0)
-    of the first such window.  Defined cases: a null or empty text or item
-    matches nothing; an item of fewer words than ``shingle`` matches only a whole
-    document of the same words; a row with a null id is examined like any other
-    and reported under null; rows that repeat an id are reported once; other
-    columns are ignored.
-    """
+def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+             item_text_col: str = "text", shingle: int = 5, percent: int = 75, radius: int = 23) -> DataFrame:
+    """``contaminated``, and ``tx``: the matches of each distinct text of an id."""
     rows = documents(docs, id_col, text_col).withColumn("tx", text_key())
     items = cut_lineage(items_of(benchmark, item_col, item_text_col, shingle).withColumn("fingerprint", simhash("grams")), "items")
     gate = items.select(F.explode("grams").alias("gram"), "n").distinct()
@@ -121,22 +113,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = (hits.select("doc_id", "tx", "n", "m", F.expr(f"array_distinct({starts})").alias("starts")).where("size(starts) > 0"))
     wanted = hits.select(F.col("doc_id").alias("d"), F.col("tx").alias("t"), "n", "m", "starts")
     found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tx") == F.col("t")))
-    found = found.select("doc_id", "n", "m", "starts", _grams_of("text", shingle).alias("grams"))
-    windows = found.select("doc_id", "n", F.expr(
+    found = found.select("doc_id", "tx", "n", "m", "starts", _grams_of("text", shingle).alias("grams"))
+    windows = found.select("doc_id", "tx", "n", F.expr(
         "inline_outer(transform(starts, s -> named_struct('start', greatest(s, 0), 'grams', slice(grams, greatest(s, 0) + 1, m + least(s, 0)))))"))
     probes = (windows.withColumn("fingerprint", simhash("grams"))
-              .select("doc_id", "n", "start", "grams", "fingerprint", _block_values(radius)))
+              .select("doc_id", "tx", "n", "start", "grams", "fingerprint", _block_values(radius)))
     near = (probes.join(_bounded(index, n_gate * (radius + 1)), ["n", "block", "value"]).withColumn("x", F.expr("fingerprint ^ item_print"))
             .where(f"bit_count(x) <= {radius}").where(f"block = {_first_common_block(radius)}"))
     plain = "size(array_distinct(grams)) = size(grams) AND size(array_distinct(item_grams)) = size(item_grams)"
     counted = ("aggregate(array_distinct(item_grams), 0, (a, g) -> a + least(size(filter(grams, y -> y = g)), size(filter(item_grams, y -> y = g))))")
     near = (near.withColumn("both", F.expr(f"CASE WHEN {plain} THEN size(array_intersect(grams, item_grams)) ELSE {counted} END"))
             .withColumn("either", F.expr("size(grams) + size(item_grams) - both")).where(f"100 * both >= {percent} * either"))
-    best = near.groupBy("doc_id", "item_id").agg(F.max(F.expr("struct(both / either AS similarity, -start AS back)")).alias("best"))
-    return best.select("doc_id", "item_id", "best.similarity", F.expr("cast(-best.back AS bigint)").alias("window_start"))
+    best = near.groupBy("doc_id", "tx", "item_id").agg(F.max(F.expr("struct(both / either AS similarity, -start AS back)")).alias("best"))
+    return best.select("doc_id", "tx", "item_id", "best.similarity", F.expr("cast(-best.back AS bigint)").alias("window_start"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+                 item_text_col: str = "text", shingle: int = 5, percent: int = 75, radius: int = 23) -> DataFrame:
+    """doc_id, item_id, similarity, window_start: each document and item with a window similar enough.
+
+    ``similarity`` is the best window's, ``window_start`` the first word (from 0)
+    of the first such window.  Defined cases: a null or empty text or item
+    matches nothing; an item of fewer words than ``shingle`` matches only a whole
+    document of the same words; a row with a null id is examined like any other
+    and reported under null; rows that repeat an id are reported once; other
+    columns are ignored.
+    """
+    found = _matches(docs, benchmark, id_col, text_col, item_col, item_text_col, shingle, percent, radius)
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.expr("struct(similarity, -window_start AS back)")).alias("best"))
+    return best.select("doc_id", "item_id", "best.similarity", F.expr("-best.back").alias("window_start"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, without the contaminated documents."""
-    bad = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, without those whose own text is contaminated, whatever their id."""
+    bad = (_matches(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("_bad"), F.col("tx").alias("_bad_text")).distinct())
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_bad")) & (text_key(docs[text_col].cast("string")) == F.col("_bad_text"))
+    return docs.join(bad, same, "left_anti")

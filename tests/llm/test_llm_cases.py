@@ -154,6 +154,14 @@ def test_decontamination(spark, docs, benchmark, empty):
     assert decontamination.contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+def test_only_contaminated_rows_of_an_id_go(spark, benchmark):
+    clean, bad = _prose(300, 80), _prose(301, 20) + " " + SHARED
+    docs = _frame(spark, [(None, clean), (None, bad), (20, clean), (20, bad), (21, bad), (None, None)])
+    got = decontamination.decontaminate(docs, benchmark).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(None, clean), (20, clean), (None, None)], key=repr)
+    assert {r.doc_id for r in decontamination.contaminated(docs, benchmark).collect()} == {None, 20, 21}
+
+
 def test_decontamination_at_text_ends_and_with_edits(spark):
     words = _prose(77, 50).split()
     item = " ".join(words)

@@ -31,7 +31,7 @@ from pathweave.session import cut_lineage
 from .common import documents, text_key
 
 LANES = 0x0001000100010001
-PART_WORDS = 16_000  # a longer item is matched in parts of so many words (a 16-bit lane holds their counts)
+LANE_GRAMS = 16_383  # so many shingles a 16-bit lane counts; longer windows are counted bit by bit
 BROADCAST_ROWS = 1_000_000  # shingles of the items, times the blocks for the index; beyond it they are shuffled like any table
 
 
@@ -50,13 +50,14 @@ def _shingles(words: str, shingle: int) -> str:
 
 
 def simhash(grams: str) -> Column:
-    """64-bit SimHash of an array of at most 16,383 shingle hashes: bit b is set where over half of them have it."""
+    """64-bit SimHash of an array of shingle hashes of any size: bit b is set where over half of them have it."""
     zero = "named_struct(" + ", ".join(f"'c{k}', 0L" for k in range(16)) + ")"
     step = "named_struct(" + ", ".join(f"'c{k}', a.c{k} + (shiftrightunsigned(h, {k}) & {LANES}L)" for k in range(16)) + ")"
     # A count v passes half of the total T where v + (16383 - T div 2) reaches bit 14 of its lane.
     carry = f"(16383L - size({grams}) div 2) * {LANES}L"
     bits = " | ".join(f"shiftleft(shiftrightunsigned((s.c{k} + {carry}) & {LANES << 14}L, 14), {k})" for k in range(16))
-    return F.expr(f"aggregate({grams}, {zero}, (a, h) -> {step}, s -> {bits})")
+    wide = " | ".join(f"if(2 * size(filter({grams}, h -> (shiftrightunsigned(h, {b}) & 1L) = 1L)) > size({grams}), shiftleft(1L, {b}), 0L)" for b in range(64))
+    return F.expr(f"CASE WHEN size({grams}) <= {LANE_GRAMS} THEN aggregate({grams}, {zero}, (a, h) -> {step}, s -> {bits}) ELSE {wide} END")
 
 
 def _blocks(radius: int) -> list[tuple[int, int]]:
@@ -76,11 +77,9 @@ def _first_common_block(radius: int) -> str:
 
 
 def items_of(benchmark: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """item_id, part, n (words), grams of each item or part of a long item; items without words are left out."""
-    parts = (f"transform(sequence(0, (size(w) - 1) div {PART_WORDS}), k -> slice(w, k * {PART_WORDS} + 1, {PART_WORDS}))")
+    """item_id, n (words), grams of each item, whole whatever its length; items without words are left out."""
     return (benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.expr(_words(f"cast(`{text_col}` AS string)")).alias("w"))
-            .where("size(w) > 0").select("item_id", F.posexplode(F.expr(parts)).alias("part", "w"))
-            .select("item_id", "part", F.size("w").alias("n"), F.expr(_shingles("w", shingle)).alias("grams")))
+            .where("size(w) > 0").select("item_id", F.size("w").alias("n"), F.expr(_shingles("w", shingle)).alias("grams")))
 
 
 def _grams_of(text: str, shingle: int) -> Column:

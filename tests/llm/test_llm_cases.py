@@ -174,6 +174,24 @@ def test_decontamination_at_text_ends_and_with_edits(spark):
     assert got == {1, 2, 3, 6}
 
 
+def test_long_items_are_matched_whole(spark):
+    """The last five words, or all of the first part, of an item of 20,005 words are not the item."""
+    words = _prose(400, 20_005).split()
+    docs = _frame(spark, [(1, _prose(401, 50) + " " + " ".join(words[-5:])), (2, " ".join(words[:14_900])), (3, " ".join(words[-4_000:]))])
+    bench = spark.createDataFrame([(9, " ".join(words))], "item_id long, text string")
+    assert decontamination.contaminated(docs, bench).count() == 0
+
+
+def test_simhash_counts_every_bit_of_long_items(spark):
+    rng = random.Random(3)
+    rows = [([rng.getrandbits(64) - (1 << 63) for _ in range(n)],) for n in (16_383, 16_384, 40_001)]
+    rows.append(([-1] * 40_001,))
+    df = spark.createDataFrame(rows, "g array<long>").select("g", decontamination.simhash("g").alias("f"))
+    for r in df.collect():
+        ones = [sum(x >> b & 1 for x in r.g) for b in range(64)]
+        assert r.f & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * ones[b] > len(r.g))
+
+
 def test_simhash_counts_every_bit(spark):
     rng = random.Random(2)
     rows = [([rng.getrandbits(64) - (1 << 63) for _ in range(n)],) for n in (1, 2, 3, 40, 41, 9000)]

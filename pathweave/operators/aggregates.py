@@ -146,19 +146,31 @@ def token_comparison(df: DataFrame, stratum_col: str = "scenario_id", arm_col: s
                  F.stddev_samp(_d(tokens_col)).alias("std_tokens")))
 
 
+def running_counts(values: DataFrame, by: list[str], col: str, count_col: str = "_c") -> DataFrame:
+    """Distinct values with counts, plus ``_cum`` (rows of the group up to the value) and ``_n`` (all of them); nulls count nothing."""
+    c = F.when(F.col(col).isNotNull(), F.col(count_col)).otherwise(F.lit(0))
+    w = Window.partitionBy(*by)
+    return (values.withColumn("_n", F.sum(c).over(w))
+            .withColumn("_cum", F.sum(c).over(w.orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+
+
+def quantile_of(col: str, q: float) -> Column:
+    """Over ``running_counts``: the smallest value whose share of rows reaches ``q``."""
+    return F.min(F.when(F.col(col).isNotNull() & (F.col("_cum") >= F.lit(q) * F.col("_n")), F.col(col)))
+
+
 def token_distribution(df: DataFrame, arm_col: str = "path_type", tokens_col: str = "total_tokens",
-                       quantiles: tuple[float, ...] = (0.25, 0.5, 0.75), accuracy: int = 1_000_000) -> DataFrame:
-    """Spread of tokens per arm from a mergeable quantile sketch.
+                       quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """Spread of tokens per arm, with exact quantiles.
 
-    ``percentile_approx`` keeps a bounded summary per group and combines
-    partial summaries, so a hot arm never gathers its values in one task.  The
-    value returned is the smallest observed value whose CDF reaches q.
+    Rows are collapsed to distinct values with counts (combined map-side, so a hot
+    arm is small), and cumulative counts give the smallest observed value whose
+    CDF reaches q.
     """
-    pct = F.percentile_approx(F.col(tokens_col), list(quantiles), accuracy)
-    g = df.groupBy(arm_col).agg(F.count(tokens_col).alias("n"), F.min(tokens_col).alias("min_tokens"),
-                                F.max(tokens_col).alias("max_tokens"), pct.alias("q"))
-    return g.select(arm_col, "n", "min_tokens", "max_tokens",
-                    *[F.col("q")[i].alias(f"q{int(round(q * 100)):02d}") for i, q in enumerate(quantiles)])
+    values = df.groupBy(arm_col, tokens_col).agg(F.count(F.lit(1)).alias("_c"))
+    return running_counts(values, [arm_col], tokens_col).groupBy(arm_col).agg(
+        F.max("_n").alias("n"), F.min(tokens_col).alias("min_tokens"), F.max(tokens_col).alias("max_tokens"),
+        *[quantile_of(tokens_col, q).alias(f"q{int(round(q * 100)):02d}") for q in quantiles])
 
 
 def pivot_means(df: DataFrame, row_col: str = "path_type", col_col: str = "terminal_wording_id",

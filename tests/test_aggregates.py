@@ -65,3 +65,14 @@ def test_global_rank_of_many_distinct_values(spark):
     got = G.global_rank(df, "v", partitions=12)
     want = F.when(F.col("v") <= 10, F.col("v") + 1).otherwise(F.col("v") + 50_001)
     assert got.filter(F.col("rank") != want).count() == 0 and got.count() == n + 50_000
+
+
+def test_quantiles_are_exact_beyond_a_sketch(spark):
+    """4 million distinct values in one arm, and an arm of nulls."""
+    from pyspark.sql import functions as F
+
+    n = 4_000_000
+    df = spark.range(n).select(F.lit("direct").alias("path_type"), (F.col("id") * 7919 % n).alias("total_tokens"))
+    df = df.union(spark.range(3).select(F.lit("skipped"), F.lit(None).cast("long")))
+    got = {r.path_type: tuple(r)[1:] for r in G.token_distribution(df).collect()}
+    assert got == {"direct": (n, 0, n - 1, n // 4 - 1, n // 2 - 1, 3 * n // 4 - 1), "skipped": (0, None, None, None, None, None)}

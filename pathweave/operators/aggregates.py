@@ -194,7 +194,7 @@ def effect_summary(df: DataFrame, group_col: str = "independence_class", effect_
 
 
 def global_rank(df: DataFrame, col: str, rank_col: str = "rank", partitions: int | None = None) -> DataFrame:
-    """SQL ``rank()`` over the whole table, ascending, without a one-task window.
+    """SQL ``rank()`` over the whole table, ascending, nulls last, without a one-task window.
 
     Rows are first collapsed to distinct values with counts (partial
     aggregation absorbs hot values), distinct values are range-partitioned,
@@ -202,7 +202,8 @@ def global_rank(df: DataFrame, col: str, rank_col: str = "rank", partitions: int
     partition, collected) shift the local ranks.  A join on the value brings
     the rank back to every row (AQE splits a hot value's side).  Range bounds are
     sampled, so the partitioned values are written once and both passes read
-    them; the input is written once too.
+    them; the input is written once too.  Rows with a null value share the rank
+    after the last value and take no part in the join.
     """
     df = cut_lineage(df, "ranked")
     spark = df.sparkSession
@@ -220,7 +221,8 @@ def global_rank(df: DataFrame, col: str, rank_col: str = "rank", partitions: int
     off_map = F.create_map(*[x for p, o in offsets.items() for x in (F.lit(p), F.lit(o))]) if offsets else None
     off = F.coalesce(F.element_at(off_map, F.col("_p")), F.lit(0)) if off_map is not None else F.lit(0)
     ranks = local.select(col, (off + F.col("_before") + 1).cast("long").alias(rank_col))
-    return df.join(ranks, col, "left")
+    ranked = df.filter(F.col(col).isNotNull()).join(ranks, col)
+    return ranked.unionByName(df.filter(F.col(col).isNull()).withColumn(rank_col, F.lit(run + 1).cast("long")))
 
 
 def outcome_distribution(df: DataFrame, unit_cols: list[str], outcome_col: str = "verdict",

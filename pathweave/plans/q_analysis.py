@@ -11,7 +11,7 @@ from ..operators import inference as S
 from ..operators.models import raw_stratum_effects
 from ..sources import views as V
 from ..sources.views import (LABELLED_V_SQL, RUNS_V_SQL, SCENARIOS_V_SQL, with_ctes)
-from .catalog import register, rounded
+from .registry import register, rounded
 
 WORDINGS = ["W1", "W2", "W3"]
 LANGS = ["en", "de", "fr", "es"]

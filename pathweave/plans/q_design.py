@@ -13,7 +13,7 @@ from ..sources import corpus as C
 from ..sources import views as V
 from ..sources.views import (COMPONENTS_V_SQL, DESIGN_REJECTS_V_SQL, DESIGN_SCENARIOS_V_SQL, ORDER_LINES_SQL, RUNS_V_SQL,
                              SCENARIOS_V_SQL, WORDINGS_V_SQL)
-from .catalog import register, rounded
+from .registry import register, rounded
 from .generate import build_design
 
 MODEL, PROVIDER, TEMPERATURE = "model-a", "provider-a", 0.7

@@ -12,7 +12,7 @@ from ..operators import frames as A
 from ..operators import models as R
 from ..sources import views as V
 from ..sources.views import RUNS_V_SQL, SCENARIOS_V_SQL, with_ctes
-from .catalog import register, rounded
+from .registry import register, rounded
 from .q_analysis import A1_SQL
 
 

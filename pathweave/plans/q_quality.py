@@ -13,7 +13,7 @@ from ..sources import corpus as C
 from ..sources import views as V
 from ..sources.views import (COMPONENTS_V_SQL, DESIGN_SCENARIOS_V_SQL, LABELLED_V_SQL, RAW_COMPONENTS_V_SQL,
                              RAW_SCENARIOS_V_SQL, RUNS_V_SQL, SCENARIOS_V_SQL, TURNS_V_SQL, with_ctes)
-from .catalog import register, rounded
+from .registry import register, rounded
 from .q_analysis import _EFFECT_SQL as EFFECT_SQL, A4_SQL
 from .q_design import ALL_PATH_CTES, with_recursive
 
@@ -109,7 +109,7 @@ def dq9_11_corpus_rules(spark, d):
 
 
 def _dq12_report_sql():
-    from .catalog import ORACLES
+    from .registry import ORACLES
     rules = ["dq1_enum_membership", "dq2_setup_blank", "dq3_no_wording", "dq4_dangling_dependency",
              "dq5_dependency_cycles", "dq6_component_count", "dq7_duplicate_ids"]
     # The corpus-level rules (DQ9-DQ11) hold on this corpus, so the report is the per-document rules.
@@ -124,7 +124,7 @@ def dq12_violation_report(spark, d):
 
 
 def _dq12_counts_sql():
-    from .catalog import ORACLES
+    from .registry import ORACLES
     rules = ["dq1_enum_membership", "dq2_setup_blank", "dq3_no_wording", "dq4_dangling_dependency",
              "dq5_dependency_cycles", "dq6_component_count", "dq7_duplicate_ids"]
     parts = []

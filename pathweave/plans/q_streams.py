@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.ledger import count_by_status
 from ..sources.views import STATUS_LOG_V_SQL, read, with_ctes
 from ..streaming import runs as S
-from .catalog import register, rounded
+from .registry import register, rounded
 
 _TS_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 _TS_SQL = "%Y-%m-%d %H:%M:%S.%f"

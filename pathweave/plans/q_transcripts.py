@@ -13,7 +13,7 @@ from ..operators import transcripts as T
 from ..sources import corpus as C
 from ..sources import views as V
 from ..sources.views import RESPONSES_V_SQL, RUNS_V_SQL, STATUS_LOG_V_SQL, TURNS_V_SQL, with_ctes
-from .catalog import register, rounded
+from .registry import register, rounded
 from .q_design import (COMPONENTS_V_SQL, DESIGN_SCENARIOS_V_SQL, MODEL, PROVIDER, TEMPERATURE, _id_sum, _manifest_sql,
                        with_recursive)
 

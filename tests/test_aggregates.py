@@ -13,9 +13,8 @@ def test_global_rank_with_ties_and_a_hot_value(spark):
     pdf = pd.DataFrame({"k": range(len(vals)), "v": vals})
     df = spark.createDataFrame(pdf.astype({"v": "float64"}))
     got = {r.k: r.rank for r in G.global_rank(df, "v", partitions=7).collect()}
-    want = pdf["v"].rank(method="min")
-    for k, w in zip(pdf["k"], want):
-        assert (got[k] is None) if pd.isna(w) else got[k] == int(w)
+    want = pdf["v"].rank(method="min", na_option="bottom")  # SQL rank(): nulls share the last rank
+    assert got == dict(zip(pdf["k"], want.astype(int)))
 
 
 def test_condition_summary_lists_empty_levels(spark):
@@ -76,3 +75,11 @@ def test_quantiles_are_exact_beyond_a_sketch(spark):
     df = df.union(spark.range(3).select(F.lit("skipped"), F.lit(None).cast("long")))
     got = {r.path_type: tuple(r)[1:] for r in G.token_distribution(df).collect()}
     assert got == {"direct": (n, 0, n - 1, n // 4 - 1, n // 2 - 1, 3 * n // 4 - 1), "skipped": (0, None, None, None, None, None)}
+
+
+def test_global_rank_puts_nulls_last(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", None), ("d", 2.0), ("e", None)], "k string, v double")
+    got = {r.k: r.rank for r in G.global_rank(df, "v").collect()}
+    assert got == {"a": 1, "b": 2, "d": 2, "c": 4, "e": 4}
+    only = spark.createDataFrame([("a", None)], "k string, v double")
+    assert [r.rank for r in G.global_rank(only, "v").collect()] == [1]

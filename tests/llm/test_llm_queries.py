@@ -102,7 +102,7 @@ def test_shards_hold_equal_bytes(spark, docs):
     ("op8_quality_scores", "labels", "quality", "predicted", 0.93), ("op9_language_mixture", "documents", "lang", "lang_pred", 0.95)])
 def test_held_out_accuracy(spark, con, name, table, label, pred, least):
     got = QUERIES[name](spark, SF).toPandas()
-    assert len(got) == got.doc_id.nunique() == con.sql("SELECT count(*) FROM documents").fetchone()[0]
+    assert len(got) == got.doc_id.nunique() == con.sql("SELECT count(*) FROM documents").fetchall()[0][0]
     folds, part = (3, 1) if name.startswith("op8") else (4, 2)
     assert (got.held_out == got.doc_id.map(lambda d: zlib.crc32(str(d).encode()) % folds == part)).all()
     assert got.score.between(0, 1).all()

@@ -154,3 +154,10 @@ def op11(spark, sf_dir):
     from .line_dedup import line_keep_bitmaps
     out = line_keep_bitmaps(_read(spark, sf_dir, "documents"), with_text=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@_query("op12_importance_resampling")
+def op12(spark, sf_dir):
+    from .importance import importance_resample
+    out = importance_resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")

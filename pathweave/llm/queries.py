@@ -161,3 +161,12 @@ def op12(spark, sf_dir):
     from .importance import importance_resample
     out = importance_resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@_query("op13_embedding_whitening")
+def op13(spark, sf_dir):
+    from .whitening import whiten_embeddings
+    out = whiten_embeddings(_read(spark, sf_dir, "embeddings"))
+    each = out.select("vec_id", "n", "deviation", "identity_error", F.inline(F.expr(
+        "transform(whitened, (w, i) -> named_struct('component', i + 1, 'whitened', w, 'explained', explained[i]))")))
+    return each.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")

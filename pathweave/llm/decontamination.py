@@ -144,7 +144,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, without those whose own text is contaminated, whatever their id."""
-    bad = (_matches(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("_bad"), F.col("tx").alias("_bad_text")).distinct())
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_bad")) & (text_key(docs[text_col].cast("string")) == F.col("_bad_text"))
-    return docs.join(bad, same, "left_anti")
+    """The rows of ``docs``, all columns, without those whose own text is contaminated, whatever their id.
+
+    Defined cases are those of ``contaminated``; columns may have any names.
+    """
+    # The whole row travels as one struct, so no column of it can clash with ours.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"),
+                       text_key(F.col(f"`{text_col}`").cast("string")).alias("tx"))
+    bad = _matches(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("bad_id"), F.col("tx").alias("bad_tx")).distinct()
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("tx") == F.col("bad_tx")), "left_anti").select("row.*")

@@ -10,9 +10,11 @@
    k * (k - 1) / 2 pairs.
 4. Candidates are confirmed on full sets and joined to components.
 5. A star alone could lose a link between two leaves that aren't linked with the
-   centre.  The members of buckets that still hold more than one component are
-   compared in blocks on full sets, which gives out links only.  Each pair that
-   shares a bucket is thus confirmed, refused, or already connected.
+   centre.  Buckets that still hold several components get new stars, around other
+   centres, which again cost one pair a member and contract the components further.
+6. What is left after ``stars`` rounds is compared in blocks on full sets.  A block
+   gives out a spanning forest of what it connects, never its similar pairs.  Each
+   pair that shares a bucket is thus confirmed, refused, or already connected.
 
 With 6 rows and 50 bands, a pair at similarity 0.75 shares no bucket with
 probability (1 - 0.75^6)^50 = 6e-5, at 0.8 with probability 3e-7.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from pathweave.session import cut_lineage
 
-from .common import arrow_map, documents, drop_tables
+from .common import arrow_map, documents, drop_tables, text_key
 from .words import Words, mix, sequence_hashes, signed, text_chunks
 
 BLOCK_BYTES = 2 << 20  # of sets that a task compares with another such block
@@ -169,8 +171,26 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def spanning_forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (i, j) of a forest with the connected components of a symmetric 0/1 matrix: fewer than its rows."""
+    unseen = np.ones(len(linked), bool)
+    edges = []
+    for root in range(len(linked)):
+        if not unseen[root]:
+            continue
+        unseen[root] = False
+        todo = [root]
+        while todo:
+            i = todo.pop()
+            found = np.flatnonzero(linked[i] & unseen)
+            unseen[found] = False
+            edges += [(i, j) for j in found.tolist()]
+            todo += found.tolist()
+    return edges
+
+
 def _block_links(percent: int):
-    """All links between different components among one or two blocks of sets, by products of 0/1 matrices."""
+    """Links that connect the components among one or two blocks of sets, by products of 0/1 matrices: a spanning forest."""
     def run(key, table):
         side = table.column("side").to_numpy()
         rows = [np.flatnonzero(side == s) for s in (0, 1)]
@@ -178,7 +198,8 @@ def _block_links(percent: int):
             rows[1] = rows[0]  # a block with itself
         members = [np.frombuffer(m, np.uint64) for m in table.column("members").to_pylist()]
         size = np.array([len(m) for m in members])
-        node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+        node = table.column("node").to_numpy()
+        component = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
         grams, code = np.unique(np.concatenate(members), return_inverse=True)
         of = np.repeat(np.arange(len(members)), size)
         common = np.bincount(code, minlength=len(grams)) > 1
@@ -194,7 +215,11 @@ def _block_links(percent: int):
             both += dense[rows[0]] @ dense[rows[1]].T
         union = size[rows[0]][:, None] + size[rows[1]][None, :] - both
         x, y = np.nonzero((100 * both >= percent * union) & (component[rows[0]][:, None] != component[rows[1]][None, :]))
-        a, b = node[rows[0][x]], node[rows[1][y]]
+        x, y = rows[0][x], rows[1][y]
+        pair = np.full((component.max() + 1,) * 2, -1)
+        pair[component[x], component[y]] = pair[component[y], component[x]] = np.arange(len(x))
+        used = np.array([pair[i, j] for i, j in spanning_forest(pair >= 0)], np.int64)
+        a, b = node[x[used]], node[y[used]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
     return run
 
@@ -204,7 +229,7 @@ def _remaining_links(unsettled: DataFrame, sets: DataFrame, percent: int) -> Dat
 
     Buckets that share members make a cluster.  Its nodes, in order of their set's
     size, are cut into blocks of bounded bytes; every two blocks meet in one task, which
-    hands out links and no pairs.  Blocks whose sizes can't be similar don't meet, nor do
+    hands out fewer links than it has members.  Blocks whose sizes can't be similar don't meet, nor do
     two blocks of the cluster's largest component, so a great group of near copies only
     meets those that aren't in it yet.
     """
@@ -232,12 +257,32 @@ def _remaining_links(unsettled: DataFrame, sets: DataFrame, percent: int) -> Dat
             .groupBy("cluster", "name", "name2").applyInArrow(_block_links(percent), "a long, b long").where("a < b").distinct())
 
 
+def _unsettled(members: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of ``members`` whose bucket still holds more than one component, with their component."""
+    labelled = (members.select("key", "node", "n").join(label, "node", "left")
+                .select("key", "node", "n", F.coalesce("component", "node").alias("component")))
+    several = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    return cut_lineage(labelled.join(several, "key"), "unsettled")
+
+
+def _next_star(rest: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs of each bucket's new centre with its members of other components, the rows without those centres)."""
+    draw = F.xxhash64("node", F.lit(turn))
+    centres = rest.groupBy("key").agg(*(F.min_by(c, draw).alias(f"c_{c}") for c in ("node", "n", "component")))
+    around = rest.join(centres, "key").where("node <> c_node")
+    fits = F.expr(f"100 * least(c_n, n) >= {percent} * greatest(c_n, n)")
+    pairs = (around.where("component <> c_component").where(fits)
+             .select(F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b")).distinct())
+    return pairs, around.select("key", "node", "n")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
-                    percent: int = 75, bands: int = 50, rows: int = 6) -> DataFrame:
+                    percent: int = 75, bands: int = 50, rows: int = 6, stars: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
     Links are pairs with 100 * intersection >= ``percent`` * union of their
-    shingle sets (A-Z lower-cased).  Defined cases: texts that are null, empty or
+    shingle sets (A-Z lower-cased).  ``stars`` bounds the rounds of stars; the result
+    doesn't depend on it.  Defined cases: texts that are null, empty or
     without words have no shingles and no links; a null id is never linked, its
     component is null and it is kept; rows that repeat an id are one node, so they
     share a component; other columns are ignored.
@@ -258,20 +303,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .select("a", F.col("node").alias("b")).distinct())
     in_buckets = members.select(F.col("node").alias("doc_id")).distinct()
     sets = arrow_map(source.join(in_buckets, "doc_id", "left_semi"), _sets_body(shingle), "node long, members binary")
+    if not linkable.groupBy("doc_id").count().where("count > 1").isEmpty():
+        sets = sets.distinct()  # rows that repeat an id: each of its texts once
     sets = cut_lineage(sets, "sets")
     links = cut_lineage(confirmed(pairs, sets, percent), "links")
     label = components(links)
 
-    def unsettled(label: DataFrame) -> DataFrame:
-        """Members, their centres apart, of buckets that still hold more than one component."""
-        labelled = (members.join(label, "node", "left")
-                    .select("key", "node", "n", "centre", F.coalesce("component", "node").alias("component")))
-        several = (labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.countDistinct("node").alias("k"))
-                   .where("x < y AND k > 2").select("key"))
-        return cut_lineage(labelled.join(several, "key").where("node > centre").select("key", "node", "n", "component"), "unsettled")
-
-    # What the stars have left: a link between two members neither of which is linked with their bucket's centre.
-    rest = unsettled(label)
+    # What stars leave: a link between two members neither of which is linked with their bucket's centre.
+    rest = _unsettled(members.where("node > centre"), label)
+    for turn in range(1, stars):
+        if rest.isEmpty():
+            break
+        pairs, after = _next_star(rest, turn, percent)
+        links = cut_lineage(links.unionByName(confirmed(pairs, sets, percent)), "links")
+        label = components(links)
+        rest = _unsettled(after, label)
     more = cut_lineage(_remaining_links(rest, sets, percent), "links")
     if not more.isEmpty():
         label = components(links.union(more))
@@ -283,3 +329,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return (signed_docs.select("doc_id", "n_shingles").join(owner, "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(True))))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns: of each group of near duplicates the row with the least id stays.
+
+    Rows are judged by their own text, whatever their id: where an id has several
+    texts, each is a document of its own (ties between them go to the lesser
+    fingerprint of the text), and of rows with the same id and text one stays.  A
+    null id or a text without words is never a duplicate.  Columns may have any names.
+    """
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"),
+                      F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("tx", text_key())
+    several = cut_lineage(row.where("id IS NOT NULL").groupBy("id").agg(F.min("tx").alias("x"), F.max("tx").alias("y"), F.count("*").alias("n"))
+                          .where("n > 1").select("id", F.expr("x < y").alias("texts")), "repeated_ids")
+    if several.isEmpty():
+        found = near_duplicates(row, "id", "text", **options).where("NOT kept").select(F.col("doc_id").alias("id"))
+        return row.join(found, "id", "left_anti").select("row.*")
+    # A number of its own for each text of an id: the id itself where there is only one.
+    row = row.join(several, "id", "left").withColumn("node", F.when(F.coalesce("texts", F.lit(False)), F.xxhash64("id", "tx")).otherwise(F.col("id")))
+    found = near_duplicates(row, "node", "text", **options).select(F.col("doc_id").alias("node"), "component_id").where("node IS NOT NULL").distinct()
+    first = (row.where("node IS NOT NULL").select("node", "id", "tx").distinct().join(found, "node")
+             .groupBy("component_id").agg(F.min(F.struct("id", "tx")).alias("first")))
+    stays = first.select(F.col("first.id").alias("id"), F.col("first.tx").alias("tx"))
+    kept = row.join(stays, ["id", "tx"], "left_semi")
+    once = kept.where("texts IS NULL").unionByName(kept.where("texts IS NOT NULL").dropDuplicates(["id", "tx"]))
+    return once.unionByName(row.where("id IS NULL").select(once.columns)).select("row.*")

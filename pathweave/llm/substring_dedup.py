@@ -215,7 +215,7 @@ def repeated_ranges(rows: DataFrame, window: int = 50, seed: int = 10, hot: int
     buckets = kmers.groupBy("minimiser").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("packs"))
     shared = cut_lineage(buckets.where("least < most").select("minimiser", (F.col("packs") > hot).alias("hot")), "buckets")
     wanted = (kmers.join(shared, "minimiser").groupBy("doc_id", "tx")
-              .agg(F.collect_list(F.struct("start", "n", "minimiser", "hot")).alias("wanted")))  # at most a document's own windows
+              .agg(F.collect_set(F.struct("start", "n", "minimiser", "hot")).alias("wanted")))  # at most a document's own windows
     packs = arrow_map(rows.join(wanted, ["doc_id", "tx"], "left"), _pack_body(window),
                       "doc_id long, tx long, start int, minimiser long, hot boolean, packed binary")
     ranges = (packs.where("NOT hot").repartition("minimiser").sortWithinPartitions("minimiser")
@@ -243,7 +243,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # tx must be computed alike on both sides of the two joins, so that Spark reuses the one exchange of the texts.
     rows = documents(docs, id_col, text_col).withColumn("tx", text_key())
     ranges = (repeated_ranges(rows, window, seed, hot).groupBy("doc_id", "tx")
-              .agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
+              .agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
     return arrow_map(rows.join(ranges, ["doc_id", "tx"], "left"), _cut_body,
                      "doc_id long, kept_text string, n_words long, n_removed long, kept_sha256 string")
 
@@ -255,7 +255,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")).withColumn("tx", text_key())
     ranges = (repeated_ranges(rows.select("doc_id", "text", "tx"), window, seed, hot).groupBy("doc_id", "tx")
-              .agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
+              .agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
     kind = rows.schema["whole"].dataType
 
     def body(batch: pa.RecordBatch):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pathweave.llm import boosting, decontamination, language_mixture, minhash, packing, sharding, substring_dedup, suffix_tree, warc, weak_rules
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tx long, key string, row long, node long, part int, n int, whole string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tx long, key string, row long, node long, part int, n int, whole string, _bad string, _dropped string, id string"
 
 
 def _prose(seed, n):
@@ -26,7 +26,7 @@ ROWS = [(1, _prose(1, 120)), (2, _prose(1, 120)), (2, _prose(1, 120)), (3, None)
 
 
 def _frame(spark, rows):
-    data = [(d, t, "en" if t else None, "s", None, 1, "k", 2, 3, 4, 5, "w") for d, t in rows]
+    data = [(d, t, "en" if t else None, "s", None, 1, "k", 2, 3, 4, 5, "w", "b", "d", "i") for d, t in rows]
     return spark.createDataFrame(data, SCHEMA)
 
 
@@ -69,6 +69,27 @@ def test_substring_dedup_hot_buckets_give_the_same(spark):
     assert list(cold.n_removed) == [0] + [60] * 39
 
 
+def test_repeated_rows_cost_their_number_and_not_its_square(spark, monkeypatch):
+    """Rows that repeat an id and a text get one list each of what is wanted and what goes, not one list for each repeat."""
+    text = _prose(70, 100)
+    seen = {}
+    for n in (20, 200):
+        most = []
+
+        def spied(df, body, schema, most=most, plain=substring_dedup.arrow_map):
+            lists = [c for c in df.columns if c in ("wanted", "ranges")]
+            if lists:
+                most.append(df.agg(F.max(F.size(lists[0]))).first()[0])
+            return plain(df, body, schema)
+
+        with monkeypatch.context() as patch:
+            patch.setattr(substring_dedup, "arrow_map", spied)
+            got = substring_dedup.substring_dedup(_frame(spark, [(1, text)] * n + [(2, text)] * n + [(3, None)])).toPandas()
+        assert sorted(got.n_removed) == [0] * (n + 1) + [100] * n
+        seen[n] = max(most)
+    assert seen[20] == seen[200]
+
+
 def test_bucket_task_splits_at_buckets(monkeypatch):
     rows = [(d, 0, 0, m, False, _prose(m, 60).encode()) for m in range(20) for d in (1, 2)]
     names = ["doc_id", "tx", "start", "minimiser", "hot", "packed"]
@@ -130,12 +151,63 @@ def test_near_duplicates_of_a_family_near_the_threshold(spark):
     assert dict(zip(got.doc_id, got.component_id)) == _jaccard_components(rows)
 
 
-def test_block_links():
-    sets = [np.unique(np.arange(i, i + 20)).astype(np.uint64) for i in range(30)]
-    table = pa.table({"side": [0] * 30, "node": list(range(30)), "component": list(range(30)), "members": [s.tobytes() for s in sets]})
+def test_block_links_are_a_spanning_forest():
+    sets = [np.unique(np.arange(i, i + 20)).astype(np.uint64) for i in [*range(30), *range(100, 110)]]
+    table = pa.table({"side": [0] * 40, "node": list(range(40)), "component": [0, 0] + list(range(2, 40)), "members": [s.tobytes() for s in sets]})
     got = minhash._block_links(75)(None, table).to_pylist()
-    want = {(a, b) for a in range(30) for b in range(a + 1, 30) if 100 * (20 - (b - a)) >= 75 * (20 + (b - a)) and b - a < 20}
-    assert {(r["a"], r["b"]) for r in got if r["a"] < r["b"]} == want
+    linked = {(a, b) for a in range(40) for b in range(a + 1, 40) if len(c := np.intersect1d(sets[a], sets[b])) * 100 >= 75 * (40 - len(c))}
+    assert {(r["a"], r["b"]) for r in got} <= linked and len(got) == 28 + 9  # components 0..29 (two nodes in one) and 30..39
+
+
+def test_a_large_family_gives_linear_edges(spark, monkeypatch):
+    """5,000 copies of one text with one word changed: similar where the places are near, and so connected over all places."""
+    rng = random.Random(8)
+    base = _prose(31, 60).split()
+    rows = []
+    for i in range(5_000):
+        words = list(base)
+        words[rng.randrange(60)] = f"w{i}"
+        rows.append((i, " ".join(words)))
+    sizes, cut = [], minhash.cut_lineage
+
+    def counted(df, name="lineage"):
+        out = cut(df, name)
+        sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "cut_lineage", counted)
+    got = minhash.near_duplicates(_frame(spark, rows)).toPandas()
+    assert (got.component_id == 0).all()
+    assert max(n for name, n in sizes if name == "links") <= 20 * len(rows)
+
+
+@pytest.mark.parametrize("stars", [1, 2, 5])
+def test_star_rounds_do_not_change_components(spark, stars):
+    rng = random.Random(9)
+    rows = []
+    for family in range(4):
+        base = _prose(40 + family, 40).split()
+        for i in range(60):
+            words = list(base)
+            for at in rng.sample(range(40), rng.randint(0, 3)):
+                words[at] = f"w{rng.randrange(10 ** 9)}"
+            rows.append((family * 100 + i, " ".join(words)))
+    got = minhash.near_duplicates(_frame(spark, rows), stars=stars).toPandas()
+    assert dict(zip(got.doc_id, got.component_id)) == _jaccard_components(rows)
+
+
+def test_dropping_near_duplicates_goes_by_text(spark):
+    copy, other, third = _prose(61, 60), _prose(62, 60), _prose(63, 60)
+    rows = [(1, copy), (5, copy), (5, other), (5, other), (6, third), (6, third + " tail"), (7, third), (None, copy), (None, copy), (8, None), (9, "")]
+    got = sorted(((r.doc_id, r.text) for r in minhash.drop_near_duplicates(_frame(spark, rows)).collect()), key=repr)
+    third_kept = [(d, t) for d, t in got if d == 6]
+    assert len(third_kept) == 1 and third_kept[0][1] in (third, third + " tail")
+    rest = [(1, copy), (5, other), (None, copy), (None, copy), (8, None), (9, "")]
+    assert got == sorted(rest + third_kept, key=repr)
+    one = minhash.drop_near_duplicates(_frame(spark, [(1, copy), (2, copy), (3, other), (None, copy)]))
+    assert one.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
+    assert sorted((r.doc_id or -1, r.text) for r in one.collect()) == sorted([(1, copy), (3, other), (-1, copy)])
+    assert minhash.drop_near_duplicates(_frame(spark, [])).count() == 0
 
 
 def test_components_of_a_chain(spark):

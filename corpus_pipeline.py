@@ -7,7 +7,8 @@ return the columns of ``documents``.
 
 Defined cases are those of the operators: null and empty texts pass every filter
 that doesn't judge them (the classifier scores a null text as an empty one), rows with a null id
-are never near-duplicates, and extra columns are carried along.
+are never near-duplicates, rows that repeat an id are judged by their own text, and extra
+columns of any name are carried along.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pathweave.llm.boosting import quality_filter
 from pathweave.llm.decontamination import decontaminate
-from pathweave.llm.minhash import near_duplicates
+from pathweave.llm.minhash import drop_near_duplicates
 from pathweave.llm.packing import pack
 from pathweave.llm.substring_dedup import remove_repeats
 from pathweave.session import table_path
@@ -36,8 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near duplicates."""
-    dropped = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
+    return drop_near_duplicates(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

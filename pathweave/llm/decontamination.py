@@ -151,5 +151,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # The whole row travels as one struct, so no column of it can clash with ours.
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"),
                        text_key(F.col(f"`{text_col}`").cast("string")).alias("tx"))
-    bad = _matches(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("bad_id"), F.col("tx").alias("bad_tx")).distinct()
-    return rows.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("tx") == F.col("bad_tx")), "left_anti").select("row.*")
+    bad = cut_lineage(_matches(docs, benchmark, id_col, text_col, **options)
+                      .select(F.col("doc_id").alias("bad_id"), F.col("tx").alias("bad_tx")).distinct(), "contaminated")
+    return rows.join(_bounded(bad, bad.count()), F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("tx") == F.col("bad_tx")), "left_anti").select("row.*")

@@ -10,11 +10,12 @@
    k * (k - 1) / 2 pairs.
 4. Candidates are confirmed on full sets and joined to components.
 5. A star alone could lose a link between two leaves that aren't linked with the
-   centre.  Buckets that still hold several components get new stars, around other
-   centres, which again cost one pair a member and contract the components further.
-6. What is left after ``stars`` rounds is compared in blocks on full sets.  A block
-   gives out a spanning forest of what it connects, never its similar pairs.  Each
-   pair that shares a bucket is thus confirmed, refused, or already connected.
+   centre.  Buckets that still hold several components make clusters, over shared
+   members.  A large cluster first gets more stars, around other centres: one pair a
+   member each, which contract its components further.
+6. What is left is compared in blocks on full sets.  A block gives out a spanning
+   forest of what it connects, never its similar pairs.  Each pair that shares a
+   bucket is thus confirmed, refused, or already connected.
 
 With 6 rows and 50 bands, a pair at similarity 0.75 shares no bucket with
 probability (1 - 0.75^6)^50 = 6e-5, at 0.8 with probability 3e-7.
@@ -26,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathweave.session import cut_lineage
@@ -36,6 +37,7 @@ from .words import Words, mix, sequence_hashes, signed, text_chunks
 
 BLOCK_BYTES = 2 << 20  # of sets that a task compares with another such block
 MATRIX_GRAMS = 4096   # shingles in a 0/1 matrix at a time
+LARGE_BLOCKS = 16     # a cluster of more blocks gets stars before its blocks meet
 _U = np.uint64
 
 
@@ -224,22 +226,43 @@ def _block_links(percent: int):
     return run
 
 
-def _remaining_links(unsettled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components among the members (key, node, n, component) of each unsettled bucket.
+def _weight() -> Column:
+    """Bytes that a set takes in a block, about."""
+    return 8 * F.col("n") + 2048
 
-    Buckets that share members make a cluster.  Its nodes, in order of their set's
-    size, are cut into blocks of bounded bytes; every two blocks meet in one task, which
-    hands out fewer links than it has members.  Blocks whose sizes can't be similar don't meet, nor do
-    two blocks of the cluster's largest component, so a great group of near copies only
-    meets those that aren't in it yet.
-    """
-    edges = (unsettled.join(unsettled.groupBy("key").agg(F.min("node").alias("a")), "key").where("node > a")
+
+def _clusters(rest: DataFrame) -> DataFrame:
+    """(node, n, component, cluster) of the members (key, node, n, component) of unsettled buckets: buckets that share members make a cluster."""
+    edges = (rest.join(rest.groupBy("key").agg(F.min("node").alias("a")), "key").where("node > a")
              .select("a", F.col("node").alias("b")).distinct())
     clusters = components(edges).withColumnRenamed("component", "cluster")
-    nodes = unsettled.select("node", "n", "component").distinct().join(clusters, "node")
+    return cut_lineage(rest.select("node", "n", "component").distinct().join(clusters, "node"), "clusters")
+
+
+def _more_stars(nodes: DataFrame, turn: int, percent: int) -> DataFrame | None:
+    """Pairs of each large cluster's next centre with the members of other components; None if no cluster is large."""
+    large = nodes.groupBy("cluster").agg(F.sum(_weight()).alias("bytes")).where(F.col("bytes") > LARGE_BLOCKS * BLOCK_BYTES).select("cluster")
+    draw = F.xxhash64("node", F.lit(turn))
+    centres = (nodes.join(large, "cluster").groupBy("cluster")
+               .agg(*(F.min_by(c, draw).alias(f"c_{c}") for c in ("node", "n", "component"))))
+    if centres.isEmpty():
+        return None
+    pairs = nodes.join(centres, "cluster").where("component <> c_component").where(f"100 * least(c_n, n) >= {percent} * greatest(c_n, n)")
+    return pairs.select(F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b"))
+
+
+def _remaining_links(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that connect the components among the nodes of each cluster.
+
+    The nodes, in order of their set's size, are cut into blocks of bounded bytes; every
+    two blocks meet in one task, which hands out fewer links than it has members.
+    Blocks whose sizes can't be similar don't meet, nor do two blocks of the cluster's
+    largest component, so a great group of near copies only meets those that aren't in
+    it yet.
+    """
     largest = (nodes.groupBy("cluster", "component").agg(F.count("*").alias("c"))
                .groupBy("cluster").agg(F.max_by("component", "c").alias("largest")))
-    before = F.sum(8 * F.col("n") + 2048).over(Window.partitionBy("cluster", "major").orderBy("n", "node"))
+    before = F.sum(_weight()).over(Window.partitionBy("cluster", "major").orderBy("n", "node"))
     nodes = (nodes.join(largest, "cluster").withColumn("major", F.expr("component = largest"))
              .withColumn("block", F.floor(before / BLOCK_BYTES)).select("node", "n", "component", "cluster", "major", "block"))
     nodes = cut_lineage(nodes, "clusters")
@@ -265,24 +288,13 @@ def _unsettled(members: DataFrame, label: DataFrame) -> DataFrame:
     return cut_lineage(labelled.join(several, "key"), "unsettled")
 
 
-def _next_star(rest: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs of each bucket's new centre with its members of other components, the rows without those centres)."""
-    draw = F.xxhash64("node", F.lit(turn))
-    centres = rest.groupBy("key").agg(*(F.min_by(c, draw).alias(f"c_{c}") for c in ("node", "n", "component")))
-    around = rest.join(centres, "key").where("node <> c_node")
-    fits = F.expr(f"100 * least(c_n, n) >= {percent} * greatest(c_n, n)")
-    pairs = (around.where("component <> c_component").where(fits)
-             .select(F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b")).distinct())
-    return pairs, around.select("key", "node", "n")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
-                    percent: int = 75, bands: int = 50, rows: int = 6, stars: int = 3) -> DataFrame:
+                    percent: int = 75, bands: int = 50, rows: int = 6, stars: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
     Links are pairs with 100 * intersection >= ``percent`` * union of their
-    shingle sets (A-Z lower-cased).  ``stars`` bounds the rounds of stars; the result
-    doesn't depend on it.  Defined cases: texts that are null, empty or
+    shingle sets (A-Z lower-cased).  ``stars`` bounds the rounds of stars in large
+    clusters; the result doesn't depend on it.  Defined cases: texts that are null, empty or
     without words have no shingles and no links; a null id is never linked, its
     component is null and it is kept; rows that repeat an id are one node, so they
     share a component; other columns are ignored.
@@ -311,17 +323,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # What stars leave: a link between two members neither of which is linked with their bucket's centre.
     rest = _unsettled(members.where("node > centre"), label)
+    nodes = _clusters(rest)
     for turn in range(1, stars):
-        if rest.isEmpty():
+        pairs = _more_stars(nodes, turn, percent)
+        if pairs is None:
             break
-        pairs, after = _next_star(rest, turn, percent)
         links = cut_lineage(links.unionByName(confirmed(pairs, sets, percent)), "links")
         label = components(links)
-        rest = _unsettled(after, label)
-    more = cut_lineage(_remaining_links(rest, sets, percent), "links")
+        nodes = cut_lineage(nodes.drop("component").join(label, "node", "left")
+                            .withColumn("component", F.coalesce("component", "node")), "clusters")
+    more = cut_lineage(_remaining_links(nodes, sets, percent), "links")
     if not more.isEmpty():
-        label = components(links.union(more))
-    drop_tables(members, sets, links, rest, more)
+        label = components(links.unionByName(more))
+    drop_tables(members, sets, links, rest, nodes, more)
 
     owner = linkable.select("doc_id", "class").join(classes.select("class", "node"), "class")
     owner = (owner.join(label, "node", "left").groupBy("doc_id")

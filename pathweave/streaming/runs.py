@@ -8,6 +8,10 @@ twice, drift during the run window — as streaming jobs:
                                and merged into a versioned ledger by ``foreachBatch``
 * ``windowed_rates``      ST3  tumbling or sliding event-time windows
 * ``provider_drift``      ST4  windowed counts per (provider, version)
+* ``late_rows``                rows that come after their window is final, in a table of their own
+
+ST3 and ST4 run in append mode: a window is written once, when the watermark has
+passed its end, and leaves the state store; no batch touches earlier output.
 
 ``run_available_now`` drives a query to completion with
 ``trigger(availableNow=True)``; sinks and checkpoints live under the shared
@@ -31,13 +35,24 @@ from ..session import table_path
 
 def file_stream(spark: SparkSession, directory: str, schema: T.StructType, glob: str = "*.parquet",
                 max_files_per_trigger: int | None = None) -> DataFrame:
-    """A Parquet file stream (new files in ``directory`` matching ``glob``)."""
-    r = spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", glob)
+    """A Parquet file stream (new files under ``directory`` matching ``glob``)."""
+    r = spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return r.load(directory)
 
 
+def write_arrivals(df: DataFrame, arrival_col: str, directory: str, files: int = 1) -> None:
+    """Write ``df`` as a feed: one folder of ``files`` files for each value of ``arrival_col``, in order, one after the other.
+
+    A file stream takes files by age, so with ``max_files_per_trigger=files`` each
+    arrival is a micro-batch.  ``arrival_col`` isn't written.
+    """
+    for r in df.select(arrival_col).distinct().orderBy(arrival_col).collect():  # one value a batch
+        part = df.filter(F.col(arrival_col) == r[0]).drop(arrival_col)
+        part.repartition(files).write.parquet(os.path.join(directory, f"arrival-{r[0]:09d}"))
+
+
 def as_event_time(df: DataFrame, col: str = "ts") -> DataFrame:
     """Watermarks need ``timestamp`` (not ``timestamp_ntz``); the session zone is UTC."""
     return df.withColumn(col, F.col(col).cast("timestamp"))
@@ -73,6 +88,38 @@ def provider_drift(stream: DataFrame, provider_col: str = "provider", version_co
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def late_rows(stream: DataFrame, name: str, ts: str = "ts", size: str = "1 day", slide: str | None = None,
+              watermark: str = "40 days", base: str | None = None) -> DataFrame:
+    """Rows of a stream that ``windowed_rates`` with the same settings leaves out: (window, the row's columns).
+
+    A batch's rows are late for a window that ends at or before the watermark of the batch
+    before it: the greatest time seen up to two batches ago, less the delay.  That is the
+    engine's own rule for dropping rows, so final windows, open windows and this table
+    together hold every row.  Each batch leaves its greatest time (one row) and its late
+    rows in folders of its own, so a replayed batch overwrites itself.
+    """
+    spark = stream.sparkSession
+    root = base or table_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
+    tops, sink = os.path.join(root, "tops"), os.path.join(root, "late")
+    window = F.window(ts, size, slide) if slide else F.window(ts, size)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.agg(F.max(ts).alias("top")).coalesce(1).write.mode("overwrite").parquet(os.path.join(tops, f"batch={batch_id}"))
+        seen = spark.read.schema("top timestamp, batch long").parquet(tops).filter(F.col("batch") <= batch_id - 2)
+        mark = seen.agg((F.max("top") - F.expr(f"INTERVAL '{watermark}'")).alias("mark")).first()["mark"]
+        if mark is not None:
+            (batch.select(window.alias("window"), *batch.columns).filter(F.col("window.end") <= F.lit(mark))
+             .write.mode("overwrite").parquet(os.path.join(sink, f"batch={batch_id}")))
+
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", os.path.join(root, "_checkpoint"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = _table_if_any(spark, sink)
+    if out is None:
+        return _empty_like(spark, stream.select(window.alias("window"), *stream.columns))
+    return out.drop("batch")
+
+
 def _empty_like(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.createDataFrame([], df.schema)
 
@@ -87,13 +134,14 @@ def _table_if_any(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
         return None
 
 
-def run_available_now(df: DataFrame, name: str, mode: str = "append", base: str | None = None) -> DataFrame:
+def run_available_now(df: DataFrame, name: str, mode: str = "append", base: str | None = None,
+                      progress: list | None = None) -> DataFrame:
     """Run a streaming query over everything available, then return its output as a table.
 
     Each micro-batch is written by ``foreachBatch``: appended under a per-batch
     folder (append/update) or as the whole result (complete), so a replayed
     batch overwrites itself instead of duplicating rows.  A rerun without new
-    files returns the table as it is.
+    files returns the table as it is.  ``progress`` is given the engine's report of each batch.
     """
     spark = df.sparkSession
     root = base or table_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
@@ -109,6 +157,8 @@ def run_available_now(df: DataFrame, name: str, mode: str = "append", base: str
          .option("checkpointLocation", os.path.join(root, "_checkpoint"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    if progress is not None:
+        progress.extend(q.recentProgress)
     out = _table_if_any(spark, sink)
     if out is None:
         return _empty_like(spark, df)

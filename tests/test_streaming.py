@@ -94,3 +94,46 @@ def test_a_rerun_without_new_files_returns_the_table(spark, scratch):
         return S.run_available_now(S.idempotent_ingest(stream), "again", base=os.path.join(scratch, "again"))
 
     assert [sorted(r.event_id for r in again().collect()) for _ in range(2)] == [[1, 2], [1, 2]]
+
+
+def _feed(spark, root):
+    """40 days of events in arrivals of five days; some rows come two or three arrivals late."""
+    start = pd.Timestamp("2024-03-01 00:30")
+    rows = [(i, start + pd.Timedelta(hours=i), i % 50, "complete" if i % 4 else "refused", float(i % 7)) for i in range(960)]
+    arrival = [i // 120 + (2 if i % 31 == 5 else 3 if i % 31 == 9 else 0) for i in range(960)]
+    df = spark.createDataFrame(pd.DataFrame([(*r, a) for r, a in zip(rows, arrival)],
+                                            columns=["event_id", "ts", "run_id", "status", "value", "arrival"]), SCHEMA + ", arrival int")
+    S.write_arrivals(df, "arrival", root)
+    return rows
+
+
+def test_final_windows_late_rows_and_open_windows_hold_every_row(spark, scratch):
+    root = os.path.join(scratch, "feed")
+    rows = _feed(spark, root)
+    stream = lambda: S.file_stream(spark, root, spark.createDataFrame([], SCHEMA).schema, max_files_per_trigger=1)
+    reports = []
+    final = S.run_available_now(S.windowed_rates(stream(), ["status"], watermark="4 days"), "final", base=os.path.join(scratch, "final"),
+                                progress=reports).collect()
+    late = S.late_rows(stream(), "late", watermark="4 days", base=os.path.join(scratch, "late")).collect()
+    assert len({(r.window.start, r.status) for r in final}) == len(final)  # each window once
+    last = max(r[1] for r in rows) - pd.Timedelta(days=4)
+    gone = {r.event_id for r in late}
+    assert gone and all(i % 31 in (5, 9) for i in gone)
+    want = {}
+    for i, ts, _, status, _ in rows:
+        if i not in gone and ts.floor("D") + pd.Timedelta(days=1) <= last:
+            want[ts.floor("D"), status] = want.get((ts.floor("D"), status), 0) + 1
+    assert {(pd.Timestamp(r.window.start), r.status): r.n for r in final} == want
+    # The state holds the windows of the delay and of a batch, never the history.
+    kept = [op["numRowsTotal"] for p in reports for op in p["stateOperators"]]
+    assert max(kept) <= 2 * (5 + 4 + 5 + 2) and kept[-1] <= 2 * 6
+    # No batch touched what an earlier one had written.
+    folders = sorted(os.listdir(os.path.join(scratch, "final", "out")))
+    assert len(folders) > 3 and all(f.startswith("batch=") for f in folders)
+
+
+def test_a_stream_without_late_rows_gives_an_empty_table(spark, scratch):
+    root = os.path.join(scratch, "punctual")
+    _write_days(spark, root, [[(1, pd.Timestamp("2024-01-01 10:00"), 1, "complete", 1.0)]])
+    stream = S.file_stream(spark, root, spark.createDataFrame([], SCHEMA).schema, max_files_per_trigger=1)
+    assert S.late_rows(stream, "none", base=os.path.join(scratch, "none")).count() == 0

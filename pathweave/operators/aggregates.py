@@ -147,15 +147,28 @@ def token_comparison(df: DataFrame, stratum_col: str = "scenario_id", arm_col: s
 
 
 def running_counts(values: DataFrame, by: list[str], col: str, count_col: str = "_c") -> DataFrame:
-    """Distinct values with counts, plus ``_cum`` (rows of the group up to the value) and ``_n`` (all of them); nulls count nothing."""
+    """Distinct values with counts, plus ``_cum`` (rows of the group up to the value) and ``_n`` (all of them); nulls count nothing.
+
+    Values are range-partitioned by (group, value), so a group of many distinct values
+    is spread over tasks; the counts of the partitions before, one row for each group and
+    partition, shift the running counts within a partition.  Range bounds are sampled,
+    so the partitioned values are written once and both passes read them.
+    """
     c = F.when(F.col(col).isNotNull(), F.col(count_col)).otherwise(F.lit(0))
-    w = Window.partitionBy(*by)
-    return (values.withColumn("_n", F.sum(c).over(w))
-            .withColumn("_cum", F.sum(c).over(w.orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    ranged = cut_lineage(values.repartitionByRange(*by, col).withColumn("_part", F.spark_partition_id()), "ranged_values")
+    sizes = ranged.groupBy(*by, "_part").agg(F.sum(c).alias("_s"))
+    parts = Window.partitionBy(*by)  # over partitions, not values
+    sizes = (sizes.withColumn("_n", F.sum("_s").over(parts))
+             .withColumn("_before", F.sum("_s").over(parts.orderBy("_part")) - F.col("_s")).drop("_s"))
+    within = Window.partitionBy(*by, "_part").orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*by, "_part"]]
+    local = ranged.withColumn("_cum", F.sum(c).over(within))
+    joined = local.alias("r").join(sizes.alias("s"), same)
+    return joined.select(*(F.col(f"r.{k}") for k in values.columns), "_n", (F.col("_before") + F.col("_cum")).alias("_cum"))
 
 
 def quantile_of(col: str, q: float) -> Column:
-    """Over ``running_counts``: the smallest value whose share of rows reaches ``q``."""
+    """Over ``running_counts``: the smallest value whose share of rows reaches ``q`` (combined in the map tasks: one value a group and partition)."""
     return F.min(F.when(F.col(col).isNotNull() & (F.col("_cum") >= F.lit(q) * F.col("_n")), F.col(col)))
 
 
@@ -163,9 +176,9 @@ def token_distribution(df: DataFrame, arm_col: str = "path_type", tokens_col: st
                        quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Spread of tokens per arm, with exact quantiles.
 
-    Rows are collapsed to distinct values with counts (combined map-side, so a hot
-    arm is small), and cumulative counts give the smallest observed value whose
-    CDF reaches q.
+    Rows are collapsed to distinct values with counts (combined map-side), and
+    ``running_counts`` gives the smallest observed value whose CDF reaches q; a hot
+    arm's values are spread over all tasks.
     """
     values = df.groupBy(arm_col, tokens_col).agg(F.count(F.lit(1)).alias("_c"))
     return running_counts(values, [arm_col], tokens_col).groupBy(arm_col).agg(

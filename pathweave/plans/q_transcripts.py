@@ -85,22 +85,20 @@ def t2_interleave_turns(spark, d):
     return T.interleave(*_conv_parts(spark, d))
 
 
-@register("t3_message_history", with_ctes(TURNS_V_SQL, body="""
-SELECT run_id, turn_index, count(*) OVER w AS n_messages,
-  CAST(sum(length(content)) OVER w AS BIGINT) AS history_chars FROM turns_v
+_JS = "'{\"content\": ' || " + sql_json_quote("content") + " || ', \"role\": ' || " + sql_json_quote("role") + " || '}'"
+
+
+@register("t3_message_history", with_ctes(TURNS_V_SQL, body=f"""
+SELECT run_id, turn_index, count(*) OVER w AS n_messages, CAST(sum(length(content)) OVER w AS BIGINT) AS history_chars,
+  sha256('[' || array_to_string(list({_JS}) OVER w, ', ') || ']') AS history_digest FROM turns_v
 WINDOW w AS (PARTITION BY run_id ORDER BY turn_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
 def t3_message_history(spark, d):
-    h = T.message_history(V.turns_v(spark, d))
-    return h.select("run_id", "turn_index", F.size("history").cast("long").alias("n_messages"),
-                    F.aggregate("history", F.lit(0).cast("long"), lambda a, m: a + F.length(m["content"]))
-                    .alias("history_chars"))
+    return T.message_history(V.turns_v(spark, d))
 
 
 def _keys_sql(seed_expr: str) -> list[str]:
-    msg = ("'{\"content\": ' || " + sql_json_quote("content") + " || ', \"role\": ' || " + sql_json_quote("role")
-           + " || '}'")
-    return [TURNS_V_SQL, f"""km AS (SELECT run_id, turn_index, role, content, {msg} AS js,
-  list({msg}) OVER (PARTITION BY run_id ORDER BY turn_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hist
+    return [TURNS_V_SQL, f"""km AS (SELECT run_id, turn_index, role, content, {_JS} AS js,
+  list({_JS}) OVER (PARTITION BY run_id ORDER BY turn_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hist
   FROM turns_v)""", f"""req AS (SELECT run_id, turn_index, CAST(floor((turn_index - 1) / 2) AS INTEGER) AS step,
   CAST({seed_expr} + floor((turn_index - 1) / 2) AS BIGINT) AS step_seed, hist FROM km WHERE role = 'assistant')""",
             f"""keys AS (SELECT run_id, turn_index, step, step_seed,

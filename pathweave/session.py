@@ -68,7 +68,7 @@ def cut_lineage(df: DataFrame, name: str = "lineage") -> DataFrame:
     """
     path = table_path(df.sparkSession, f"{name}/{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)  # no job to find the schema out
 
 
 def table_path(spark: SparkSession, name: str) -> str:

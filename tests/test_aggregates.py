@@ -2,6 +2,7 @@
 import random
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from pathweave.operators import aggregates as G
 from pathweave.operators import inference as S
@@ -83,3 +84,20 @@ def test_global_rank_puts_nulls_last(spark):
     assert got == {"a": 1, "b": 2, "d": 2, "c": 4, "e": 4}
     only = spark.createDataFrame([("a", None)], "k string, v double")
     assert [r.rank for r in G.global_rank(only, "v").collect()] == [1]
+
+
+def test_quantiles_of_a_hot_arm_are_exact_and_spread(spark):
+    """One arm with 2 million distinct values, small ones beside it, a null arm and null values."""
+    n = 2_000_000
+    hot = spark.range(n).select(F.lit("hot").alias("path_type"), ((F.col("id") * 7_919) % n).alias("total_tokens"))
+    small = spark.createDataFrame([("a", 5), ("a", 5), ("a", 9), ("b", None), (None, 3), (None, 1), ("hot", None)], "path_type string, total_tokens long")
+    df = hot.unionByName(small)
+    got = {r.path_type: r for r in G.token_distribution(df).collect()}
+    assert (got["hot"].n, got["hot"].q25, got["hot"].q50, got["hot"].q75) == (n, n // 4 - 1, n // 2 - 1, 3 * n // 4 - 1)
+    assert (got["a"].n, got["a"].q25, got["a"].q50, got["a"].q75) == (3, 5, 5, 9)
+    assert (got["b"].n, got["b"].q50) == (0, None) and (got[None].n, got[None].q50) == (2, 1)
+    values = df.groupBy("path_type", "total_tokens").agg(F.count(F.lit(1)).alias("_c"))
+    counted = G.running_counts(values, ["path_type"], "total_tokens")
+    files = counted.inputFiles()  # one a range
+    per_file = [spark.read.parquet(f).count() for f in files]
+    assert len(per_file) >= 8 and max(per_file) < 0.3 * n

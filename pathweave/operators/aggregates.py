@@ -238,6 +238,33 @@ def global_rank(df: DataFrame, col: str, rank_col: str = "rank", partitions: int
     return ranked.unionByName(df.filter(F.col(col).isNull()).withColumn(rank_col, F.lit(run + 1).cast("long")))
 
 
+def global_positions(df: DataFrame, order: list[str], position_col: str = "position") -> tuple[DataFrame, int]:
+    """(rows numbered from 1 in the order of columns ``order``, their number), without a one-task window.
+
+    Rows are range-partitioned and written once, since range bounds are sampled; a
+    window numbers each range, and the ranges before shift it.  Rows that agree in all of
+    ``order`` are numbered in an arbitrary order.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "positions")
+    sizes = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a range
+    before, run = [], 0
+    for part in range(max(sizes, default=0) + 1):
+        before.append(run)
+        run += sizes.get(part, 0)
+    offset = F.element_at(F.array(*map(F.lit, before)), F.col("_part") + 1)
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn(position_col, (offset + at).cast("long")).drop("_part"), run
+
+
+def equal_tiles(position: Column, total: int, tiles: int) -> Column:
+    """``ntile(tiles)`` of a position among ``total`` rows, as arithmetic: tiles from 1, sizes at most one apart, larger ones first."""
+    small, larger = divmod(total, tiles)
+    head = larger * (small + 1)
+    at = position - 1
+    return (F.when(at < head, F.floor(at / (small + 1)) + 1)
+            .otherwise(F.floor((at - head) / max(small, 1)) + larger + 1).cast("int"))
+
+
 def outcome_distribution(df: DataFrame, unit_cols: list[str], outcome_col: str = "verdict",
                          status_col: str = "status") -> DataFrame:
     """Counts of yes / no / refused per experimental unit."""

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import condition_seed, keyed_hash, run_id
+from .aggregates import equal_tiles, global_positions
 
 RUN_STATUSES = ["pending", "running", "complete", "failed", "refused"]
 TERMINAL_STATUSES = ["complete", "refused"]
@@ -74,16 +75,16 @@ def resume_set(manifest: DataFrame, current: DataFrame | None = None,
 
 
 def dispatch_order(manifest: DataFrame, n_batches: int = 8) -> DataFrame:
-    """M7: reproducible shuffled order and batch assignment.
+    """M7: reproducible shuffled order (``position`` from 1) and batches of equal size (``batch`` from 1).
 
-    The order key is a hash of (run id, seed) — uncorrelated with scenario or
-    arm, so drift during the run window is spread across conditions.  Batches
-    are hash buckets (no global window).
+    The order key is a hash of (run id, seed) - uncorrelated with scenario or
+    arm, so drift during the run window is spread across conditions.  The order is
+    total (ties by run id) and exact at any size: range partitions and offsets, no
+    global window.
     """
-    k = keyed_hash(F.col("run_id"), F.col("seed"))
-    return (manifest.withColumn("dispatch_key", k)
-            .withColumn("batch", F.pmod(F.conv(F.substring(k, 1, 8), 16, 10).cast("long"), F.lit(n_batches))
-                        .cast("int")))
+    keyed = manifest.withColumn("dispatch_key", keyed_hash(F.col("run_id"), F.col("seed")))
+    placed, total = global_positions(keyed, ["dispatch_key", "run_id"])
+    return placed.withColumn("batch", equal_tiles(F.col("position"), total, n_batches))
 
 
 def pilot_design(paths: DataFrame, wordings: DataFrame, scenario: str,
@@ -120,6 +121,13 @@ def dispatch_count(manifest: DataFrame) -> DataFrame:
     return pending(manifest).agg(F.count(F.lit(1)).alias("n_pending"))
 
 
+def planned_count(census: DataFrame, wordings: DataFrame, replicates: int) -> DataFrame:
+    """M10 before there is a manifest: runs that ``build_manifest`` would make, from the path census (P15) and the wordings; no row is built."""
+    words = wordings.groupBy("scenario_id").agg(F.count(F.lit(1)).alias("_w"))
+    paths = census.groupBy("scenario_id").agg(F.sum("n_paths").alias("_p"))
+    return paths.join(words, "scenario_id").agg((F.coalesce(F.sum(F.col("_p") * F.col("_w")), F.lit(0)) * max(replicates, 0)).alias("n_pending"))
+
+
 def manifest_totals(manifest: DataFrame, status_col: str = "status") -> DataFrame:
     """Count per status plus the grand total (``status`` NULL on the total row)."""
     return manifest.rollup(status_col).agg(F.count(F.lit(1)).alias("n"))

@@ -14,7 +14,7 @@ all n! permutations.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import json_escape, json_quote, path_id, py_json_escape
@@ -48,19 +48,26 @@ def ungathered(components: DataFrame, scenario_col: str = "scenario_id", id_col:
 
 
 def gather_graphs(components: DataFrame, scenario_col: str = "scenario_id", id_col: str = "cid",
-                  text_col: str = "text", deps_col: str = "deps", max_components: int = 5) -> DataFrame:
+                  text_col: str = "text", deps_col: str = "deps", max_components: int = 5, keys: list[str] | None = None) -> DataFrame:
     """One row per scenario with ``nodes``: array<struct<cid, text, deps>> sorted by id.
 
     Texts are stripped once here.  Scenarios with more than ``max_components``
-    nodes, or with a repeated id, can't be expanded and are left out by a semi join
-    against a partial count; ``ungathered`` returns them.
+    nodes, or with a repeated id, can't be expanded and are left out; ``ungathered``
+    returns them.  Of any scenario at most ``max_components`` + 1 rows are gathered: the
+    filter on ``row_number`` becomes a group limit, taken before the shuffle too, so a
+    scenario of any size costs one shuffle and no more than its first rows.  ``keys`` may
+    name columns that the scenario determines and by which the input is partitioned
+    already; then there is no shuffle at all.
     """
-    sizes = _sizes(components, scenario_col, id_col).filter(f"_n <= {max_components} AND _n = _d")
-    small = components.join(sizes, scenario_col, "left_semi")
-    node = F.struct(F.col(id_col).alias("cid"), py_strip(F.col(text_col)).alias("text"),
-                    F.coalesce(F.col(deps_col), F.array().cast("array<string>")).alias("deps"))
-    return (small.groupBy(F.col(scenario_col).alias("scenario_id"))
-            .agg(F.array_sort(F.collect_list(node)).alias("nodes")))
+    by = [*(keys or []), scenario_col]
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(id_col)) <= max_components + 1
+    few = components.select(*by, F.col(id_col).alias("_cid"), F.col(text_col).alias("_text"), F.col(deps_col).alias("_deps"),
+                            first.alias("_few")).filter("_few")
+    node = F.struct(F.col("_cid").alias("cid"), py_strip(F.col("_text")).alias("text"),
+                    F.coalesce(F.col("_deps"), F.array().cast("array<string>")).alias("deps"))
+    found = few.groupBy(*by).agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    whole = (F.size("nodes") <= max_components) & (F.size(F.array_distinct(F.transform("nodes", lambda x: x["cid"]))) == F.size("nodes"))
+    return found.filter(whole).select(F.col(scenario_col).alias("scenario_id"), "nodes")
 
 
 def _placeable(nodes: Column, placed: Column) -> Column:
@@ -331,5 +338,21 @@ def generate_paths(graphs: DataFrame, path_types: list[str] | None = None, sort:
 
 
 def path_census(paths: DataFrame) -> DataFrame:
-    """Number of paths per (scenario, path type)."""
+    """Number of paths per (scenario, path type) of a path table."""
     return paths.groupBy("scenario_id", "path_type").agg(F.count(F.lit(1)).alias("n_paths"))
+
+
+def census_of(graphs: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """P15 without the paths: they depend on a graph's shape alone, so each shape is expanded once and its counts are looked up."""
+    from .frames import bounded_broadcast
+    g = with_masks(graphs).select("scenario_id", "n", "dm")
+    pseudo = g.select("n", "dm").distinct().select("n", "dm", F.to_json(F.struct("n", "dm")).alias("scenario_id"), F.transform(
+        F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(
+            i.cast("string").alias("cid"), F.lit("").alias("text"),
+            F.transform(F.filter(F.sequence(F.lit(0), F.lit(30)), lambda j: _has_bit(F.get(F.col("dm"), i), j) == 1),
+                        lambda j: j.cast("string")).alias("deps"))).alias("nodes"))
+    pseudo = cut_lineage(pseudo, "shapes")
+    counts = path_census(generate_paths(pseudo.select("scenario_id", "nodes"), materialise=False)).withColumnRenamed("scenario_id", "_shape")
+    shapes = pseudo.select("n", "dm", F.col("scenario_id").alias("_shape"))
+    table = cut_lineage(shapes.join(counts, "_shape").drop("_shape"), "shape_counts")
+    return g.join(bounded_broadcast(table, max_rows), ["n", "dm"]).select("scenario_id", "path_type", "n_paths")

@@ -9,6 +9,7 @@ from ..functions.text import (FILLER_TURN_PREFIX, FIRST_TURN_PREFIX, GROUP_TURN_
                               FillerPlan, approx_tokens, sql_str)
 from ..operators import manifest as M
 from ..operators import paths as P
+from ..session import cut_lineage
 from ..sources import corpus as C
 from ..sources import views as V
 from ..sources.views import (COMPONENTS_V_SQL, DESIGN_REJECTS_V_SQL, DESIGN_SCENARIOS_V_SQL, ORDER_LINES_SQL, RUNS_V_SQL,
@@ -95,8 +96,10 @@ ALL_PATH_CTES = [COMPONENTS_V_SQL, NODES_SQL, TMAP_SQL, WALK_SQL, ORD_SQL, SEQ_S
 PATHS_WITH_IDS = "pth AS (" + PATH_OUT + "allp)"
 
 
-def _graphs(spark, d):
-    return P.gather_graphs(V.components_v(spark, d))
+def _graphs(spark, d, cut=False):
+    """The gathered graphs; ``cut`` writes them once, for plans that read them more than once."""
+    graphs = P.gather_graphs(V.components_v(spark, d), keys=V.COMPONENT_KEYS)
+    return cut_lineage(graphs, "graphs") if cut else graphs
 
 
 def _out(paths):
@@ -109,7 +112,7 @@ def _out(paths):
 @register("p1_all_orderings", with_recursive(COMPONENTS_V_SQL, NODES_SQL, TMAP_SQL, WALK_SQL, ORD_SQL, body="""
 SELECT scenario_id, array_to_string(placed, ',') AS ordering FROM ord"""))
 def p1_all_orderings(spark, d):
-    g = P.shape_orderings(P.with_masks(_graphs(spark, d)))
+    g = P.shape_orderings(P.with_masks(_graphs(spark, d, cut=True)))
     return g.select("scenario_id", F.array_join(P.ids_of(F.col("order")), ",").alias("ordering"))
 
 
@@ -181,7 +184,7 @@ def p7_group_turn(spark, d):
 @register("p8_sequential_paths", with_recursive(COMPONENTS_V_SQL, NODES_SQL, TMAP_SQL, WALK_SQL, ORD_SQL, SEQ_SQL,
                                                 body=PATH_OUT + "seq"))
 def p8_sequential_paths(spark, d):
-    return _out(P.sequential_paths(_graphs(spark, d)))
+    return _out(P.sequential_paths(_graphs(spark, d, cut=True)))
 
 
 @register("p9_skipped_paths", with_recursive(COMPONENTS_V_SQL, NODES_SQL, SKP_SQL, body=PATH_OUT + "skp"))
@@ -221,20 +224,27 @@ def p14_shared_path_ids(spark, d):
 @register("p15_path_census", with_recursive(*ALL_PATH_CTES, body="""
 SELECT scenario_id, path_type, count(*) AS n_paths FROM allp GROUP BY 1, 2"""))
 def p15_path_census(spark, d):
-    return P.path_census(P.generate_paths(_graphs(spark, d)))
+    return P.census_of(_graphs(spark, d, cut=True))
 
 
 # --- M: manifest --------------------------------------------------------------------------
 
-def _design(spark, d, materialise=False):
-    """Design tables; the path table is materialised once when a query reads it twice."""
-    comps = V.components_v(spark, d)
+REPLICATES = 5
+
+
+def _design(spark, d, materialise=False, scenario=None):
+    """Design tables over components that are written once; the path table too when a query reads it twice.
+
+    With ``scenario``, only its components are written, gathered and expanded.
+    """
+    comps = V.components_v(spark, d).select("scenario_id", "cid", "text", "deps", "rn", "n")
+    comps = cut_lineage(comps if scenario is None else comps.filter(F.col("scenario_id") == scenario), "components")
     design = build_design(comps, V.wordings_v(spark, d, comps), V.design_scenarios_v(spark, d, comps),
                           materialise=materialise)
     return comps, design.paths, design.wordings
 
 
-def _manifest(spark, d, replicates=1):
+def _manifest(spark, d, replicates=REPLICATES):
     _, paths, words = _design(spark, d)
     return M.build_manifest(paths, words, replicates, MODEL, PROVIDER, TEMPERATURE)
 
@@ -250,6 +260,16 @@ def _manifest_sql(replicates: int, extra_ctes=(), body: str = "") -> str:
     return with_recursive(*ALL_PATH_CTES, PATHS_WITH_IDS, WORDINGS_V_SQL, man, *extra_ctes, body=body)
 
 
+def _advanced(manifest):
+    """The manifest after a part of it has run: by the run id's first digit, runs are complete, failed, refused or still pending."""
+    first = F.substring("run_id", 1, 1)
+    return manifest.withColumn("status", F.when(first == "0", "complete").when(first == "1", "failed").when(first == "2", "refused").otherwise(F.col("status")))
+
+
+_ADVANCED_SQL = """adv AS (SELECT * EXCLUDE (status), CASE left(run_id, 1) WHEN '0' THEN 'complete' WHEN '1' THEN 'failed' WHEN '2' THEN 'refused'
+  ELSE status END AS status FROM man)"""
+
+
 def _id_sum():
     """A digest of the run ids of a group: it changes with any one of them."""
     return F.sum(F.conv(F.substring("run_id", 1, 7), 16, 10).cast("long")).alias("id_sum")
@@ -259,9 +279,17 @@ _MAN_COLS = ["run_id", "scenario_id", "path_type", "path_signature", "perm_id",
              "provider_requested", "temperature", "seed", "replicate_idx", "status"]
 
 
-@register("m1_build_manifest", _manifest_sql(1, body="SELECT * FROM man"))
+_CONDITION = ["scenario_id", "path_type", "path_signature", "perm_id", "terminal_wording_id", "model", "provider_requested", "temperature", "status"]
+
+
+@register("m1_build_manifest", _manifest_sql(REPLICATES, body=f"""
+SELECT {', '.join(_CONDITION)}, count(*) AS n_runs, CAST(sum(replicate_idx) AS BIGINT) AS replicate_sum, CAST(sum(seed) AS BIGINT) AS seed_sum,
+  CAST(sum(CAST('0x' || left(run_id, 13) AS BIGINT)) AS BIGINT) AS id_sum FROM man GROUP BY ALL"""))
 def m1_build_manifest(spark, d):
-    return rounded(_manifest(spark, d, 1).select(*_MAN_COLS))
+    """The whole manifest, one row a condition: its runs' seeds and ids (52 bits of each) are summed, so any other run shows."""
+    return rounded(_manifest(spark, d).groupBy(*_CONDITION).agg(
+        F.count(F.lit(1)).alias("n_runs"), F.sum("replicate_idx").cast("long").alias("replicate_sum"), F.sum("seed").cast("long").alias("seed_sum"),
+        F.sum(F.conv(F.substring("run_id", 1, 13), 16, 10).cast("long")).alias("id_sum")))
 
 
 @register("m2_replicate_expansion", _manifest_sql(3, body="""
@@ -289,48 +317,56 @@ def m4_run_ids(spark, d):
                                       F.min("run_id").alias("first_id"), F.max("run_id").alias("last_id"))
 
 
-@register("m5_pending_by_type", _manifest_sql(1, body="""
-SELECT path_type, count(*) AS n_pending, CAST(sum(CAST('0x' || left(run_id, 7) AS BIGINT)) AS BIGINT) AS id_sum FROM man
+@register("m5_pending_by_type", _manifest_sql(REPLICATES, extra_ctes=[_ADVANCED_SQL], body="""
+SELECT path_type, count(*) AS n_pending, CAST(sum(CAST('0x' || left(run_id, 7) AS BIGINT)) AS BIGINT) AS id_sum FROM adv
 WHERE status = 'pending' GROUP BY 1"""))
 def m5_pending_by_type(spark, d):
-    return M.pending(_manifest(spark, d, 1)).groupBy("path_type").agg(F.count(F.lit(1)).alias("n_pending"), _id_sum())
+    return M.pending(_advanced(_manifest(spark, d))).groupBy("path_type").agg(F.count(F.lit(1)).alias("n_pending"), _id_sum())
 
 
-@register("m7_dispatch_batches", _manifest_sql(1, body="""
-SELECT CAST((CAST(('0x' || left(k, 8)) AS BIGINT)) % 8 AS INTEGER) AS batch, count(*) AS n, min(k) AS first_key
-FROM (SELECT """ + sql_keyed_hash("run_id", "seed") + """ AS k FROM man) t GROUP BY 1"""))
+@register("m7_dispatch_batches", _manifest_sql(REPLICATES, body="""
+SELECT left(run_id, 16) AS run, row_number() OVER (ORDER BY k, run_id) AS position, CAST(ntile(8) OVER (ORDER BY k, run_id) AS INTEGER) AS batch
+FROM (SELECT run_id, """ + sql_keyed_hash("run_id", "seed") + """ AS k FROM man) t"""))
 def m7_dispatch_batches(spark, d):
-    o = M.dispatch_order(_manifest(spark, d, 1), 8)
-    return o.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("dispatch_key").alias("first_key"))
+    return M.dispatch_order(_manifest(spark, d).select("run_id", "seed"), 8).select(F.substring("run_id", 1, 16).alias("run"), "position", "batch")
 
 
 @register("m8_pilot_manifest", _manifest_sql(5, body=f"""
 SELECT * FROM man WHERE scenario_id = '{PILOT_SCENARIO}' AND path_type = 'sequential'"""))
 def m8_pilot_manifest(spark, d):
-    _, paths, words = _design(spark, d)
+    _, paths, words = _design(spark, d, scenario=PILOT_SCENARIO)
     p, w = M.pilot_design(paths, words, PILOT_SCENARIO, "sequential")
     return rounded(M.build_manifest(p, w, 5, MODEL, PROVIDER, TEMPERATURE).select(*_MAN_COLS))
 
 
-@register("m9_resolve_manifest", _manifest_sql(1, extra_ctes=[
-    "w2 AS (SELECT * FROM wordings_v WHERE wording_id <> 'W3')"], body="""
-SELECT CASE WHEN w2.wording_id IS NULL THEN 'unknown wording' END AS resolve_error,
-  CASE WHEN w2.wording_id IS NULL THEN 'failed' ELSE man.status END AS status, man.path_type, count(*) AS n
-FROM man LEFT JOIN w2 ON man.scenario_id = w2.scenario_id AND man.terminal_wording_id = w2.wording_id
+@register("m9_resolve_manifest", _manifest_sql(REPLICATES, extra_ctes=[
+    "w2 AS (SELECT * FROM wordings_v WHERE wording_id <> 'W3')",
+    "s2 AS (SELECT DISTINCT scenario_id FROM wordings_v WHERE right(scenario_id, 1) <> '7')",
+    "p2 AS (SELECT DISTINCT scenario_id, path_type, perm_id FROM pth WHERE left(perm_id, 1) <> 'a')"], body="""
+SELECT resolve_error, CASE WHEN resolve_error IS NULL THEN status ELSE 'failed' END AS status, path_type, count(*) AS n
+FROM (SELECT man.status, man.path_type, CASE WHEN s2.scenario_id IS NULL THEN 'unknown scenario' WHEN p2.perm_id IS NULL THEN 'unknown path'
+        WHEN w2.wording_id IS NULL THEN 'unknown wording' END AS resolve_error
+      FROM man LEFT JOIN s2 ON man.scenario_id = s2.scenario_id
+      LEFT JOIN p2 ON man.scenario_id = p2.scenario_id AND man.path_type = p2.path_type AND man.perm_id = p2.perm_id
+      LEFT JOIN w2 ON man.scenario_id = w2.scenario_id AND man.terminal_wording_id = w2.wording_id) t
 GROUP BY 1, 2, 3"""))
 def m9_resolve_manifest(spark, d):
+    """The manifest against a revised design, which has lost scenarios, paths and a wording."""
     comps, paths, words = _design(spark, d, materialise=True)
-    man = M.build_manifest(paths, words, 1, MODEL, PROVIDER, TEMPERATURE)
-    revised = words.filter(F.col("wording_id") != "W3")
-    scen = V.design_scenarios_v(spark, d, comps)
-    r = M.resolve_manifest(man, scen, paths, revised)
+    man = M.build_manifest(paths, words, REPLICATES, MODEL, PROVIDER, TEMPERATURE)
+    scen = V.design_scenarios_v(spark, d, comps).filter(~F.col("scenario_id").endswith("7"))
+    r = M.resolve_manifest(man, scen, paths.filter(~F.col("perm_id").startswith("a")), words.filter(F.col("wording_id") != "W3"))
     return r.groupBy("resolve_error", "status", "path_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("m10_dispatch_count", _manifest_sql(1, body="""
-SELECT count(*) AS n_pending FROM man WHERE status = 'pending'"""))
+@register("m10_dispatch_count", _manifest_sql(REPLICATES, extra_ctes=[_ADVANCED_SQL], body="""
+SELECT count(*) FILTER (status = 'pending') AS n_pending, count(*) AS n_planned FROM adv"""))
 def m10_dispatch_count(spark, d):
-    return M.dispatch_count(_manifest(spark, d, 1))
+    """Pending runs of the manifest, next to what the design alone says was planned."""
+    comps, paths, words = _design(spark, d)
+    left = M.dispatch_count(_advanced(M.build_manifest(paths, words, REPLICATES, MODEL, PROVIDER, TEMPERATURE)))
+    planned = M.planned_count(P.census_of(cut_lineage(P.gather_graphs(comps), "graphs")), words, REPLICATES)
+    return left.crossJoin(planned.withColumnRenamed("n_pending", "n_planned"))  # one row and one row
 
 
 @register("m11_manifest_totals", "WITH " + RUNS_V_SQL + """
@@ -345,9 +381,8 @@ def m11_manifest_totals(spark, d):
 SELECT scenario_id, type, independence_class, n_components, regexp_replace(setup, '^\s+|\s+$', '', 'g') AS setup_text,
   CAST(NULL AS VARCHAR) AS raw_yaml FROM design_scenarios_v"""))
 def io3_scenarios_table(spark, d):
-    comps = V.components_v(spark, d)
-    docs = C.nest_documents(V.design_scenarios_v(spark, d, comps), comps, V.wordings_v(spark, d, comps))
-    return C.scenarios_table(docs)
+    comps = cut_lineage(V.components_v(spark, d).select("scenario_id", "cid", "rn", "n"), "components")
+    return C.scenario_rows(V.design_scenarios_v(spark, d, comps), comps)
 
 
 @register("io3_design_rejects", "WITH " + ORDER_LINES_SQL + ", " + DESIGN_REJECTS_V_SQL + " SELECT * FROM design_rejects_v")

@@ -202,7 +202,7 @@ FROM r, LATERAL (SELECT unnest(range(1, len(turns) + 1)) AS i) u WHERE rank <= 3
 UNION ALL
 SELECT scenario_id, path_type, rank, path_signature, NULL, NULL FROM r WHERE rank <= 3 AND len(turns) = 0"""))
 def dq18_path_sample(spark, d):
-    paths = P.generate_paths(P.gather_graphs(V.components_v(spark, d)))
+    paths = P.generate_paths(P.gather_graphs(V.components_v(spark, d), keys=V.COMPONENT_KEYS))
     return Q.path_sample(paths).withColumn("rank", F.col("rank").cast("long"))
 
 

@@ -139,22 +139,21 @@ _LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extend
                "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
-HOT_ORDER, HOT_BLOCK = 1000, 500  # an order of more lines is first cut into blocks of about so many
+BLOCK_LINES = 500  # line numbers of an order that make a block
+COMPONENT_KEYS = ["l_orderkey", "block", "piece"]  # what names a scenario of ``components_v``, by which its rows are partitioned
 
 
 def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines with their place ``at`` and the number ``m`` of lines in their block.
+    """All lines with their place ``at`` in their block and the number ``m`` of its lines.
 
-    A block is an order; an order of more than HOT_ORDER lines is cut into blocks
-    by part key, so the window below never sees a hot order whole.
+    A block is BLOCK_LINES line numbers of an order, so an order of very many lines is
+    cut in line order, like any other, and no window sees it whole.
     """
     li = read(spark, sf_dir, "lineitem").select(*(["l_orderkey"] + _LINE_ORDER))
     part = read(spark, sf_dir, "part").select("p_partkey", "p_name")
-    sizes = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("_n"))
-    lines = li.join(part, li.l_partkey == part.p_partkey).join(sizes, "l_orderkey").withColumn("block", F.expr(
-        f"CASE WHEN _n > {HOT_ORDER} THEN l_partkey % cast(ceil(_n / {HOT_BLOCK}) AS bigint) ELSE 0 END"))
+    lines = li.join(part, li.l_partkey == part.p_partkey).withColumn("block", F.expr(f"(l_linenumber - 1) div {BLOCK_LINES}"))
     w = Window.partitionBy("l_orderkey", "block")
-    return lines.withColumn("m", F.count(F.lit(1)).over(w)).withColumn("at", F.row_number().over(w.orderBy(*_LINE_ORDER)) - 1)
+    return lines.withColumn("at", F.row_number().over(w.orderBy(*_LINE_ORDER)) - 1).withColumn("m", F.count(F.lit(1)).over(w))
 
 
 def components_v(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +165,7 @@ def components_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     lines = _order_lines(spark, sf_dir).filter("m >= 3")
     lines = (lines.withColumn("k", F.expr("cast(ceil(m / 5) AS bigint)")).withColumn("c", F.expr("(at * k) div m"))
-             .withColumn("lo", F.expr("(c * m + k - 1) div k")).withColumn("hi", F.expr("((c + 1) * m + k - 1) div k")))
+             .withColumn("piece", F.col("c")).withColumn("lo", F.expr("(c * m + k - 1) div k")).withColumn("hi", F.expr("((c + 1) * m + k - 1) div k")))
     lines = lines.withColumn("rn", F.expr("cast(at - lo + 1 AS int)"))
     name = F.expr("concat(cast(l_orderkey AS string), CASE WHEN block > 0 OR k > 1 THEN concat('-', cast(block AS string), '-', "
                   "cast(c + 1 AS string)) ELSE '' END)")
@@ -181,6 +180,7 @@ def components_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         deps.alias("deps"),
         rn.alias("rn"),
         F.expr("cast(hi - lo AS int)").alias("n"),
+        *COMPONENT_KEYS,
     )
 
 
@@ -196,9 +196,7 @@ ORDER_LINES_SQL = f"""order_lines AS (
   SELECT *, count(*) OVER (PARTITION BY l_orderkey, block) AS m,
     row_number() OVER (PARTITION BY l_orderkey, block ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
       l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS place
-  FROM (SELECT l.*, p_name, CASE WHEN count(*) OVER (PARTITION BY l_orderkey) > {HOT_ORDER}
-          THEN l_partkey % CAST(ceil(count(*) OVER (PARTITION BY l_orderkey) / {HOT_BLOCK}) AS BIGINT) ELSE 0 END AS block
-        FROM lineitem l JOIN part ON l_partkey = p_partkey) t)"""
+  FROM (SELECT l.*, p_name, (l_linenumber - 1) // {BLOCK_LINES} AS block FROM lineitem l JOIN part ON l_partkey = p_partkey) t)"""
 
 COMPONENTS_V_SQL = ORDER_LINES_SQL + """,
 pieces AS (SELECT *, (place * k) // m AS c FROM (SELECT *, CAST(ceil(m / 5) AS BIGINT) AS k FROM order_lines WHERE m >= 3) t),

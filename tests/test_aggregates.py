@@ -101,3 +101,20 @@ def test_quantiles_of_a_hot_arm_are_exact_and_spread(spark):
     files = counted.inputFiles()  # one a range
     per_file = [spark.read.parquet(f).count() for f in files]
     assert len(per_file) >= 8 and max(per_file) < 0.3 * n
+
+
+def test_positions_and_tiles_equal_sql(spark):
+    rng = random.Random(6)
+    rows = [(rng.randint(0, 200), f"k{i}") for i in range(3_001)]
+    df = spark.createDataFrame(rows, "a int, b string").repartition(7)
+    placed, total = G.global_positions(df, ["a", "b"])
+    got = [(r.a, r.b) for r in placed.orderBy("position").collect()]
+    assert total == 3_001 and got == sorted(rows)
+    assert [r.position for r in placed.orderBy("position").select("position").collect()] == list(range(1, 3_002))
+    for n, tiles in ((3_001, 8), (5, 8), (8, 8), (0, 3), (10, 3)):
+        spark.range(1, n + 1).createOrReplaceTempView("p")
+        want = [r.t for r in spark.sql(f"SELECT ntile({tiles}) OVER (ORDER BY id) AS t FROM p ORDER BY id").collect()]
+        got = [r.t for r in spark.table("p").select("id", G.equal_tiles(F.col("id"), n, tiles).alias("t")).orderBy("id").collect()]
+        assert got == want
+    empty, none = G.global_positions(df.limit(0), ["a"])
+    assert none == 0 and empty.count() == 0

@@ -189,3 +189,25 @@ def test_path_ids_with_escapes_and_unicode(spark):
             ("u", "C3", "emoji 😀 ü", [])]
     for p in _paths(spark, rows):
         assert p["perm_id"] == _py_id(p["path_signature"], p["turns"]), p["path_type"]
+
+
+def test_census_of_shapes_equals_the_paths(spark):
+    rng = random.Random(4)
+    rows = []
+    for s in range(60):
+        n = rng.randint(1, 5)
+        for i in range(n):
+            deps = [f"C{rng.randint(1, n)}" for _ in range(rng.randint(0, 2))] if rng.random() < 0.3 else [f"C{j + 1}" for j in range(i) if rng.random() < 0.4]
+            rows.append((f"s{s}", f"C{i + 1}", f"text {i}", deps + (["C9"] if rng.random() < 0.05 else [])))
+    graphs = P.gather_graphs(spark.createDataFrame(rows, "scenario_id string, cid string, text string, deps array<string>"))
+    want = {(r.scenario_id, r.path_type): r.n_paths for r in P.path_census(P.generate_paths(graphs)).collect()}
+    assert {(r.scenario_id, r.path_type): r.n_paths for r in P.census_of(graphs).collect()} == want
+
+
+def test_gather_leaves_out_large_and_repeated(spark):
+    rows = [("five", f"C{i}", "t", []) for i in range(5)] + [("six", f"C{i}", "t", []) for i in range(6)]
+    rows += [("many", f"C{i:06d}", "t", []) for i in range(2_000)] + [("twice", "C1", "a", []), ("twice", "C1", "b", []), ("one", "C1", None, None)]
+    df = spark.createDataFrame(rows, "scenario_id string, cid string, text string, deps array<string>")
+    got = {r.scenario_id: len(r.nodes) for r in P.gather_graphs(df).collect()}
+    assert got == {"five": 5, "one": 1}
+    assert {r.scenario_id for r in P.ungathered(df).collect()} == {"six", "many", "twice"}

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
 # Joins of one-row aggregates (row concatenation, not pair expansion).
-ONE_ROW_CONCAT = {"a8_filter_audit", "io3_line_coverage", "r6_conditional_effects", "r7_variance_components"}
+ONE_ROW_CONCAT = {"a8_filter_audit", "io3_line_coverage", "m10_dispatch_count", "r6_conditional_effects", "r7_variance_components"}
 SKIP = {n for n in QUERIES if n.startswith(("r", "st", "io7"))} - ONE_ROW_CONCAT
 
 
@@ -31,3 +31,33 @@ def test_scans_are_pruned(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice" not in plan  # the summary never reads prices
     assert "c_acctbal" not in plan
+
+
+def _scans(df, table):
+    return _plan(df).count(f"/{table}.parquet")
+
+
+def _exchanges(df):
+    return sum(line.lstrip(" :+-").startswith(("Exchange", "BroadcastExchange")) for line in _plan(df).splitlines())
+
+
+def test_the_gather_reads_its_lines_once(spark):
+    from pathweave.operators import paths as P
+    from pathweave.sources import views as V
+
+    comps = V.components_v(spark, SF)
+    graphs = P.gather_graphs(comps, keys=V.COMPONENT_KEYS)
+    assert _scans(graphs, "lineitem") == 1 and _scans(graphs, "part") == 1 and _exchanges(graphs) <= 3
+    plain = spark.createDataFrame([("s", "C1", "t", [])], "scenario_id string, cid string, text string, deps array<string>")
+    plan = _plan(P.gather_graphs(plain))
+    assert plan.count("Exchange hashpartitioning") == 1 and "WindowGroupLimit" in plan  # rows beyond the limit stay in the map task
+
+
+@pytest.mark.parametrize("name", ["p1_all_orderings", "p8_sequential_paths", "p15_path_census", "m1_build_manifest", "m9_resolve_manifest"])
+def test_designs_read_a_table_written_once(spark, name):
+    assert _scans(QUERIES[name](spark, SF), "lineitem") == 0
+
+
+def test_scenarios_are_counted_without_nesting(spark):
+    plan = _plan(QUERIES["io3_scenarios_table"](spark, SF))
+    assert "map_from_entries" not in plan and "lineitem.parquet" not in plan

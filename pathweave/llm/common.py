@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +28,20 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return memory that a task no longer uses to the system: Python workers wait for their next task with all they ever held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # the C library may not have it
+        trim(0)
+
+
 def arrow_map(df: DataFrame, body: Callable, schema) -> DataFrame:
     """``mapInArrow`` where ``body`` takes one record batch and yields record batches."""
     def run(batches):
         for batch in batches:
             yield from body(batch)
+        give_back()
     return small_batches(df).mapInArrow(run, schema)
 
 

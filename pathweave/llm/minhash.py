@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 
 from pathweave.session import cut_lineage
 
-from .common import arrow_map, documents, drop_tables, text_key
+from .common import arrow_map, documents, drop_tables, give_back, text_key
 from .words import Words, mix, sequence_hashes, signed, text_chunks
 
 BLOCK_BYTES = 2 << 20  # of sets that a task compares with another such block
-MATRIX_GRAMS = 4096   # shingles in a 0/1 matrix at a time
+MATRIX_GRAMS = 2048   # shingles in a 0/1 matrix at a time
 LARGE_BLOCKS = 16     # a cluster of more blocks gets stars before its blocks meet
 _U = np.uint64
 
@@ -222,6 +222,7 @@ def _block_links(percent: int):
         pair[component[x], component[y]] = pair[component[y], component[x]] = np.arange(len(x))
         used = np.array([pair[i, j] for i, j in spanning_forest(pair >= 0)], np.int64)
         a, b = node[x[used]], node[y[used]]
+        give_back()
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
     return run
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, give_back, small_batches
 
 END_ID = 2
 CACHED_WORDS = 400_000  # words a worker remembers between tasks
@@ -198,8 +198,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     def run(key, table):
         table = table.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        return pack_shard(key[0].as_py(), table.column("doc_id").to_pylist(),
-                          [t.encode() for t in table.column("text").to_pylist()], tokenizer_path, window)
+        packed = pack_shard(key[0].as_py(), table.column("doc_id").to_pylist(),
+                            [t.encode() for t in table.column("text").to_pylist()], tokenizer_path, window)
+        give_back()
+        return packed
 
     return small_batches(dealt).groupBy("shard").applyInArrow(run, (
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"))

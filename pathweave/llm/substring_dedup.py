@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from pathweave.session import cut_lineage
 
-from .common import arrow_map, documents, text_key
+from .common import arrow_map, documents, give_back, text_key
 from .words import Words, sequence_hashes, signed, sliding_min, text_chunks
 
 LONGEST_PACK = 256  # windows; a longer run of one minimiser (a repeated word) goes as several super-k-mers
@@ -146,6 +146,8 @@ def _bucket_task(window: int):
             size = sum(b.nbytes for b in held) if cut else 0
         if held:
             yield from _by_buckets(pa.Table.from_batches(held), window)
+        held.clear()
+        give_back()
     return run
 
 

@@ -8,7 +8,7 @@ rule gathers an unbounded group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
@@ -176,20 +176,87 @@ def malformed_documents(loaded: DataFrame, key: str = "file") -> DataFrame:
     return _v(bad, "DQ8_malformed", key, F.col("error"))
 
 
+def _row_findings(allowed: list[str], lo: int, hi: int) -> Column:
+    """Findings of DQ1-DQ6 and DQ8 on one row: header, its components (``nodes``) and its number of wordings (``words``)."""
+    def found(rule: str, broken: Column, detail: Column) -> Column:
+        return F.when(broken, F.array(F.struct(F.lit(rule).alias("rule"), F.col("key").alias("scenario_id"), detail.alias("detail"))))
+
+    nodes = F.coalesce("nodes", F.array().cast("array<struct<cid:string,deps:array<string>>>"))
+    ids = F.array_distinct(F.transform(nodes, lambda x: x["cid"]))
+    missing = F.flatten(F.transform(nodes, lambda x: F.transform(
+        F.filter(x["deps"], lambda d: ~F.array_contains(ids, d)), lambda d: F.struct(
+            F.lit("DQ4_dangling_dep").alias("rule"), F.col("key").alias("scenario_id"), F.concat(x["cid"], F.lit(" -> "), d).alias("detail")))))
+    # An id is placed once all its rows have their dependencies placed, those that name no component aside.
+    placed = F.aggregate(ids, F.array().cast("array<string>"), lambda p, _: F.filter(ids, lambda c: F.forall(
+        nodes, lambda y: (y["cid"] != c) | F.forall(y["deps"], lambda d: ~F.array_contains(ids, d) | F.array_contains(p, d)))))
+    stuck = F.array_sort(F.array_except(ids, placed))
+    header, n = F.col("known"), F.size(ids)
+    file = F.concat(F.col("key"), F.lit(".yaml"))
+    bad = F.when(F.col("nodes").isNull(), "'considerations' must be a mapping").when(F.col("words").isNull(), "'terminal_wordings' must be a mapping")
+    malformed = F.when(header & bad.isNotNull(), F.array(F.struct(F.lit("DQ8_malformed").alias("rule"), file.alias("scenario_id"), bad.alias("detail"))))
+    class_ok = F.coalesce(F.col("class").isin(*allowed), F.lit(False))
+    few = ~F.col("large")
+    none = F.array().cast("array<struct<rule:string,scenario_id:string,detail:string>>")
+    return F.concat(*[F.coalesce(x, none) for x in (
+        found("DQ1_enum", header & ~class_ok, F.concat(F.lit("independence_class="), F.coalesce("class", F.lit("NULL")))),
+        found("DQ2_setup_blank", header & F.coalesce(py_strip(F.col("setup")) == "", F.lit(True)), F.lit("setup must be non-empty")),
+        found("DQ3_no_wording", header & F.col("words").isNull(), F.lit("at least one terminal wording required")),
+        F.when(few, missing),
+        found("DQ5_cycle", few & (F.size(stuck) > 0), F.concat(F.lit("cycle through "), F.array_join(stuck, ","))),
+        found("DQ6_component_count", header & few & ~n.between(lo, hi), F.concat(F.lit("components="), n.cast("string"))),
+        malformed)])
+
+
+def document_findings(docs: DataFrame, components: DataFrame, wordings: DataFrame, key: str = "scenario_id", id_col: str = "doc_id",
+                      gather: int = 32, malformed: bool = True, allowed: list[str] | None = None,
+                      lo: int = MIN_COMPONENTS, hi: int = MAX_COMPONENTS) -> DataFrame:
+    """DQ1-DQ8: every finding about a document, from one pass over headers, components and wordings.
+
+    Each document's header meets its components (at most ``gather`` rows of them, see
+    ``paths.gather_graphs``) and its number of wordings in one row; that row's findings
+    are an array, which is inlined.  Joins and aggregates of their own are left to
+    documents of more rows (DQ4-DQ6) and to DQ7.  ``key`` names one document.
+    """
+    docs = cut_lineage(docs.select(F.col(key).alias("key"), F.col(id_col).alias("id"), F.col("independence_class").alias("class"), "setup"), "headers")
+    few = F.row_number().over(Window.partitionBy(key).orderBy("cid")) <= gather + 1
+    deps = F.coalesce("deps", F.array().cast("array<string>"))
+    nodes = (components.select(F.col(key), "cid", deps.alias("deps"), few.alias("few")).filter("few")
+             .groupBy(F.col(key).alias("key")).agg(F.collect_list(F.struct("cid", "deps")).alias("nodes")))
+    words = wordings.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("words"))
+    base = (docs.withColumn("known", F.lit(True)).join(nodes, "key", "full").join(words, "key", "left")
+            .withColumn("known", F.coalesce("known", F.lit(False))).withColumn("large", F.coalesce(F.size("nodes") > gather, F.lit(False))))
+    base = cut_lineage(base.select("key", "large", _row_findings(allowed or INDEPENDENCE_CLASSES, lo, hi).alias("found"), "known"), "findings")
+    out = base.select(F.inline("found")).unionByName(duplicate_ids(docs, "id", "key"))
+    if not malformed:
+        out = out.filter(F.col("rule") != "DQ8_malformed")
+    large = base.filter("large").select(F.col("key").alias(key), "known")
+    if large.isEmpty():
+        return out.select("rule", "scenario_id", "detail")
+    rest = components.join(large.select(key), key, "left_semi")
+    for part in (dangling_dependencies(rest, key), cyclic_scenarios(rest, key, gather),
+                 component_count(large.filter("known").select(key), rest, key, lo, hi)):
+        out = out.unionByName(part)
+    return out.select("rule", "scenario_id", "detail")
+
+
 def violation_report(docs: DataFrame, components: DataFrame, wordings: DataFrame,
-                     key: str = "scenario_id", id_col: str = "doc_id", loaded: DataFrame | None = None) -> DataFrame:
-    """DQ12: every rule's violations in one table."""
-    parts = [
-        enum_membership(docs, key=key), setup_present(docs, key=key), wordings_present(docs, wordings, key),
-        dangling_dependencies(components, key), cyclic_scenarios(components, key),
-        component_count(docs, components, key), duplicate_ids(docs, id_col, key), corpus_rules(docs, key),
-    ]
-    if loaded is not None:
-        parts.append(malformed_documents(loaded))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+                     key: str = "scenario_id", id_col: str = "doc_id", loaded: DataFrame | None = None,
+                     malformed: bool = False) -> DataFrame:
+    """DQ12: every rule's violations in one table.
+
+    DQ8 comes from a loader's error column (``loaded``), or from the flat tables themselves (``malformed``).
+    """
+    out = document_findings(docs, components, wordings, key, id_col, malformed=malformed).unionByName(corpus_rules(docs, key))
+    return out if loaded is None else out.unionByName(malformed_documents(loaded))
+
+
+def rejected_documents(findings: DataFrame) -> DataFrame:
+    """One row for each document that any rule rejects: (scenario_id, rules, n_findings); such a document is not expanded.
+
+    A malformed document is named by its file, and belongs to the document of that name.
+    """
+    own = findings.filter(F.col("scenario_id").isNotNull()).withColumn("scenario_id", F.regexp_replace("scenario_id", r"\.yaml$", ""))
+    return own.groupBy("scenario_id").agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"), F.count(F.lit(1)).alias("n_findings"))
 
 
 # --- ledger-level rules ------------------------------------------------------
@@ -240,7 +307,6 @@ def path_sample(paths: DataFrame, per_type: int = 3, clip: int = 80) -> DataFram
     The window partitions by (scenario, type), groups bounded by the number of
     orderings of a <= 5-node graph.
     """
-    from pyspark.sql import Window
     w = Window.partitionBy("scenario_id", "path_type").orderBy("path_signature")
     top = paths.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_type)
     t = top.select("scenario_id", "path_type", "rank", "path_signature", F.posexplode_outer("turns").alias("turn_no", "turn"))

@@ -8,18 +8,21 @@ from pyspark.sql import functions as F
 
 from ..operators import paths as P
 from ..operators import quality as Q
-from ..session import table_path
+from ..session import cut_lineage, table_path
 from ..sources import corpus as C
 from ..sources import views as V
 from ..sources.views import (COMPONENTS_V_SQL, DESIGN_SCENARIOS_V_SQL, LABELLED_V_SQL, RAW_COMPONENTS_V_SQL,
                              RAW_SCENARIOS_V_SQL, RUNS_V_SQL, SCENARIOS_V_SQL, TURNS_V_SQL, with_ctes)
-from .registry import register, rounded
+from .registry import ORACLES, register, rounded
 from .q_analysis import _EFFECT_SQL as EFFECT_SQL, A4_SQL
+from .generate import build_design
 from .q_design import ALL_PATH_CTES, with_recursive
 
 
-def _raw(spark, d):
+def _raw(spark, d, cut=False):
+    """Headers, components, wordings of the unclean corpus; ``cut`` writes the headers once, for queries that read them often."""
     docs = V.raw_scenarios_v(spark, d)
+    docs = cut_lineage(docs, "raw_headers") if cut else docs
     comps = V.raw_components_v(spark, d)
     n = F.col("n_wordings")
     words = docs.select("scenario_id", F.explode(F.when(n > 0, F.sequence(F.lit(1), n))
@@ -108,36 +111,55 @@ def dq9_11_corpus_rules(spark, d):
     return Q.corpus_rules(V.design_scenarios_v(spark, d))
 
 
-def _dq12_report_sql():
-    from .registry import ORACLES
+_LOAD_ERRORS = """
+SELECT scenario_id || '.yaml' AS file,
+  CASE WHEN scenario_id NOT IN (SELECT scenario_id FROM raw_components_v) THEN '''considerations'' must be a mapping'
+    ELSE '''terminal_wordings'' must be a mapping' END AS error
+FROM raw_scenarios_v
+WHERE scenario_id NOT IN (SELECT scenario_id FROM raw_components_v) OR n_wordings <= 0"""
+_DQ8_SQL = with_ctes(*_R, body=f"""
+SELECT 'DQ8_malformed' AS rule, file AS scenario_id, error AS detail FROM ({_LOAD_ERRORS}) t""")
+
+
+def _dq12_sql(body):
+    """``body`` over ``f``, the findings of all rules.  The corpus-level rules (DQ9-DQ11) hold on this corpus."""
     rules = ["dq1_enum_membership", "dq2_setup_blank", "dq3_no_wording", "dq4_dangling_dependency",
              "dq5_dependency_cycles", "dq6_component_count", "dq7_duplicate_ids"]
-    # The corpus-level rules (DQ9-DQ11) hold on this corpus, so the report is the per-document rules.
-    return "\nUNION ALL\n".join(f"SELECT rule, scenario_id, detail FROM ({ORACLES[n]}) q{i}"
-                                  for i, n in enumerate(rules))
+    every = [*(ORACLES[n] for n in rules), _DQ8_SQL]
+    return "WITH f AS (" + "\nUNION ALL\n".join(f"SELECT rule, scenario_id, detail FROM ({sql}) q{i}" for i, sql in enumerate(every)) + ")\n" + body
 
 
-@register("dq12_violation_report", _dq12_report_sql())
+@register("dq12_violation_report", _dq12_sql("SELECT rule, scenario_id, detail FROM f"))
 def dq12_violation_report(spark, d):
-    docs, comps, words = _raw(spark, d)
-    return Q.violation_report(docs, comps, words)
+    docs, comps, words = _raw(spark, d, cut=True)
+    return Q.violation_report(docs, comps, words, malformed=True)
 
 
-def _dq12_counts_sql():
-    from .registry import ORACLES
-    rules = ["dq1_enum_membership", "dq2_setup_blank", "dq3_no_wording", "dq4_dangling_dependency",
-             "dq5_dependency_cycles", "dq6_component_count", "dq7_duplicate_ids"]
-    parts = []
-    for i, name in enumerate(rules):
-        sql = ORACLES[name]
-        parts.append(f"SELECT rule, count(*) AS n FROM ({sql}) q{i} GROUP BY rule")
-    return "\nUNION ALL\n".join(parts)
+@register("dq12_violation_counts", _dq12_sql("SELECT rule, count(*) AS n FROM f GROUP BY rule"))
+def dq12_violation_counts(spark, d):
+    docs, comps, words = _raw(spark, d, cut=True)
+    return Q.violation_report(docs, comps, words, malformed=True).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("dq12_violation_counts", _dq12_counts_sql())
-def dq12_violation_counts(spark, d):
-    docs, comps, words = _raw(spark, d)
-    return Q.violation_report(docs, comps, words).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+_REJECTS = """r AS (SELECT replace(scenario_id, '.yaml', '') AS scenario_id, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules,
+  count(*) AS n_findings FROM f GROUP BY 1)"""
+
+
+@register("p13_gated_census", _dq12_sql("").rstrip() + ",\n" + _REJECTS + ",\n" + ",\n".join(_R) + """,
+again AS (SELECT DISTINCT scenario_id FROM (SELECT scenario_id, cid FROM raw_components_v GROUP BY 1, 2 HAVING count(*) > 1) t)
+SELECT s.scenario_id, CASE WHEN rules IS NULL AND again.scenario_id IS NOT NULL THEN 'repeated_id' ELSE rules END AS rules,
+  CASE WHEN rules IS NULL AND again.scenario_id IS NOT NULL THEN 1 ELSE n_findings END AS n_findings,
+  CASE WHEN rules IS NULL AND again.scenario_id IS NULL THEN 1 ELSE 0 END AS n_direct, rules IS NULL AND again.scenario_id IS NULL AS has_paths
+FROM raw_scenarios_v s LEFT JOIN r USING (scenario_id) LEFT JOIN again USING (scenario_id)""")
+def p13_gated_census(spark, d):
+    """The gate on the unclean corpus: a document that breaks any rule has its rules and no path, any other one has paths."""
+    docs, comps, words = _raw(spark, d, cut=True)
+    design = build_design(comps, words, docs, materialise=False, id_col="doc_id")
+    paths = design.paths.groupBy("scenario_id").agg(F.count(F.when(F.col("path_type") == "direct", 1)).alias("n_direct"),
+                                                    F.count(F.lit(1)).alias("_n"))
+    every = docs.select("scenario_id").join(design.rejects, "scenario_id", "left").join(paths, "scenario_id", "left")
+    return every.select("scenario_id", "rules", "n_findings", F.coalesce("n_direct", F.lit(0)).alias("n_direct"),
+                        F.col("_n").isNotNull().alias("has_paths"))
 
 
 @register("dq13_duplicate_keys", with_ctes(*_R, RUNS_V_SQL, TURNS_V_SQL, body="""
@@ -224,14 +246,6 @@ def io1_yaml_round_trip(spark, d):
                                                   F.array_join("deps", ",").alias("deps"))
 
 
-_LOAD_ERRORS = """
-SELECT scenario_id || '.yaml' AS file,
-  CASE WHEN scenario_id NOT IN (SELECT scenario_id FROM raw_components_v) THEN '''considerations'' must be a mapping'
-    ELSE '''terminal_wordings'' must be a mapping' END AS error
-FROM raw_scenarios_v
-WHERE scenario_id NOT IN (SELECT scenario_id FROM raw_components_v) OR n_wordings <= 0"""
-
-
 def _parsed_raw(spark, d):
     docs, comps, words = _raw(spark, d)
     headers = docs.select("scenario_id", "type", "independence_class", "setup")
@@ -243,8 +257,7 @@ def io2_load_errors(spark, d):
     return C.load_errors(_parsed_raw(spark, d))
 
 
-@register("dq8_malformed_documents", with_ctes(*_R, body=f"""
-SELECT 'DQ8_malformed' AS rule, file AS scenario_id, error AS detail FROM ({_LOAD_ERRORS}) t"""))
+@register("dq8_malformed_documents", _DQ8_SQL)
 def dq8_malformed_documents(spark, d):
     return Q.malformed_documents(_parsed_raw(spark, d))
 

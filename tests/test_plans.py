@@ -61,3 +61,22 @@ def test_designs_read_a_table_written_once(spark, name):
 def test_scenarios_are_counted_without_nesting(spark):
     plan = _plan(QUERIES["io3_scenarios_table"](spark, SF))
     assert "map_from_entries" not in plan and "lineitem.parquet" not in plan
+
+
+def test_the_report_scans_its_tables_twice_at_most(spark, monkeypatch):
+    from pathweave.operators import quality as Q
+    from pathweave.plans import q_quality
+
+    scans, cut = {"lineitem": 0, "orders": 0}, Q.cut_lineage
+
+    def counted(df, name="lineage"):
+        for table in scans:
+            scans[table] += _scans(df, table)
+        return cut(df, name)
+
+    monkeypatch.setattr(Q, "cut_lineage", counted)
+    monkeypatch.setattr(q_quality, "cut_lineage", counted)
+    report = QUERIES["dq12_violation_report"](spark, SF)
+    for table in scans:
+        scans[table] += _scans(report, table)
+    assert scans["lineitem"] <= 2 and scans["orders"] <= 2, scans

@@ -146,3 +146,28 @@ def test_a_long_chain_takes_few_jobs(spark):
     context.setLocalProperty("spark.jobGroup.id", None)
     assert got == {"chain": "cycle through " + ",".join(f"C{i:05d}" for i in range(n))}
     assert 0 < jobs < 40, jobs
+
+
+def test_findings_in_the_row_equal_the_rules(spark):
+    """Small, large, orphaned and repeated documents: one pass finds what each rule finds on its own."""
+    rng = random.Random(21)
+    rows, heads, words = [], [], []
+    for s in range(80):
+        n = rng.choice([0, 1, 2, 3, 4, 5, 6, 40])
+        for i in range(n):
+            deps = [f"C{rng.randint(1, max(n, 1) + 1)}" for _ in range(rng.randint(0, 2))]
+            rows.append((f"s{s}", f"C{rng.randint(1, n) if rng.random() < 0.1 else i + 1}", "t", deps if rng.random() < 0.9 else None))
+        if s % 9:
+            heads.append((f"s{s}", f"d{s % 60}", "x", rng.choice(["partial", "entangled", "odd", None]), rng.choice(["setup", " ", None, "ok"])))
+        words += [(f"s{s}", f"W{k}") for k in range(rng.randint(0, 2))]
+    comps = _comps(spark, rows)
+    docs = spark.createDataFrame(heads, "scenario_id string, doc_id string, type string, independence_class string, setup string")
+    texts = spark.createDataFrame(words, "scenario_id string, wording_id string")
+    parts = [Q.enum_membership(docs), Q.setup_present(docs), Q.wordings_present(docs, texts), Q.dangling_dependencies(comps),
+             Q.cyclic_scenarios(comps), Q.component_count(docs, comps), Q.duplicate_ids(docs)]
+    want = sorted((tuple(r) for p in parts for r in p.collect()), key=repr)
+    for gather in (4, 32):
+        got = sorted(map(tuple, Q.document_findings(docs, comps, texts, gather=gather, malformed=False).collect()), key=repr)
+        assert got == want
+    own = {r.scenario_id: r.rules for r in Q.rejected_documents(Q.document_findings(docs, comps, texts)).collect()}
+    assert set(own) == {s for _, s, _ in want} | {h[0] for h in heads if h[0] not in {r[0] for r in rows} or h[0] not in {w[0] for w in words}}

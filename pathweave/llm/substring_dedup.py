@@ -220,9 +220,12 @@ def repeated_ranges(rows: DataFrame, window: int = 50, seed: int = 10, hot: int
               .agg(F.collect_set(F.struct("start", "n", "minimiser", "hot")).alias("wanted")))  # at most a document's own windows
     packs = arrow_map(rows.join(wanted, ["doc_id", "tx"], "left"), _pack_body(window),
                       "doc_id long, tx long, start int, minimiser long, hot boolean, packed binary")
+    any_hot = not shared.where("hot").isEmpty()
+    if any_hot:
+        packs = cut_lineage(packs, "packs")  # read by both ways below
     ranges = (packs.where("NOT hot").repartition("minimiser").sortWithinPartitions("minimiser")
               .mapInArrow(_bucket_task(window), "doc_id long, tx long, lo int, hi int"))
-    if not shared.where("hot").isEmpty():
+    if any_hot:
         spread = arrow_map(packs.where("hot"), _spread_body(window), "f1 long, f2 long, doc_id long, tx long, place int")
         spread = cut_lineage(spread, "hot_windows")
         least = spread.groupBy("f1", "f2").agg(F.min("doc_id").alias("least"))

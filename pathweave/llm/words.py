@@ -126,6 +126,11 @@ class Words:
         return np.arange(len(self.start)) + n <= self.first[self.doc + 1]
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """M^0.. and M^-0.. of ``sequence_hashes``, ``n`` of each."""
+    return _WORDS.upto(n)
+
+
 def sequence_hashes(words: np.ndarray, n: int, second: bool = False) -> np.ndarray:
     """Hash of each run of ``n`` consecutive values (len(words) - n + 1 of them; rows are not looked at)."""
     if len(words) < n:

@@ -1,4 +1,5 @@
 """Nulls, empty and very long texts, ties, repeats, clashing columns, empty tables; and the paths that only skew takes."""
+import math
 import random
 import zlib
 
@@ -488,3 +489,62 @@ def test_em_recovers_accuracies():
     assert abs(share - 0.8) < 0.03
     for r, a in enumerate(accuracy):
         assert abs(table[r, 1, weak_rules.GOOD] - a) < 0.04 and abs(table[r, 0, weak_rules.BAD] - a) < 0.08
+
+
+def _plain_tree_scores(train, texts, least=8, discount=0.5):
+    """Every context of every length, held in dictionaries: log10 probability of each text."""
+    end = None
+    count, after, longest = {}, {}, 0
+    for text in train:
+        for w in [*text, end]:
+            count[w] = count.get(w, 0) + 1
+    for text in train:
+        value = [end, *text, end]
+        for i in range(1, len(value)):
+            for k in range(1, i + 1):
+                seen = after.setdefault(tuple(value[i - k:i]), {})
+                seen[value[i]] = seen.get(value[i], 0) + 1
+                longest = max(longest, k)
+    mass = sum(count.values()) + 0.5 * (len(count) + 1)
+    states = {}
+
+    def probability(context, w):
+        for k in range(len(context), 0, -1):
+            if context[-k:] in states:
+                children, backoff = states[context[-k:]]
+                return children[w] if w in children else backoff * probability(context[len(context) - k + 1:], w)
+        return (count.get(w, 0) + 0.5) / mass
+
+    for context in sorted(after, key=len):
+        seen = after[context]
+        n = sum(seen.values())
+        children = {w: (c - discount) / n for w, c in seen.items() if c >= least}
+        if not children:
+            continue
+        shorter = {w: probability(context[1:], w) for w in children}
+        backoff = max(1 - sum(children.values()), 1e-9) / (1 - min(sum(shorter.values()), 1 - 1e-9))
+        rest = n - sum(seen[w] for w in children)
+        gain = sum(seen[w] * math.log(children[w] / shorter[w]) for w in children) + rest * math.log(backoff)
+        if gain > 0.5 * (len(children) + 1) * math.log(max(n, 2)):
+            states[context] = children, backoff
+    scores = []
+    for text in texts:
+        value = [end, *text, end]
+        scores.append(sum(math.log10(probability(tuple(value[:i]), value[i])) for i in range(1, len(value))))
+    return scores, max(map(len, states))
+
+
+def test_suffix_tree_equals_a_plain_one(spark):
+    """Copies, near copies and a passage whose next word 12 words decide: the same scores as from every context of every length."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    copy, near, middle = ([rng.choice(words) for _ in range(n)] for n in (60, 50, 11))
+    texts = [[rng.choice(words[:6]) for _ in range(rng.randrange(40))] for _ in range(60)]
+    texts += [copy] * 25 + [[w if rng.random() > 0.03 else rng.choice(words) for w in near] for _ in range(60)]
+    texts += [[side, *middle, "red" if side == "left" else "blue"] for side in ("left", "right") * 40]
+    rng.shuffle(texts)
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    want, deepest = _plain_tree_scores(train, texts)
+    assert deepest >= 12
+    got = suffix_tree.suffix_tree_scores(_frame(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).orderBy("doc_id").toPandas()
+    np.testing.assert_allclose(got.score, want, rtol=1e-9)

@@ -8,6 +8,8 @@ exploding the level list next to the observed keys, never by a cross join.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,29 +114,53 @@ def factor_values(df: DataFrame, col: str, max_values: int = 1000) -> list[str]:
     return sorted(v for v in vals if v is not None)
 
 
+CORRELATED_VALUES = 2500  # at six doubles a pair, 300 MB in a task
+
+
 def cross_factor_correlation(df: DataFrame, unit_cols: list[str], factor_col: str = "terminal_wording_id",
                              outcome_col: str = "verdict", values: list[str] | None = None) -> DataFrame:
     """Pearson correlation of cell means between every pair of factor values.
 
-    Cells are pivoted to one column per factor value (explicit value list), and
-    each pair is one ``corr`` aggregate over the pivoted rows; no row pairs
-    are materialised.  Long output: (wording_a, wording_b, n_units, corr).
+    A task lays its units out as rows of a matrix with one column per factor value and adds up co-moments over
+    the cells both values have; they are summed by pair, so no row pairs and no expression per pair are made.
+    A task holds six sums per pair of at most ``CORRELATED_VALUES`` values.  Long output: (wording_a, wording_b,
+    n_units, corr); ``corr`` is null where a value doesn't vary over the common units, or they are fewer than two.
     """
-    vals = values or factor_values(df, factor_col)
-    cells = (df.filter(F.col(outcome_col).isNotNull()).groupBy(*unit_cols)
-             .pivot(factor_col, vals).agg(F.avg(_d(outcome_col))))
-    aggs = []
-    pairs = [(a, b) for i, a in enumerate(vals) for b in vals[i + 1:]]
-    for i, (a, b) in enumerate(pairs):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        aggs += [F.corr(a, b).alias(f"c{i}"), F.sum(both.cast("long")).alias(f"n{i}")]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "wording_a string, wording_b string, n_units long, corr double")
-    wide = cells.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(a).alias("wording_a"), F.lit(b).alias("wording_b"),
-                              F.col(f"n{i}").alias("n_units"), F.col(f"c{i}").alias("corr"))
-                     for i, (a, b) in enumerate(pairs)])
-    return wide.select(F.inline(rows))
+    vals = values or factor_values(df, factor_col, CORRELATED_VALUES)
+    spark = df.sparkSession
+    place = {v: i for i, v in enumerate(vals)}
+    cells = (df.filter(F.col(outcome_col).isNotNull() & F.col(factor_col).isNotNull()).groupBy(*unit_cols, factor_col).agg(F.avg(_d(outcome_col)).alias("_p")))
+    units = (cells.filter(F.col("_p").isNotNull()).groupBy(*unit_cols)
+             .agg(F.collect_list(factor_col).alias("_vals"), F.collect_list("_p").alias("_means")).select("_vals", "_means"))
+
+    def moments(batches):
+        total = None
+        for pdf in batches:
+            for lo in range(0, len(pdf), 500):
+                x = np.zeros((min(500, len(pdf) - lo), len(vals)))
+                has = np.zeros_like(x)
+                for row, (names, means) in enumerate(zip(pdf["_vals"][lo:lo + 500], pdf["_means"][lo:lo + 500])):
+                    for name, mean in zip(names, means):
+                        if name in place:
+                            x[row, place[name]], has[row, place[name]] = mean - 0.5, 1.0  # centred: proportions
+                part = np.stack([has.T @ has, x.T @ has, has.T @ x, (x * x).T @ has, has.T @ (x * x), x.T @ x])
+                total = part if total is None else total + part
+        if total is not None:
+            a, b = np.nonzero(np.triu(total[0], 1))
+            for lo in range(0, len(a), 100_000):
+                i, j = a[lo:lo + 100_000], b[lo:lo + 100_000]
+                yield pd.DataFrame({"a": i, "b": j, **{c: m[i, j] for c, m in zip(("n", "x", "y", "xx", "yy", "xy"), total)}})
+
+    sums = (units.mapInPandas(moments, "a int, b int, n double, x double, y double, xx double, yy double, xy double")
+            .groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")]))
+    spread = [F.expr(f"if({q}{q} - {q} * {q} / n > 1e-12D * n, {q}{q} - {q} * {q} / n, NULL)") for q in "xy"]
+    corr = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(spread[0] * spread[1])
+    names = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v string")
+    first = names.select(F.col("v").alias("wording_a"), F.col("i").alias("a"))
+    pairs = (first.select("wording_a", "a", F.explode(F.when(F.col("a") < len(vals) - 1, F.sequence(F.col("a") + 1, F.lit(len(vals) - 1)))).alias("b"))
+             .join(names.select(F.col("v").alias("wording_b"), F.col("i").alias("b")), "b"))
+    return pairs.join(sums, ["a", "b"], "left").select("wording_a", "wording_b", F.coalesce(F.col("n"), F.lit(0.0)).cast("long").alias("n_units"),
+                                                       F.when(corr.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), corr))).alias("corr"))
 
 
 def token_comparison(df: DataFrame, stratum_col: str = "scenario_id", arm_col: str = "path_type",

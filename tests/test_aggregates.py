@@ -1,6 +1,7 @@
 """Aggregates and the distributed rank against pandas."""
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -118,3 +119,18 @@ def test_positions_and_tiles_equal_sql(spark):
         assert got == want
     empty, none = G.global_positions(df.limit(0), ["a"])
     assert none == 0 and empty.count() == 0
+
+
+def test_cross_factor_correlation_of_many_values(spark):
+    """2,000 values with cells missing: counts and correlations as numpy has them."""
+    n_units, n_values = 12, 2000
+    rows = spark.range(n_units * n_values).select(
+        F.expr(f"id div {n_values}").alias("unit"), F.expr(f"concat('v', lpad(cast(id % {n_values} AS string), 4, '0'))").alias("value"),
+        F.expr("pmod(xxhash64(id), 1000) / 1000").alias("y"), F.expr("pmod(xxhash64(id, 1), 5) > 0").alias("kept")).where("kept")
+    got = G.cross_factor_correlation(rows, ["unit"], "value", "y")
+    assert got.count() == n_values * (n_values - 1) // 2
+    by_cell = {(r.unit, r.value): r.y for r in rows.where("value < 'v0008'").collect()}
+    for r in got.where("wording_b < 'v0008'").collect():
+        both = [(by_cell[u, r.wording_a], by_cell[u, r.wording_b]) for u in range(n_units) if (u, r.wording_a) in by_cell and (u, r.wording_b) in by_cell]
+        assert r.n_units == len(both)
+        assert abs(r["corr"] - np.corrcoef(np.array(both).T)[0, 1]) < 1e-9

@@ -8,7 +8,8 @@
 3. ``rows`` bins form a band; classes with an equal band share a bucket.  A bucket
    of k classes gives k - 1 candidate edges, a star around its least id, and not
    k * (k - 1) / 2 pairs.
-4. Candidates are confirmed on full sets and joined to components.
+4. Candidates are confirmed on full sets and joined to components, in turns of one pair a
+   member: those that a turn has connected needn't be compared.
 5. A star alone could lose a link between two leaves that aren't linked with the
    centre.  Buckets that still hold several components make clusters, over shared
    members.  A large cluster first gets more stars, around other centres: one pair a
@@ -227,6 +228,36 @@ def _block_links(percent: int):
     return run
 
 
+def _star_links(pairs: DataFrame, sets: DataFrame, percent: int, turns: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(links, components) of the candidate pairs (a, b), a < b.
+
+    Near copies share many buckets, of as many centres.  In a turn each member is compared with
+    the least centre that isn't in its component yet, one pair a member; what the
+    turns don't connect is compared at last.  A pair is confirmed, refused or already connected.
+    """
+    links = label = None
+    left = pairs
+    for turn in range(turns + 1):
+        asked = left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if turn < turns else left
+        asked = cut_lineage(asked, "asked")
+        if asked.isEmpty():
+            drop_tables(asked)
+            break
+        found = cut_lineage(confirmed(asked, sets, percent), "links")
+        links = found if links is None else links.unionByName(found)
+        label = components(links)
+        if turn < turns:
+            of = [label.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in ("a", "b")]
+            tried = asked.select("b", F.col("a").alias("tried"))
+            left = (left.join(tried, "b").where("a > tried").drop("tried").join(of[0], "a", "left").join(of[1], "b", "left")
+                    .where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b"))
+            left = cut_lineage(left, "pairs_left")
+    if links is None:
+        links = cut_lineage(confirmed(pairs, sets, percent), "links")
+        label = components(links)
+    return links, label
+
+
 def _weight() -> Column:
     """Bytes that a set takes in a block, about."""
     return 8 * F.col("n") + 2048
@@ -319,24 +350,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not linkable.groupBy("doc_id").count().where("count > 1").isEmpty():
         sets = sets.distinct()  # rows that repeat an id: each of its texts once
     sets = cut_lineage(sets, "sets")
-    links = cut_lineage(confirmed(pairs, sets, percent), "links")
-    label = components(links)
+    pairs = cut_lineage(pairs, "pairs")
+    links, label = _star_links(pairs, sets, percent)
 
     # What stars leave: a link between two members neither of which is linked with their bucket's centre.
     rest = _unsettled(members.where("node > centre"), label)
     nodes = _clusters(rest)
     for turn in range(1, stars):
-        pairs = _more_stars(nodes, turn, percent)
-        if pairs is None:
+        more = _more_stars(nodes, turn, percent)
+        if more is None:
             break
-        links = cut_lineage(links.unionByName(confirmed(pairs, sets, percent)), "links")
+        links = cut_lineage(links.unionByName(confirmed(more, sets, percent)), "links")
         label = components(links)
         nodes = cut_lineage(nodes.drop("component").join(label, "node", "left")
                             .withColumn("component", F.coalesce("component", "node")), "clusters")
     more = cut_lineage(_remaining_links(nodes, sets, percent), "links")
     if not more.isEmpty():
         label = components(links.unionByName(more))
-    drop_tables(members, sets, links, rest, nodes, more)
+    drop_tables(members, pairs, sets, links, rest, nodes, more)
 
     owner = linkable.select("doc_id", "class").join(classes.select("class", "node"), "class")
     owner = (owner.join(label, "node", "left").groupBy("doc_id")

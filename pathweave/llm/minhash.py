@@ -155,23 +155,27 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): the least node each linked node can reach, by least labels and pointer jumps."""
+    """(node, component): the least node each linked node can reach, by least labels and pointer jumps.
+
+    Only nodes whose label has changed tell it to their neighbours, so an edge isn't
+    read again in each round; at first those are the nodes with a lesser neighbour.
+    """
     both = cut_lineage(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    label = cut_lineage(label, "labels")
+    label = cut_lineage(label.withColumn("changed", F.expr("component <> node")), "labels")
     while True:
-        near = (both.join(label.select(F.col("node").alias("b"), F.col("component").alias("theirs")), "b")
-                .groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("theirs")))
-        least = label.join(near, "node").select("node", "component", F.least("component", "theirs").alias("lower"))
+        told = label.where("changed").select(F.col("node").alias("b"), F.col("component").alias("theirs"))
+        near = both.join(told, "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("theirs"))
+        least = label.join(near, "node", "left").select("node", "component", F.least("component", "theirs").alias("lower"))
         jump = label.select(F.col("node").alias("lower"), F.col("component").alias("root"))
-        after = cut_lineage(least.join(jump, "lower", "left").select(
-            "node", F.coalesce(F.least("lower", "root"), F.col("lower")).alias("component"), F.col("component").alias("before")), "labels")
-        done = after.where("component <> before").isEmpty()
+        after = least.join(jump, "lower", "left").select("node", F.least("lower", "root").alias("component"), F.col("component").alias("before"))
+        after = cut_lineage(after.select("node", "component", F.expr("component <> before").alias("changed")), "labels")
+        done = after.where("changed").isEmpty()
         drop_tables(label)
-        label = after.select("node", "component")
+        label = after
         if done:
             drop_tables(both)
-            return label
+            return label.select("node", "component")
 
 
 def spanning_forest(linked: np.ndarray) -> list[tuple[int, int]]:

@@ -31,3 +31,21 @@ def test_every_pair_is_asked_or_connected(spark, monkeypatch):
         for a, b in similar:
             root[a] = root[b] = min(root[a], root[b])
     assert all(got.get(i, i) == root[i] for i in range(40))
+
+
+def test_components_do_not_read_an_edge_in_each_round(spark, monkeypatch):
+    """A star whose leaves settle at once and a chain that takes rounds: the star is told once, not once a round."""
+    leaves, chain = 3_000, 200
+    links = spark.createDataFrame([(0, i) for i in range(1, leaves + 1)] + [(10_000 + i, 10_001 + i) for i in range(chain)], "a long, b long")
+    told, join = [], type(links).join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if on == "b":
+            told.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(links), "join", counted)
+    got = {r.node: r.component for r in H.components(links).collect()}
+    assert got == {i: 0 for i in range(leaves + 1)} | {10_000 + i: 10_000 for i in range(chain + 1)}
+    assert len(told) > 3 and sum(told) < 2 * (leaves + 2 * chain * len(told))

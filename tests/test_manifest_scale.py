@@ -75,3 +75,22 @@ def test_dispatch_order_of_any_run_id(spark, monkeypatch):
     assert [(r.run_id, r.seed) for r in got] == [tuple(r) for r in expected]
     assert [r.dispatch_key for r in got] == [key(r) for r in got] and [r.position for r in got] == list(range(1, len(ids) + 1))
     assert "dispatch_key" not in written[0].columns and "run_id" not in written[0].columns
+
+
+def test_resolving_a_design_shuffles_no_run(spark):
+    words, with_null = _words(spark)
+    now = spark.createDataFrame([("a", "W1", "x"), ("a", "W1", "y"), ("b", "W1", "z"), ("c", "W3", None)], "scenario_id string, wording_id string, wording string")
+    scen = spark.createDataFrame([("a",), ("a",), ("c",), ("d",), (None,)], "scenario_id string")
+    reasons = set()
+    for w, most in ((words, 2), (words, 64), (with_null, 64)):
+        paths = _paths(spark, w, most).localCheckpoint()
+        kept = paths.filter("path_type <> 'skipped'")
+        want = M.resolve_manifest(M.build_manifest(paths, w.join(paths.filter("wording_ids IS NULL"), "scenario_id", "left_semi"), 3), scen, kept, now)
+        got = M.resolve_design(paths, w.join(paths.filter("wording_ids IS NULL"), "scenario_id", "left_semi"), scen, kept, now, 3)
+        assert sorted(got.columns) == sorted(want.columns)
+        assert _rows(got.select(*want.columns)) == _rows(want)
+        reasons |= {r.resolve_error for r in want.select("resolve_error").distinct().collect()}
+    assert reasons == {None, "unknown scenario", "unknown path", "unknown wording"}
+    plan = got.groupBy("resolve_error").count()._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = [next(i for i, line in enumerate(plan) if name in line) for name in ("Generate", "Join")]
+    assert first[0] < first[1]  # the runs' generator is above the joins

@@ -1,6 +1,9 @@
 """Data-quality rules on negative fixtures, including the YAML loader."""
 import os
 import random
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from pathweave.operators import quality as Q
 from pathweave.sources import corpus as C
@@ -171,3 +174,18 @@ def test_findings_in_the_row_equal_the_rules(spark):
         assert got == want
     own = {r.scenario_id: r.rules for r in Q.rejected_documents(Q.document_findings(docs, comps, texts)).collect()}
     assert set(own) == {s for _, s, _ in want} | {h[0] for h in heads if h[0] not in {r[0] for r in rows} or h[0] not in {w[0] for w in words}}
+
+
+def test_orphans_are_found_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(Q, "TASK_ROWS", 1 << 10, raising=False)
+    parent = spark.range(10_000).select((F.col("id") * 2).alias("run_id"))
+    child = spark.range(12_000).select(F.when(F.col("id") % 4 == 0, F.lit(7).cast("long")).when(F.col("id") % 1000 == 1, None)
+                                       .otherwise(F.col("id")).alias("run_id"))  # 7 is a hot key without parent
+    found = Q.orphans(child, parent.union(parent.limit(3)), "run_id", table="t")
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    want = Counter("7" if i % 4 == 0 else None if i % 1000 == 1 else str(i) for i in range(12_000))
+    assert Counter(r["key"] for r in found.collect()) == Counter({k: n for k, n in want.items() if k is None or int(k) % 2})
+    ints = child.select(F.col("run_id").cast("int").alias("run_id"))
+    assert Counter(r["key"] for r in Q.orphans(ints, parent, "run_id").collect()) == Counter(r["key"] for r in found.collect())
+    few = Q.orphans(child, parent.limit(5), "run_id", table="t")
+    assert few.count() == child.join(parent.limit(5), "run_id", "left_anti").count()

@@ -189,3 +189,14 @@ def test_orphans_are_found_in_tasks_of_bounded_rows(spark, monkeypatch):
     assert Counter(r["key"] for r in Q.orphans(ints, parent, "run_id").collect()) == Counter(r["key"] for r in found.collect())
     few = Q.orphans(child, parent.limit(5), "run_id", table="t")
     assert few.count() == child.join(parent.limit(5), "run_id", "left_anti").count()
+
+
+def test_repeated_keys_are_counted_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(Q, "TASK_ROWS", 1 << 10, raising=False)
+    rows = spark.range(9_000).select(F.when(F.col("id") % 4 == 0, 5).when(F.col("id") % 1000 == 1, None).otherwise(F.col("id") % 8_000).alias("a"),
+                                     F.lit("x").alias("b"))  # 5 is a hot key
+    found = Q.duplicate_keys(rows, ["a", "b"], "t")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "partial_count" in plan
+    want = Counter("5|x" if i % 4 == 0 else "x" if i % 1000 == 1 else f"{i % 8_000}|x" for i in range(9_000))
+    assert {(r["key"], r["n"]) for r in found.collect()} == {(k, n) for k, n in want.items() if n > 1}

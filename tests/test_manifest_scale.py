@@ -94,3 +94,24 @@ def test_resolving_a_design_shuffles_no_run(spark):
     plan = got.groupBy("resolve_error").count()._jdf.queryExecution().optimizedPlan().toString().splitlines()
     first = [next(i for i, line in enumerate(plan) if name in line) for name in ("Generate", "Join")]
     assert first[0] < first[1]  # the runs' generator is above the joins
+
+
+def test_key_head_begins_the_same_key(spark):
+    from pathweave.functions.identity import key_head, keyed_hash
+    df = spark.createDataFrame([("a", "b", 1), (None, "b", 1), ("a", None, 2), (None, None, 3), ("", None, 4), ("", "", None)], "a string, b string, c int")
+    same = df.select(keyed_hash(F.col("a"), F.col("b"), F.col("c")).alias("x"), keyed_hash(key_head(F.col("a"), F.col("b")), F.col("c")).alias("y"))
+    assert all(r.x == r.y for r in same.collect())
+
+
+def test_run_keys_begin_with_one_head_a_condition(spark):
+    plan = M.build_manifest(_paths(spark, _words(spark)[0], 64).localCheckpoint(), None, 3)._jdf.queryExecution().optimizedPlan().toString()
+    runs = plan.splitlines()[0]
+    assert "_run_head" in runs and "scenario_id" not in runs.split("AS run_id")[0]
+
+
+def test_first_orders_are_found_once_a_shape(spark):
+    rows = [(s, f"C{i}", "t", []) for s in "abcd" for i in (1, 2, 3)]
+    g = P.with_masks(P.gather_graphs(spark.createDataFrame(rows, SCHEMA))).localCheckpoint()
+    plan = P.length_matched_paths(g)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [" not in plan  # shapes are read, so no filter of theirs can sink to the graphs
+    assert P.length_matched_paths(g).count() == 4

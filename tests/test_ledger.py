@@ -70,3 +70,18 @@ def test_first_write_wins(spark):
     assert got == {"k0": "old", "k1": "first"}
     rows = L.insert_or_ignore(old, new, "cache_key", ordinal="batch").collect()
     assert [tuple(r) for r in rows] == [("k1", "first")]
+
+
+def test_insert_or_ignore_within_partitions_shuffles_no_row(spark):
+    schema = "scenario_id string, run_id string, path_type string"
+    old = [("s", "a", "x"), ("t", "b", "x"), (None, "c", "x"), ("s", None, "x"), ("s", "a", "x")]
+    new = [("s", "a", "y"), ("s", "d", "y"), ("s", "d", "y"), ("t", "e", None), (None, "c", "y"), (None, "f", "y"), ("s", None, "y"), ("t", "b", "y")]
+    existing, incoming = (spark.createDataFrame(rows, schema).localCheckpoint().repartition(3, "scenario_id") for rows in (old, new))
+    rows = lambda df: sorted(map(str, df.collect()))
+    got = L.insert_or_ignore(existing, incoming, "run_id", within=["scenario_id"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Join" not in plan  # the two that deal the tables out
+    assert got.columns == existing.columns
+    assert rows(got) == rows(L.insert_or_ignore(existing, incoming, "run_id"))
+    batch = spark.createDataFrame([("s", "d", "late", 2), ("s", "d", "early", 1)], schema + ", pos int")
+    assert [r.path_type for r in L.insert_or_ignore(existing, batch, "run_id", "pos", within=["scenario_id"]).collect()] == ["early"]

@@ -115,3 +115,23 @@ def test_first_orders_are_found_once_a_shape(spark):
     plan = P.length_matched_paths(g)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [" not in plan  # shapes are read, so no filter of theirs can sink to the graphs
     assert P.length_matched_paths(g).count() == 4
+
+
+def test_hash_positions_take_no_sample(spark):
+    digest = F.sha2(F.col("id").cast("string"), 256)
+    df = spark.range(500).union(spark.range(20)).toDF("id")
+    got, total = G.hash_positions(df, digest, ["id"])
+    plain, same = G.global_positions(df, [digest, F.col("id")])
+    assert total == same == 520
+    rows = lambda x: [tuple(r) for r in x.orderBy("position").select("id", "position").collect()]
+    assert rows(got) == rows(plain)
+    assert got.columns == ["id", "position"]
+
+
+def test_dispatch_order_samples_no_range(spark, monkeypatch):
+    written = []
+    cut = G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda d, name="x": written.append(d._jdf.queryExecution().optimizedPlan().toString()) or cut(d, name))
+    M.dispatch_order(spark.createDataFrame([("a", 1), ("b", 2)], "run_id string, seed int"), 2).collect()
+    assert "ASC" in written[0] and "RepartitionByExpression [" in written[0]
+    assert "ASC" not in written[0].split("RepartitionByExpression [")[1].splitlines()[0]
